@@ -39,13 +39,19 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .urls import RULES, judge, rules_frame
 
     return judge(table(spark, sf_dir, "pages"), rules_frame(spark, RULES))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media, op3_exact, op4_bpe, op6_packing, op10_urls)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media, op3_exact, op4_bpe, op6_packing, op9_pii, op10_urls)}
 
 ORACLE: dict[str, str] = {
     "op3_exact": """
