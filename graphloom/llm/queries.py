@@ -17,6 +17,12 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return films(table(spark, sf_dir, "documents"))
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op3_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact import exact_dedup
 
@@ -57,7 +63,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), rules_frame(spark, RULES))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media, op3_exact, op4_bpe, op5_quality, op6_packing, op9_pii, op10_urls)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media, op2_minhash, op3_exact, op4_bpe, op5_quality, op6_packing, op9_pii, op10_urls)}
 
 ORACLE: dict[str, str] = {
     "op3_exact": """
