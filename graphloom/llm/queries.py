@@ -51,6 +51,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import personal_data
 
@@ -63,7 +69,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), rules_frame(spark, RULES))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media, op2_minhash, op3_exact, op4_bpe, op5_quality, op6_packing, op9_pii, op10_urls)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media, op2_minhash, op3_exact, op4_bpe, op5_quality, op6_packing, op7_substring, op9_pii, op10_urls)}
 
 ORACLE: dict[str, str] = {
     "op3_exact": """
