@@ -1,15 +1,59 @@
-"""The corpus pipeline: stages over documents, each written as Parquet before the next one reads it."""
+"""The corpus pipeline: documents through five stages, each written as Parquet before the next one reads it.
+
+Quality classifier, exact dedup, near-dedup, personal data, packing.  All but the last return the columns of documents.
+No SQL expresses a trained classifier, so the stages are tested against brute-force versions.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from graphloom.llm.common import materialise
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it learns from the labelled ones among its own input."""
+    from graphloom.llm.quality import keep_good
+
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id stays."""
+    from graphloom.llm.exact import drop_copies
+
+    return drop_copies(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates, on shingles of five words and from a similarity of 0.8, the smallest doc_id stays."""
+    from graphloom.llm.minhash import drop_near_duplicates
+
+    return drop_near_duplicates(docs, size=5, percent=80)
+
+
+def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of personal data are replaced by their kind."""
+    from graphloom.llm.pii import redact
+
+    return redact(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 2048 tokens."""
+    import public_tokenizers
+
+    from graphloom.llm.packing import pack
+
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality", quality), ("exact", exact), ("near", near), ("personal", personal), ("packing", packing)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs

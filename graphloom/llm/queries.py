@@ -57,6 +57,12 @@ def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix import repeated_strings
+
+    return repeated_strings(table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import personal_data
 
@@ -69,13 +75,23 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), rules_frame(spark, RULES))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media, op2_minhash, op3_exact, op4_bpe, op5_quality, op6_packing, op7_substring, op9_pii, op10_urls)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media, op2_minhash, op3_exact, op4_bpe, op5_quality, op6_packing, op7_substring, op8_suffix, op9_pii, op10_urls)}
 
 ORACLE: dict[str, str] = {
     "op3_exact": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WINDOW w AS (PARTITION BY t)""",
+    "op7_substring": """
+        WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d),
+        h AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS k FROM s),
+        r AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS m FROM h) WHERE m < doc_id),
+        g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM r),
+        e AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM d),
+        k AS (SELECT e.doc_id, count(*) FILTER (g.j IS NOT NULL) AS n_removed, string_agg(word, ' ' ORDER BY e.j) FILTER (g.j IS NULL) AS kept
+              FROM e LEFT JOIN g ON e.doc_id = g.doc_id AND e.j = g.j GROUP BY e.doc_id)
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON d.doc_id = k.doc_id""",
     "op10_urls": """
         WITH rules(verdict, h, p) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/de/'),
                                              ('allow', 'example.net', '/de/8'), ('block', 'org', '/es/')),
