@@ -714,7 +714,7 @@ class Compiler:
         kind = "array<struct<label:string,id:bigint>>"
         level = f.df.withColumn("_cl", F.col(f"{here}${LABEL}")).withColumn("_cv", F.col(f"{here}${VID}")).withColumn("_qe", F.expr(f"cast(array() as {kind})")).withColumn("_qn", F.expr(f"cast(array() as {kind})"))
         endless = i.high is None
-        trail = mode == "TRAIL" or endless
+        trail = mode == "TRAIL" or endless and not shortest
         start = [f"{here}${LABEL}", f"{here}${VID}"]
         seen = None
         found = level if i.low == 0 else None
@@ -725,7 +725,7 @@ class Compiler:
         while endless or depth < i.high:
             depth += 1
             level = level.join(hop, (F.col("_cv") == F.col("_f")) & (F.col("_cl") == F.col("_fl")))
-            if trail or shortest:
+            if trail:
                 level = level.where(~F.arrays_overlap("_qe", "_he"))
             if mode in ("ACYCLIC", "SIMPLE"):
                 level = level.where(~F.arrays_overlap("_qn", "_hn"))

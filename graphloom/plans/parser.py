@@ -584,14 +584,15 @@ class Parser:
         if self.punct("+"):
             return self.unary()
         e = self.primary()
-        while self.peek(".") and self.ahead().kind in ("word", "name"):
-            self.i += 1
-            e = A.Expr("prop", [e, self.name()])
-        while self.peek("["):
-            self.i += 1
-            e = A.Expr("at", [e, self.expr()])
-            self.need("]")
-        return e
+        while True:
+            if self.peek(".") and self.ahead().kind in ("word", "name"):
+                self.i += 1
+                e = A.Expr("prop", [e, self.name()])
+            elif self.punct("["):
+                e = A.Expr("at", [e, self.expr()])
+                self.need("]")
+            else:
+                return e
 
     def type_name(self) -> str:
         words = [self.name()]
