@@ -1,0 +1,462 @@
+"""The training-data operators against brute-force versions, and their edge cases."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import os
+import random
+import re
+import unicodedata
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+import public_tokenizers as P
+from graphloom.llm import bpe, common, exact, media, minhash, packing, pii, quality, queries, substring, suffix, urls
+
+SCHEMA = "doc_id long, text string"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def table(spark, rows, parts=3):
+    return spark.createDataFrame(rows, SCHEMA).repartition(parts) if rows else spark.createDataFrame([], SCHEMA)
+
+
+def sha(b):
+    return hashlib.sha256(b if isinstance(b, bytes) else b.encode()).hexdigest()
+
+
+@pytest.fixture(scope="module")
+def corpus(spark, data):
+    df = spark.read.parquet(f"{data}/documents.parquet")
+    return df, [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+
+
+ODD = [(1, None), (2, ""), (3, " \t\n"), (4, "x"), (4, "x"), (5, "é" * 400), (6, "word " * 3000), (None, "nameless"), (7, "nameless"), (8, "tail\0zero")]
+
+
+def odd(spark):
+    """Nulls, empty and long texts, repeated rows, and extra columns with clashing names."""
+    return spark.createDataFrame([(d, t, "a", "b", None) for d, t in ODD], "doc_id long, text string, Text string, TEXT string, note string").toDF("doc_id", "text", "extra", "text ", "note")
+
+
+EVERY = {
+    "media": media.films, "clips": media.clips, "near": lambda d: minhash.near_duplicates(d, 3, 85), "exact": exact.exact_dedup, "bpe": lambda d: bpe.round_trip(d, P.path("byte_bpe_50k.tiktoken"), P.PATTERN),
+    "packing": lambda d: packing.pack(d, P.path("word_bpe_49k.json")), "substring": substring.repeated_passages, "suffix": suffix.repeated_strings, "pii": pii.personal_data,
+}
+
+
+@pytest.mark.parametrize("name", sorted(EVERY))
+def test_odd_and_empty_tables(spark, name):
+    empty = EVERY[name](table(spark, []))
+    assert empty.collect() == []
+    got = EVERY[name](odd(spark))
+    assert got.columns == empty.columns
+    ids = [r["doc_id"] for r in got.collect()]
+    if name not in ("packing", "clips"):
+        assert sorted(ids, key=str) == sorted((d for d, _ in ODD), key=str)
+    assert set(ids) == {d for d, _ in ODD}
+
+
+def test_duplicate_column_names(spark):
+    df = spark.createDataFrame([(1, "a", "b")], "doc_id long, text string, other string").toDF("doc_id", "text", "text")
+    assert common.documents(df).collect() == [(1, "a")]
+    with pytest.raises(ValueError, match="no column"):
+        common.pick(df, "nope")
+
+
+# -- 1 media
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.binary(max_size=3000), min_size=1, max_size=4))
+def test_films_round_trip(payloads):
+    films = media.encode_films(payloads)
+    for p, film in zip(payloads, films, strict=True):
+        avi = media.Avi(film)
+        assert avi.payload == len(p)
+        assert media.decode_frames([film[a : a + n] for a, n in avi.frames]).tobytes()[: len(p)] == p
+        assert film == media.encode_films([p])[0]
+
+
+def test_film_without_index():
+    film = media.encode_films([bytes(range(256)) * 9])[0]
+    cut = film.index(b"idx1")
+    assert media.Avi(film[:cut]).frames == media.Avi(film).frames
+
+
+def test_shots_are_found():
+    quiet, loud = np.full((10, 8, 64), 20, np.uint8), np.full((6, 8, 64), 200, np.uint8)
+    assert media.shots(np.concatenate([quiet, loud, quiet])) == [(0, 10), (10, 16), (16, 26)]
+    assert media.shots(quiet) == [(0, 10)]
+
+
+def test_media_columns(spark, corpus):
+    df, rows = corpus
+    got = {r["doc_id"]: r for r in media.films(df).collect()}
+    for d, t in rows:
+        b = (t or "").encode()
+        p = media.padded(b)
+        assert (got[d]["n_bytes"], got[d]["payload_bytes"], got[d]["payload_sha256"], got[d]["tail_crc32"]) == (len(b), len(p), sha(p), zlib.crc32(p[-64:]))
+    assert len(media.padded(b"")) == 64
+
+
+# -- 2 near-duplicates
+def near_brute(rows, size, percent):
+    sets = {}
+    for d, t in rows:
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+        sets[d] = frozenset(tuple(w[i : i + size]) for i in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else [])
+    parent = {d: d for d in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            n = len(sets[a] & sets[b])
+            if sets[a] and sets[b] and 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    return {d: (len(s), root(d)) for d, s in sets.items()}
+
+
+def near_rows(seed):
+    r = random.Random(seed)
+    base = [" ".join(r.choice("abcdefghij") + str(r.randint(0, 99)) for _ in range(110)) for _ in range(3)]
+    rows = []
+    for i in range(250):
+        w = r.choice(base).split()
+        for _ in range(r.randint(0, 8)):
+            w[r.randrange(len(w))] = f"z{r.randint(0, 5)}"
+        rows.append((i, " ".join(w)))
+    return rows + [(300, None), (301, "A b"), (302, "a  B"), (303, "x"), (304, " ")]
+
+
+@pytest.mark.parametrize(("size", "percent"), [(3, 85), (5, 80)])
+def test_near_duplicates(spark, corpus, size, percent):
+    for df, rows in (corpus, (table(spark, near_rows(size)), near_rows(size))):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(df, size, percent).collect()}
+        assert got == near_brute(rows, size, percent)
+
+
+def test_blocks_of_one(spark, monkeypatch):
+    """Families and buckets far over a block's size give the same classes."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    rows = near_rows(9)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(table(spark, rows), 3, 85).collect()} == near_brute(rows, 3, 85)
+
+
+def test_components(spark):
+    from graphloom.llm.components import components
+
+    chain = [(i, i + 1) for i in range(40)] + [(100, 102), (102, 101), (7, 7)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# -- 3 exact
+def test_exact(spark, corpus):
+    df, rows = corpus
+    groups = {}
+    for d, t in rows:
+        groups.setdefault(t or "", []).append(d)
+    got = exact.exact_dedup(df).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        g = groups[dict(rows)[r["doc_id"]] or ""]
+        assert (r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) == (max(g), len(g), r["doc_id"] == max(g), sha(dict(rows)[r["doc_id"]] or ""))
+
+
+def test_index_appends_only_news(spark, tmp_path):
+    index = exact.DigestIndex(spark, "idx_news", buckets=4, path=f"{tmp_path}/idx")
+    index.admit(table(spark, [(1, "a"), (2, "b"), (3, "a")]))
+    index.admit(table(spark, [(9, "a"), (8, "c"), (7, None)]))
+    index.admit(table(spark, [(9, "a"), (8, "c"), (7, None)]))
+    assert sorted((r["keep_id"], r["group_size"]) for r in index.table().collect()) == [(2, 1), (3, 2), (7, 1), (8, 1)]
+    plan = index.fresh(index.groups(table(spark, [(1, "a")])))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning(digest") <= 1  # the index side isn't shuffled
+
+
+# -- 4 BPE
+@pytest.fixture(scope="module")
+def tik():
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(max_size=200), max_size=4))
+def test_bpe_equals_library(tik, texts):
+    e = bpe.Encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, cache=50)
+    for t, ids in zip(texts, e.encode(texts), strict=True):
+        ids = np.frombuffer(ids, "<u4")
+        assert ids.tolist() == tik.encode_ordinary(t)
+        assert e.vocabulary.decode(ids) == t.encode()
+
+
+def test_bpe_on_corpus(spark, corpus, tik):
+    df, rows = corpus
+    got = {r["doc_id"]: r for r in bpe.round_trip(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()}
+    for d, t in [*rows, (None, None)][:-1]:
+        ids = np.array(tik.encode_ordinary(t or ""), "<u4")
+        assert (got[d]["n_tokens"], got[d]["ids_sha256"], got[d]["decoded_sha256"]) == (len(ids), sha(ids.tobytes()), sha(t or ""))
+    e = bpe.Encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    assert np.frombuffer(e.encode(["a" * 5000])[0], "<u4").tolist() == tik.encode_ordinary("a" * 5000)
+
+
+# -- 5 quality
+def test_quality_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("no data")
+    r = queries.op5_quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").toPandas()
+    assert (r.predicted == r.quality).mean() > 0.93
+    assert ((r.predicted == 0) & (r.quality == 1)).mean() < 0.03
+    loss = -np.where(r.quality == 1, np.log(r.score.clip(1e-6, 1)), np.log((1 - r.score).clip(1e-6, 1))).mean()
+    assert loss < 0.3
+
+
+def test_quality_edges(spark, data):
+    docs = table(spark, [(1, None), (2, ""), (3, "a b"), (3, "a b"), (None, "c")])
+    labels = spark.createDataFrame([(1, 1), (None, 0), (2, None)], "doc_id long, quality int")
+    got = quality.classify(docs, labels).collect()
+    assert len(got) == 5 and {r["score"] for r in got} == {1.0}
+    assert quality.classify(docs, labels.limit(0)).first()["score"] == 0.5
+    df = spark.read.parquet(f"{data}/documents.parquet")
+    lab = spark.read.parquet(f"{data}/labels.parquet")
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1 for r in quality.classify(df, lab).collect())
+    good = quality.keep_good(df, lab)
+    assert good.columns == df.columns and 0 < good.count() < df.count()
+
+
+def test_scores_dont_depend_on_neighbours(spark, data):
+    texts = [r["text"].encode() for r in spark.read.parquet(f"{data}/documents.parquet").limit(20).collect()]
+    r = np.random.default_rng(1)
+    w, s = r.normal(size=(2, quality.BUCKETS, quality.DIM)).astype(np.float32)
+    together = quality.pooled(texts, w, s)
+    assert all((quality.pooled([t], w, s)[0] == together[i]).all() for i, t in enumerate(texts))
+
+
+# -- 6 packing
+def test_packing(spark, corpus):
+    from tokenizers import Tokenizer
+
+    df, rows = corpus
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    want = {d: [*t.encode(x or "", add_special_tokens=False).ids, 1] for d, x in rows}
+    pieces = packing.pack(df.repartition(5), P.path("word_bpe_49k.json")).collect()
+    by_doc, by_seq = {}, {}
+    for p in pieces:
+        by_doc.setdefault(p["doc_id"], []).append(p)
+        by_seq.setdefault(p["sequence_id"], []).append(p)
+    assert set(by_doc) == set(want)
+    for d, ps in by_doc.items():
+        at = 0
+        for p in sorted(ps, key=lambda p: p["start"]):
+            assert p["start"] == at and p["length"] > 0 and p["doc_tokens"] == len(want[d])
+            assert p["ids_crc32"] == zlib.crc32(np.array(want[d][at : at + p["length"]], "<u4").tobytes())
+            at += p["length"]
+        assert at == len(want[d])
+    for ps in by_seq.values():
+        at = 0
+        for p in sorted(ps, key=lambda p: p["offset"]):
+            assert p["offset"] == at
+            at += p["length"]
+        assert at <= 2048 and at & (at - 1) == 0  # full, or a power of two: no padding at all
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("aZé'sS1?<|ÉÅÿŸſ\u0130\u03a3\u0301 \t\x1c\u3000中") | st.characters(codec="utf-8"), max_size=60), max_size=4))
+def test_words_encode_as_the_library_does(texts):
+    t = packing.tokenizer(P.path("word_bpe_49k.json"))
+    got = packing.WordEncoder(P.path("word_bpe_49k.json")).encode([x.encode() for x in texts])
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_special_strings_and_full_caches():
+    t = packing.tokenizer(P.path("word_bpe_49k.json"))
+    for text in ("<|endoftext|> x<|startoftext|>", "a" * 3000, unicodedata.normalize("NFD", "éà ïx"), "don't IT'S 's"):
+        assert np.frombuffer(packing.WordEncoder(P.path("word_bpe_49k.json"), most=2).encode([text.encode()])[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+# -- 7 and 8 repeats
+def repeats(seed):
+    r = random.Random(seed)
+    v = [f"w{i}" for i in range(400)]
+    shared = [[r.choice(v) for _ in range(r.randint(45, 90))] for _ in range(6)]
+    rows = []
+    for i in range(120):
+        w = []
+        for _ in range(r.randint(0, 5)):
+            w += [r.choice(v) for _ in range(r.randint(0, 60))]
+            if r.random() < 0.6:
+                w += r.choice(shared)
+            if w and r.random() < 0.3:
+                w[r.randrange(len(w))] = "ed"
+        rows.append((i, (" " if r.random() < 0.7 else "\n ").join(w)))
+    return rows + [(300, None), (301, ""), (302, "a " * 700), (303, "b a " + "a " * 400), (304, "é" * 300), (305, "xé" + "é" * 200), (306, "ab" * 300), (307, "ab" * 300)]
+
+
+def covered(items, first, d, n=50):
+    gone = bytearray(len(items))
+    for i in range(len(items) - n + 1):
+        if first[items[i : i + n]] < d:
+            gone[i : i + n] = b"\1" * n
+    return gone
+
+
+def firsts(docs, n=50):
+    out = {}
+    for d, x in sorted(docs.items()):
+        for i in range(len(x) - n + 1):
+            out.setdefault(x[i : i + n], d)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_repeated_passages(spark, corpus, seed):
+    for df, rows in (corpus, (table(spark, repeats(seed), 5), repeats(seed)))[: 3 - seed]:
+        docs = {d: tuple(WORD.findall(t or "")) for d, t in rows}
+        first = firsts(docs)
+        got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.repeated_passages(df).collect()}
+        for d, w in docs.items():
+            gone = covered(w, first, d)
+            assert got[d] == (len(w), sum(gone), sha(" ".join(x for x, g in zip(w, gone, strict=True) if not g)))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_repeated_strings(spark, corpus, seed):
+    for df, rows in (corpus, (table(spark, repeats(seed), 5), repeats(seed)))[: 3 - seed]:
+        docs = {d: (t or "").encode() for d, t in rows}
+        first = firsts(docs)
+        got = {r["doc_id"]: tuple(r)[1:] for r in suffix.repeated_strings(df).collect()}
+        for d, b in docs.items():
+            gone = covered(b, first, d)
+            assert got[d] == (len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), sha(bytes(x for x, g in zip(b, gone, strict=True) if not g)))
+
+
+def test_cover_meets_every_alignment():
+    pairs = {(a - b) % substring.PERIOD for a in substring.COVER for b in substring.COVER}
+    assert pairs == set(range(substring.PERIOD))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.binary(min_size=24, max_size=24), min_size=1, max_size=40), st.integers(0, 3))
+def test_multikey_order(rows, keep):
+    rows = [r[:8] * 2 + r[16:] if keep else r for r in rows]
+    tokens = np.frombuffer(b"".join(rows), ">u8").reshape(-1, 3).astype(np.uint64)
+    order, differs = suffix.multikey_order(tokens)
+    assert [rows[i] for i in order] == sorted(rows)
+    for k in range(1, len(rows)):
+        a, b = tokens[order[k - 1]], tokens[order[k]]
+        assert differs[k] == next((j for j in range(3) if a[j] != b[j]), 3)
+
+
+# -- 9 personal data
+PAT = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(d):
+    return sum(v if i % 2 == 0 else v * 2 - 9 * (v > 4) for i, v in enumerate(map(int, reversed(d)))) % 10 == 0
+
+
+def personal_brute(t):
+    out = []
+    for k, p in PAT.items():
+        for m in re.finditer(p, t):
+            d = re.sub("[^0-9]", "", m.group())
+            if {"email": True, "ip": k == "ip" and all(int(x) <= 255 for x in m.group().split(".")), "card": 16 <= len(d) <= 19 and luhn(d), "phone": 8 <= len(d) <= 15}[k]:
+                out.append(f"{k}:{m.start()}:{m.end()}")
+    return out
+
+
+def test_personal_data(spark, corpus):
+    r = random.Random(5)
+    bits = ["a", "b.", "@", "x@y.z", "_", "%", "é", "😀", " ", "-", "1", "4111111111111111", "4111 1111 1111 1111", "127.0.0.1", "300.1.1.1", "1.2.3", "+1 (555) 555-1234", "+", "(", ".", "0", "555-123-4567", "123-45-6789"]
+    rows = list(enumerate(["".join(r.choice(bits) for _ in range(r.randint(0, 60))) for _ in range(400)] + ["1-" * 5000 + "1", "a" * 20000, "a@b.c " * 3000, None]))
+    for df, rs in (corpus, (table(spark, rows), rows)):
+        got = {x["doc_id"]: x for x in pii.personal_data(df).collect()}
+        for d, t in rs:
+            want = personal_brute(t or "")
+            assert got[d]["base_sha256"] == sha(",".join(want))
+            assert [got[d][f"n_{k}"] for k in PAT] == [sum(x.startswith(k) for x in want) for k in PAT]
+            assert set(want) <= set(filter(None, got[d]["spans"].split(",")))
+
+
+def test_personal_data_plan_has_no_python(spark, data):
+    df = pii.find(common.documents(spark.read.parquet(f"{data}/documents.parquet")), model={"bias": 1.0})
+    assert not re.search("Python|Arrow|Pandas", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_redaction(spark):
+    df = spark.createDataFrame([(1, "écris à a.b@c.de ou +1 (555) 555-1234!", 0), (2, None, None), (3, "clean", 5)], "doc_id long, text string, n_chars long")
+    got = {r["doc_id"]: r for r in pii.redact(df).collect()}
+    assert got[1]["text"] == "écris à [EMAIL] ou [PHONE]!" and got[1]["n_chars"] == len(got[1]["text"])
+    assert got[2]["text"] is None and got[3]["text"] == "clean"
+
+
+def test_label_model_prefers_agreement():
+    counts = {("key", 1, 1, 1): 80.0, ("key", 0, 0, 0): 60.0, ("key", 1, 0, -1): 10.0, ("key", 0, 1, -1): 10.0}
+    post = pii.label_model(counts)
+    assert post[("key", 1, 1, 1)] > 0.9 and post[("key", 0, 0, 0)] < 0.1
+    assert pii.label_model({}) == {} and pii.train({})["bias"] == 0
+
+
+# -- 10 URLs
+def test_urls(spark):
+    cases = {
+        "http://a.example.com/en/71?x": ("a.example.com", "/en/71", "example.com/en/7", "allow"), "https://B.COM/en/2#f": ("b.com", "/en/2", "com/en/", "block"), "http://xcom/en/": ("xcom", "/en/", None, "allow"),
+        "no scheme": ("", "", None, "allow"), None: ("", "", None, "allow"), "": ("", "", None, "allow"), "http://example.net/de/8": ("example.net", "/de/8", "example.net/de/8", "allow"), "ftp://a.net/de/": ("a.net", "/de/", "net/de/", "block"),
+        "http://org?/es/": ("org", "", None, "allow"), "x://y://com/en/": ("y:", "//com/en/", None, "allow"), "http://é.org/es/ü": ("é.org", "/es/ü", "org/es/", "block"),
+    }
+    rows = [(i, u) for i, u in enumerate(cases)] + [(0, "http://a.example.com/en/71?x"), (None, None)]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string"), urls.rules_frame(spark, urls.RULES)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r["page_id"] is not None:
+            assert tuple(r)[1:] == cases[rows[r["page_id"]][1]]
+    empty = urls.judge(spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string"), urls.rules_frame(spark, urls.RULES).limit(0), "block")
+    assert tuple(empty.first()) == (1, "a.com", "/", None, "block")
+
+
+def test_longest_rule_then_host_then_block(spark):
+    rules = urls.rules_frame(spark, [("allow", "a.com", "/xy"), ("block", "com", "/xyzw"), ("allow", "b.com", "/"), ("block", "b.com", "/")])
+    got = urls.judge(spark.createDataFrame([(1, "http://a.com/xyzw"), (2, "http://b.com/q")], "page_id long, url string"), rules)
+    assert {r["page_id"]: r["rule"] + " " + r["verdict"] for r in got.collect()} == {1: "a.com/xy allow", 2: "b.com/ block"}
+
+
+# -- pipeline
+def test_pipeline(spark, data):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    kept = [docs.count()]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs
+        docs = common.materialise(stage(spark, docs, data), "test-stage")
+        assert docs.columns == before.columns
+        kept.append(docs.count())
+        if name == "exact":
+            texts = [r["text"] for r in docs.collect()]
+            assert len(texts) == len(set(texts)) and set(texts) == {r["text"] for r in before.collect()}
+            last = before.groupBy("text").agg(F.max("doc_id").alias("d"))
+            assert docs.select("doc_id").exceptAll(last.select("d")).isEmpty()
+        if name == "near":
+            want = near_brute([(r["doc_id"], r["text"]) for r in before.collect()], 5, 80)
+            assert sorted(r["doc_id"] for r in docs.collect()) == sorted({c for _, c in want.values()})
+        if name == "personal":
+            assert docs.count() == before.count()
+            assert not any(personal_brute(r["text"]) for r in docs.collect())
+    assert kept == sorted(kept, reverse=True) and kept[-1] > 0
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, data)
+    assert {r["doc_id"] for r in pieces.select("doc_id").distinct().collect()} == {r["doc_id"] for r in docs.collect()}
