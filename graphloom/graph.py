@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,12 +16,22 @@ class GraphFault(ValueError):
     """A graph or catalog object is missing, doubled, or not what it should be."""
 
 
-@dataclass(frozen=True)
-class VertexSet:
+class _Rows:
+    """A frame that is given, or read when it is first asked for: a graph opens only the tables that a query touches."""
+
+    source: DataFrame | Callable[[], DataFrame]
+
+    @cached_property
+    def df(self) -> DataFrame:
+        return self.source() if callable(self.source) and not isinstance(self.source, DataFrame) else self.source
+
+
+@dataclass(frozen=True, eq=False)
+class VertexSet(_Rows):
     """The vertices of one label: _vid and properties."""
 
     label: str
-    df: DataFrame
+    source: DataFrame | Callable[[], DataFrame]
     required: frozenset[str] = frozenset()
 
     @property
@@ -28,14 +39,14 @@ class VertexSet:
         return [c for c in self.df.columns if c != VID]
 
 
-@dataclass(frozen=True)
-class EdgeSet:
+@dataclass(frozen=True, eq=False)
+class EdgeSet(_Rows):
     """The edges of one label between two vertex labels: _eid, _src, _dst and properties."""
 
     label: str
     src_label: str
     dst_label: str
-    df: DataFrame
+    source: DataFrame | Callable[[], DataFrame]
     required: frozenset[str] = frozenset()
 
     @property
@@ -106,7 +117,7 @@ class Graph:
         out, found = [], False
         for e in self.edges:
             if (e.label, e.src_label, e.dst_label) == (label, src_label, dst_label):
-                e, found = replace(e, df=e.df.unionByName(rows, allowMissingColumns=True)), True
+                e, found = replace(e, source=e.df.unionByName(rows, allowMissingColumns=True)), True
             out.append(e)
         return self.changed(edges=(*out, *(() if found else (EdgeSet(label, src_label, dst_label, rows),))))
 
@@ -119,18 +130,18 @@ class Graph:
             for end, at in ((e.src_label, SRC), (e.dst_label, DST)):
                 if end == label:
                     df = df.join(gone.withColumnRenamed(VID, at), at, "left_anti")
-            edges.append(replace(e, df=df.select(*e.df.columns)))
+            edges.append(replace(e, source=df.select(*e.df.columns)))
         kept = self.vertices[label].df.join(gone, VID, "left_anti").select(*self.vertices[label].df.columns)
-        return self.changed(vertices=self.vertices | {label: replace(self.vertices[label], df=kept)}, edges=tuple(edges))
+        return self.changed(vertices=self.vertices | {label: replace(self.vertices[label], source=kept)}, edges=tuple(edges))
 
     def delete_edges(self, label: str, ids: DataFrame) -> Graph:
         gone = ids.select(EID).distinct()
-        return self.changed(edges=tuple(replace(e, df=e.df.join(gone, EID, "left_anti").select(*e.df.columns)) if e.label == label else e for e in self.edges))
+        return self.changed(edges=tuple(replace(e, source=e.df.join(gone, EID, "left_anti").select(*e.df.columns)) if e.label == label else e for e in self.edges))
 
     def set_property(self, label: str, name: str, value: Callable[[DataFrame], object]) -> Graph:
         """A vertex property, new or replaced, by a column over the label's frame."""
         v = self.vertices[label]
-        return self.changed(vertices=self.vertices | {label: replace(v, df=v.df.withColumn(name, value(v.df)))})
+        return self.changed(vertices=self.vertices | {label: replace(v, source=v.df.withColumn(name, value(v.df)))})
 
 
 class Catalog:

@@ -71,7 +71,7 @@ text("path_unlabelled_edge", "MATCH (a:Nation)-[e]->(b:Region) RETURN id(a) AS a
 text("path_cycle", "MATCH (a:Nation)-[:IN_REGION]->(r:Region)<-[:IN_REGION]-(a) RETURN id(a) AS a, id(r) AS r", "SELECT n_nationkey::BIGINT AS a, n_regionkey::BIGINT AS r FROM nation")
 text("multi_path", "MATCH (c:Customer)-[:IN_NATION]->(n:Nation)<-[:IN_NATION]-(s:Supplier), (c)-[:PLACED]->(o:Orders) WHERE o.o_totalprice > 300000 RETURN c.c_custkey AS c, s.s_suppkey AS s, o.o_orderkey AS o", "SELECT c_custkey AS c, s_suppkey AS s, o_orderkey AS o FROM customer JOIN supplier ON s_nationkey = c_nationkey JOIN orders ON o_custkey = c_custkey WHERE o_totalprice > 300000")
 text("multi_match", "MATCH (c:Customer)-[:IN_NATION]->(n:Nation) MATCH (n)-[:IN_REGION]->(r:Region) RETURN r.r_name AS r, count(c) AS k", "SELECT r_name AS r, count(*) AS k FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
-text("optional_match", "MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Orders) WHERE o.o_totalprice > 450000 RETURN c.c_custkey AS c, o.o_orderkey AS o", "SELECT c_custkey AS c, o_orderkey AS o FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 450000")
+text("optional_match", "MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Orders) WHERE o.o_totalprice > 450000 RETURN c.c_custkey AS c, coalesce(o.o_orderkey, -1) AS o", "SELECT c_custkey AS c, coalesce(o_orderkey, -1) AS o FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 450000")
 text("optional_aggregate", "MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Orders) WHERE o.o_totalprice > 450000 RETURN c.c_custkey AS c, count(o) AS n, sum(o.o_totalprice) AS s", "SELECT c_custkey AS c, count(o_orderkey) AS n, sum(o_totalprice) AS s FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 450000 GROUP BY 1")
 text("exists_semi", "MATCH (c:Customer) WHERE EXISTS { (c)-[:PLACED]->(o:Orders) WHERE o.o_totalprice > 450000 } RETURN c.c_custkey AS c", "SELECT c_custkey AS c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000)")
 text("not_exists_anti", "MATCH (c:Customer) WHERE NOT EXISTS { MATCH (c)-[:PLACED]->(o:Orders) WHERE o.o_totalprice > 450000 } RETURN c.c_custkey AS c", "SELECT c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000)")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,23 +16,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def tables_graph(spark: SparkSession, sf_dir: str, name: str = "tables") -> Graph:
     """The graph view; every frame is a projection of one table, so filters and columns reach its scan."""
-    t = {n: table(spark, sf_dir, n) for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")}
     key = {"Region": ("region", "r_regionkey"), "Nation": ("nation", "n_nationkey"), "Customer": ("customer", "c_custkey"), "Supplier": ("supplier", "s_suppkey"), "Part": ("part", "p_partkey"), "Orders": ("orders", "o_orderkey"), "Event": ("events", "event_id"), "Vec": ("embeddings", "vec_id")}
-    vertices = {label: VertexSet(label, t[n].withColumn(VID, F.col(k).cast("long"))) for label, (n, k) in key.items()}
-    vertices["User"] = VertexSet("User", t["events"].select(F.col("user_id").cast("long").alias(VID)).where(F.col(VID).isNotNull()).distinct())
 
-    def edge(label: str, src: str, dst: str, df: DataFrame, eid: object, s: str, d: str, *props: str) -> EdgeSet:
-        return EdgeSet(label, src, dst, df.select(eid.cast("long").alias(EID), F.col(s).cast("long").alias(SRC), F.col(d).cast("long").alias(DST), *props).where(F.col(SRC).isNotNull() & F.col(DST).isNotNull()))
+    @cache
+    def t(n: str) -> DataFrame:
+        return table(spark, sf_dir, n)
+
+    def vertex(label: str, n: str, k: str) -> VertexSet:
+        return VertexSet(label, lambda: t(n).withColumn(VID, F.col(k).cast("long")))
+
+    vertices = {label: vertex(label, n, k) for label, (n, k) in key.items()}
+    vertices["User"] = VertexSet("User", lambda: t("events").select(F.col("user_id").cast("long").alias(VID)).where(F.col(VID).isNotNull()).distinct())
+
+    def edge(label: str, src: str, dst: str, n: str, eid: str, s: str, d: str, *props: str) -> EdgeSet:
+        return EdgeSet(label, src, dst, lambda: t(n).select(F.expr(eid).cast("long").alias(EID), F.col(s).cast("long").alias(SRC), F.col(d).cast("long").alias(DST), *props).where(F.col(SRC).isNotNull() & F.col(DST).isNotNull()))
 
-    line = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    line = "l_orderkey * 8 + l_linenumber"
     lines = ("l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
     edges = (
-        edge("IN_REGION", "Nation", "Region", t["nation"], F.col("n_nationkey"), "n_nationkey", "n_regionkey"),
-        edge("IN_NATION", "Customer", "Nation", t["customer"], F.col("c_custkey"), "c_custkey", "c_nationkey"),
-        edge("IN_NATION", "Supplier", "Nation", t["supplier"], F.col("s_suppkey"), "s_suppkey", "s_nationkey"),
-        edge("PLACED", "Customer", "Orders", t["orders"], F.col("o_orderkey"), "o_custkey", "o_orderkey"),
-        edge("CONTAINS", "Orders", "Part", t["lineitem"], line, "l_orderkey", "l_partkey", *lines),
-        edge("SUPPLIED_BY", "Orders", "Supplier", t["lineitem"], line, "l_orderkey", "l_suppkey", *lines),
-        edge("DID", "User", "Event", t["events"], F.col("event_id"), "user_id", "event_id", "ts", "value"),
+        edge("IN_REGION", "Nation", "Region", "nation", "n_nationkey", "n_nationkey", "n_regionkey"),
+        edge("IN_NATION", "Customer", "Nation", "customer", "c_custkey", "c_custkey", "c_nationkey"),
+        edge("IN_NATION", "Supplier", "Nation", "supplier", "s_suppkey", "s_suppkey", "s_nationkey"),
+        edge("PLACED", "Customer", "Orders", "orders", "o_orderkey", "o_custkey", "o_orderkey"),
+        edge("CONTAINS", "Orders", "Part", "lineitem", line, "l_orderkey", "l_partkey", *lines),
+        edge("SUPPLIED_BY", "Orders", "Supplier", "lineitem", line, "l_orderkey", "l_suppkey", *lines),
+        edge("DID", "User", "Event", "events", "event_id", "user_id", "event_id", "ts", "value"),
     )
     return Graph(name, vertices, edges)

@@ -23,10 +23,12 @@ def duck(data):
 
 def plain(df: pd.DataFrame) -> list[tuple]:
     def value(x: object) -> str:
-        if x is None or x is pd.NaT or isinstance(x, float) and x != x:
+        if x is None or x is pd.NaT or x is pd.NA or isinstance(x, float) and x != x:
             return "null"
         x = x.item() if hasattr(x, "item") else x
-        return repr(round(x, 6)) if isinstance(x, float) else repr(x)
+        if isinstance(x, float):
+            return repr(int(x)) if x == int(x) else repr(round(x, 6))
+        return repr(x)
 
     cols = sorted(df.columns)
     return sorted(tuple(value(x) for x in row) for row in df[cols].itertuples(index=False))
