@@ -43,3 +43,8 @@ def listed(spark: SparkSession, path: str) -> list[tuple[str, bool]]:
     """(name, is a directory) of what a folder holds, sorted."""
     fs, p = _fs(spark, path)
     return sorted((s.getPath().getName(), s.isDirectory()) for s in fs.listStatus(p))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
