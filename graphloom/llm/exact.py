@@ -11,11 +11,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import documents, partitions
+from .common import documents, materialise, partitions
 
-SCHEMA = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("keep_id", T.LongType()), T.StructField("group_size", T.LongType())])
+#: A digest is hot with this many rows, if they are one in HOT_SHARE of all; so at most HOT_SHARE digests are hot.
+HOT_ROWS, HOT_SHARE = 1000, 1000
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -43,26 +43,45 @@ class DigestIndex:
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def plain(self) -> DataFrame:
+        """The index read without its buckets, for joins on more than the digest."""
+        self.spark.sql(f"REFRESH TABLE {self.name}")
+        place = self.spark.sql(f"DESCRIBE EXTENDED {self.name}").where("col_name = 'Location'").first()["data_type"]
+        return self.spark.read.schema(self.table().schema).parquet(place)
+
     def fresh(self, groups: DataFrame) -> DataFrame:
         """The groups whose digest the index doesn't have; a sort-merge join that reads the index bucket by bucket."""
         return groups.join(self.table().select("digest").hint("merge"), "digest", "left_anti")
 
     def admit(self, docs: DataFrame) -> None:
         """Appends the texts that are new.  A batch that was admitted before adds nothing."""
-        fresh = self.fresh(self.groups(docs))
+        # written first: else the optimizer moves the anti-join below the aggregate, where copies haven't been merged yet
+        fresh = self.fresh(materialise(self.groups(docs), "digest-groups"))
         buckets = self.spark.sql(f"DESCRIBE EXTENDED {self.name}").where("col_name = 'Num Buckets'").first()["data_type"]
         fresh.write.mode("append").bucketBy(int(buckets), "digest").sortBy("digest").format("parquet").saveAsTable(self.name)
 
+    def looked_up(self, rows: DataFrame, key: str) -> DataFrame:
+        """The rows (with a digest column `key`) beside keep_id and group_size.
+
+        Digests with a thousandth of all rows or more are looked up by broadcast: there are a thousand of them at most,
+        whatever the table's size.  The others meet the index in a sort-merge join, where no key is hot any more.
+        """
+        self.spark.sql(f"REFRESH TABLE {self.name}")
+        index = self.table()
+        least = max(HOT_ROWS, (index.agg(F.sum("group_size").alias("n")).first()["n"] or 0) / HOT_SHARE)
+        hot = F.col("group_size") >= least
+        renamed = index.withColumnRenamed("digest", "_digest")
+        often = rows.join(F.broadcast(renamed.where(hot)), F.col(key) == F.col("_digest"))
+        others = rows.join(F.broadcast(renamed.where(hot).select("_digest")), F.col(key) == F.col("_digest"), "left_anti")
+        seldom = others.join(renamed.where(~hot).hint("merge"), F.col(key) == F.col("_digest"))
+        return often.unionByName(seldom).drop("_digest")
+
     def resolve(self, docs: DataFrame) -> DataFrame:
         """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
-        The index is read here without its buckets: the documents' side has hot digests, and an exchange on both sides
-        lets adaptive execution split them.  Of rows that repeat the kept doc_id with the same text, all are kept.
+        Of rows that repeat the kept doc_id with the same text, all are kept.
         """
-        self.spark.sql(f"REFRESH TABLE {self.name}")
-        place = self.spark.sql(f"DESCRIBE EXTENDED {self.name}").where("col_name = 'Location'").first()["data_type"]
-        index = self.spark.read.schema(SCHEMA).parquet(place)
-        return digests(docs).join(index.hint("merge"), "digest").select(
+        return self.looked_up(digests(docs), "digest").select(
             "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
@@ -84,7 +103,8 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     cols = docs.columns
     store = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
     store.admit(docs)
-    kept = store.table().select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep_id"))
-    keyed = docs.withColumn("_digest", F.unhex(F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256)))
-    rows = keyed.join(kept.hint("merge"), (keyed["_digest"] == kept["_digest"]) & keyed["doc_id"].cast("long").eqNullSafe(kept["_keep_id"])).drop("_digest", "_keep_id")
-    return rows.dropDuplicates(["doc_id", "text"]).select(*cols)
+    keyed = docs.withColumn("_digest", F.unhex(F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256))).withColumn("_id", docs["doc_id"].cast("long"))
+    kept = store.plain().select(F.col("digest").alias("_kept_digest"), F.col("keep_id").alias("_kept_id"))
+    # both sides are dealt by digest and doc_id together, so no text is hot, and one exchange serves join and repeats
+    rows = keyed.join(kept.hint("merge"), (keyed["_digest"] == kept["_kept_digest"]) & keyed["_id"].eqNullSafe(kept["_kept_id"]))
+    return rows.dropDuplicates(["_digest", "_id"]).select(*cols)

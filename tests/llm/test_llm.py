@@ -243,8 +243,8 @@ def test_scores_dont_depend_on_neighbours(spark, data):
     texts = [r["text"].encode() for r in spark.read.parquet(f"{data}/documents.parquet").limit(20).collect()]
     r = np.random.default_rng(1)
     w, s = r.normal(size=(2, quality.BUCKETS, quality.DIM)).astype(np.float32)
-    together = quality.pooled(texts, w, s)
-    assert all((quality.pooled([t], w, s)[0] == together[i]).all() for i, t in enumerate(texts))
+    together = quality.pooled(texts, w, s)[0]
+    assert all((quality.pooled([t], w, s)[0][0] == together[i]).all() for i, t in enumerate(texts))
 
 
 # -- 6 packing
@@ -345,6 +345,31 @@ def test_repeated_strings(spark, corpus, seed):
             assert got[d] == (len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), sha(bytes(x for x, g in zip(b, gone, strict=True) if not g)))
 
 
+def test_hot_leading_tokens(spark):
+    """One phrase fills most buckets: its strings are compared by fingerprints instead of being sorted in one place."""
+    r = random.Random(3)
+    phrase = "the one phrase that nearly every document of this table has somewhere in it"
+    rows = [(i, "".join(r.choice("abcdef") for _ in range(r.randint(0, 12))) + phrase[r.randint(0, 9) :] + str(r.randint(0, 99))) for i in range(200)]
+    docs = {d: t.encode() for d, t in rows}
+    first = firsts(docs)
+    for hot_from in (1, 2, 99):
+        got = {x["doc_id"]: x["n_removed"] for x in suffix.repeated_strings(table(spark, rows, 4), hot_from).collect()}
+        assert got == {d: sum(covered(b, first, d)) for d, b in docs.items()}
+
+
+def test_strings_of_a_block():
+    rows = [b"x" * 9 + b"abcdefghij" * 9, b"abcdefghij" * 9 + b"y", b"z" * 60]
+    b = suffix._Block(np.array([5, 3, 4]), rows)
+    content = np.arange(len(b.start))
+    s = suffix._Strings(b, content, b.owner)
+    texts = [bytes(b.data[p : p + 50]) for p in b.start[s.of] + s.k]
+    assert len(set(texts)) == len(s.first)
+    least = {t: min(o for u, o in zip(texts, b.owner[s.of].tolist(), strict=True) if u == t) for t in texts}
+    masks = s.masks(np.zeros(len(s.first), dtype=bool))
+    for t, c, k in zip(texts, s.of.tolist(), s.k.tolist(), strict=True):
+        assert bool(int(masks[c]) >> k & 1) == (least[t] < b.owner[c])
+
+
 def test_cover_meets_every_alignment():
     pairs = {(a - b) % substring.PERIOD for a in substring.COVER for b in substring.COVER}
     assert pairs == set(range(substring.PERIOD))
