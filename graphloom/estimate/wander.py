@@ -35,6 +35,24 @@ def _draw(seed: int, step: int, n: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), F.lit(step), F.col("walk")), n)
 
 
+#: Neighbours of a vertex that are numbered together.
+PART = 4096
+
+
+def _extended(df: DataFrame, near: DataFrame, x: str, y: str, seed: int, step: int) -> DataFrame:
+    """Walks with a random neighbour y of x.
+
+    The neighbours of a vertex are dealt into parts of some PART by a hash; a part is drawn, then a neighbour in it, and the
+    weight grows by parts times the part's size.  So no vertex, whatever its degree, is sorted in one task.
+    """
+    parts = near.groupBy(x).agg(F.ceil(F.count("*") / PART).alias("parts"))
+    dealt = near.join(parts, x).withColumn("part", F.pmod(F.xxhash64(y), F.col("parts")))
+    sizes = dealt.groupBy(x, "part").agg(F.count("*").alias("k"))
+    numbered = dealt.withColumn("pick", F.row_number().over(Window.partitionBy(x, "part").orderBy(y)).cast("long") - 1).select(x, "part", "pick", y)
+    drawn = df.join(parts, x).withColumn("part", _draw(seed, 2 * step, F.col("parts"))).join(sizes, [x, "part"]).withColumn("pick", _draw(seed, 2 * step + 1, F.col("k")))
+    return drawn.join(numbered, [x, "part", "pick"]).withColumn("weight", F.col("weight") * F.col("k") * F.col("parts")).drop("k", "pick", "part", "parts")
+
+
 def walks(g: Graph, p: Pattern, order: list[tuple[int, str, int, int]], share: float, seed: int) -> DataFrame:
     """(walk, weight): a walk from each edge of a random share of the first edges; its weight is the product of the degrees
     on its way, 0 where it ended early.  The mean weight times the number of first edges estimates the count."""
@@ -57,9 +75,7 @@ def walks(g: Graph, p: Pattern, order: list[tuple[int, str, int, int]], share: f
             continue
         here, there, x, y = ("s", "d", a, b) if a in bound else ("d", "s", b, a)
         near = edges.select(F.col(here).alias(f"v{x}"), F.col(there).alias(f"v{y}"))
-        numbered = near.withColumn("pick", F.row_number().over(Window.partitionBy(f"v{x}").orderBy(f"v{y}")).cast("long") - 1)
-        degree = near.groupBy(f"v{x}").agg(F.count("*").alias("k"))
-        df = df.join(degree, f"v{x}").withColumn("pick", _draw(seed, step, F.col("k"))).join(numbered, [f"v{x}", "pick"]).withColumn("weight", F.col("weight") * F.col("k")).drop("k", "pick")
+        df = _extended(df, near, f"v{x}", f"v{y}", seed, step)
         bound.add(y)
     for v in p.vertices:
         if p.of("vertex", v):

@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .sources.files import delete
+
 
 def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -17,9 +19,20 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: What this process has written, in order.
+CREATED: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the tables written so far; results that read from them must be written before."""
+    while CREATED:
+        delete(spark, CREATED.pop())
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: the frame as a Parquet table."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    CREATED.append(path)
     return spark.read.schema(df.schema).parquet(path)
