@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, documents, ids_of, utf8
+from .common import CREATED, batches_of, documents, ids_of, utf8
 
 BLOCK_BYTES = 4 << 20
 PARTS = "array<struct<bucket:int,data:binary>>"
@@ -108,6 +108,7 @@ def store(docs: DataFrame, summarise: Callable[[np.ndarray, list[bytes]], tuple[
 
     name = f"blocks_{uuid.uuid4().hex}"
     documents(docs).mapInArrow(run, f"block long, texts binary, parts {PARTS}, sample array<long>").write.format("parquet").bucketBy(buckets, "block").sortBy("block").option("compression", "zstd").saveAsTable(name)
+    CREATED.append(("table", name))
     return spark.table(name)
 
 
@@ -210,3 +211,16 @@ def read_shared(keys: np.ndarray, answers: dict[int, bytes], buckets: int) -> np
             out[at] = np.unpackbits(np.frombuffer(answers[b], np.uint8), count=len(at))
     return out[inverse]
 
+
+def smaller_elsewhere(parts: list[bytes]) -> list[bytes]:
+    """For each part the bits of windows that a document with a smaller id than the block's smallest has."""
+    got = [arrays(p) for p in parts]
+    a, b, owner = (np.concatenate([g[k] for g in got]) for k in range(3))
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+    least = np.minimum.reduceat(owner[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+    out = np.empty(len(a), dtype=bool)
+    out[order] = least < owner[order]
+    ends = np.cumsum([len(g[0]) for g in got])
+    return [np.packbits(out[e - len(g[0]) : e]).tobytes() for e, g in zip(ends.tolist(), got, strict=True)]

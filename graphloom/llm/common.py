@@ -21,6 +21,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import delete
+
 #: Stands for a null doc_id inside a job.
 NULL_ID = -(1 << 63)
 
@@ -52,11 +54,28 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Paths and tables that this process has written for its own use, in order.
+CREATED: list[tuple[str, str]] = []
+
+
+def clear(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Deletes what was written since CREATED had `since` entries, but for the last `keep`.  Results that still have to read
+    from there must be written before."""
+    gone = CREATED[since : len(CREATED) - keep]
+    del CREATED[since : len(CREATED) - keep]
+    for kind, name in gone:
+        if kind == "table":
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        else:
+            delete(spark, name)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes a frame as Parquet into the shared folder and reads it again: recovery starts from there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    CREATED.append(("path", path))
     return spark.read.schema(df.schema).parquet(path)
 
 

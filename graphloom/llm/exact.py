@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialise, partitions
+from .common import CREATED, documents, materialise, partitions
 
 #: A digest is hot with this many rows, if they are one in HOT_SHARE of all; so at most HOT_SHARE digests are hot.
 HOT_ROWS, HOT_SHARE = 1000, 1000
@@ -85,10 +85,16 @@ class DigestIndex:
             "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def own_name() -> str:
+    """A name for an index of one use."""
+    CREATED.append(("table", f"digest_index_{uuid.uuid4().hex}"))
+    return CREATED[-1][1]
+
+
 def exact_dedup(docs: DataFrame, index: str | None = None) -> DataFrame:
     """Admits the documents to a (new) index and gives each its class.  Empty table: no rows."""
     spark = docs.sparkSession
-    store = DigestIndex(spark, index or f"digest_index_{uuid.uuid4().hex}")
+    store = DigestIndex(spark, index or own_name())
     store.admit(docs)
     return store.resolve(docs)
 
@@ -101,7 +107,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     cols = docs.columns
-    store = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
+    store = DigestIndex(spark, own_name())
     store.admit(docs)
     keyed = docs.withColumn("_digest", F.unhex(F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256))).withColumn("_id", docs["doc_id"].cast("long"))
     kept = store.plain().select(F.col("digest").alias("_kept_digest"), F.col("keep_id").alias("_kept_id"))

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .blocks import Parts, arrays, columns, deal, exchange, key_parts, parts_row, per_block, read_shared, shared_keys, store, with_answers
+from .blocks import Parts, columns, deal, exchange, key_parts, parts_row, per_block, read_shared, shared_keys, smaller_elsewhere, store, with_answers
 from .common import Words, grams, id_array, materialise, partitions
 
 #: {0, 1, 3, 8, 12, 18} modulo 31: each difference of residues occurs once.
@@ -59,20 +59,6 @@ class _Block:
         return a[order][first], b[order][first], np.minimum.reduceat(self.owner[starts][order], first), which
 
 
-def _smaller_elsewhere(parts: list[bytes]) -> list[bytes]:
-    """For each part the bits of windows that a document with a smaller id than the block's smallest has."""
-    got = [arrays(p) for p in parts]
-    a, b, owner = (np.concatenate([g[k] for g in got]) for k in range(3))
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-    least = np.minimum.reduceat(owner[order], np.flatnonzero(new))[np.cumsum(new) - 1]
-    out = np.empty(len(a), dtype=bool)
-    out[order] = least < owner[order]
-    ends = np.cumsum([len(g[0]) for g in got])
-    return [np.packbits(out[e - len(g[0]) : e]).tobytes() for e, g in zip(ends.tolist(), got, strict=True)]
-
-
 def repeated_passages(docs: DataFrame, window: int = 50) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256.
 
@@ -116,5 +102,5 @@ def repeated_passages(docs: DataFrame, window: int = 50) -> DataFrame:
 
     blocks = store(docs, anchors, buckets)
     first = materialise(exchange(blocks, shared_keys, 1), "anchors")
-    second = exchange(per_block(with_answers(blocks, first), candidates, "block long, parts array<struct<bucket:int,data:binary>>"), _smaller_elsewhere, 2)
+    second = exchange(per_block(with_answers(blocks, first), candidates, "block long, parts array<struct<bucket:int,data:binary>>"), smaller_elsewhere, 2)
     return per_block(with_answers(blocks, first.unionByName(second)), remove, "doc_id long, n_words long, n_removed long, kept_sha256 string")

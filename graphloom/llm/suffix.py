@@ -7,7 +7,9 @@ comparing the suffixes there, to the right and to the left, compares all strings
 A sample of the leading tokens (the first eight bytes of a suffix) gives splitters; suffixes are range-partitioned by them.
 Each bucket sorts its suffixes by multikey quicksort over eight-byte tokens, in numpy, likewise the reversed bytes to their
 left.  Runs of common prefixes of the needed lengths then identify equal strings, and the smallest document of each.
-Splitters are compared with whole leading tokens, so that suffixes which agree beyond a splitter are never parted.
+Splitters are compared with whole leading tokens, so suffixes that agree in their token fall into one bucket.  A token that
+fills more than one bucket shows as repeated splitters.  Its suffixes aren't sorted in one place: they are compared across
+the borders of buckets by fingerprints of their 50-byte strings, which are dealt evenly, each block sending a string once.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Parts, arrays, columns, deal, exchange, key_parts, parts_row, per_block, read_shared, shared_keys, squeeze, expand, store, with_answers
+from .blocks import Parts, arrays, columns, deal, exchange, key_parts, parts_row, per_block, read_shared, shared_keys, smaller_elsewhere, squeeze, expand, store, with_answers
 from .common import id_array, materialise, mix, partitions, powers
 
 LENGTH, HEAD = 50, 20
@@ -150,6 +152,49 @@ def _common(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, common
 
 
+def _fingerprints(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit and 32-bit fingerprints of the strings of 50 bytes from each start."""
+    a, b = np.empty(len(starts), dtype=np.uint64), np.empty(len(starts), dtype=np.uint32)
+    for i in range(0, len(starts), 1 << 16):
+        rows = np.zeros((len(starts[i : i + (1 << 16)]), 56), dtype=np.uint8)
+        rows[:, :LENGTH] = data[starts[i : i + (1 << 16), None] + np.arange(LENGTH)]
+        x, y = np.full(len(rows), 1, dtype=np.uint64), np.full(len(rows), 2, dtype=np.uint64)
+        for word in rows.view("<u8").astype(np.uint64).T:
+            x, y = mix(x * _BASE + word), mix((y ^ word) * np.uint64(0x9FB21C651E98DF25) + np.uint64(7))
+        a[i : i + (1 << 16)], b[i : i + (1 << 16)] = x, y.astype(np.uint32)
+    return a, b
+
+
+class _Strings:
+    """The distinct strings of contents whose leading token is hot."""
+
+    def __init__(self, b: _Block, content: np.ndarray, owner: np.ndarray) -> None:
+        count = b.last[content] - b.start[content] + 1
+        self.of = np.repeat(np.arange(len(content)), count)
+        self.k = np.arange(len(self.of)) - np.repeat(np.cumsum(count) - count, count)
+        first, second = _fingerprints(b.data, b.start[content][self.of] + self.k)
+        order = np.lexsort((second, first))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (first[order][1:] != first[order][:-1]) | (second[order][1:] != second[order][:-1])
+        at = np.flatnonzero(new)
+        self.which = np.empty(len(order), dtype=np.int64)
+        self.which[order] = np.cumsum(new) - 1
+        self.first, self.second = first[order][at], second[order][at]
+        self.least = np.minimum.reduceat(owner[self.of][order], at) if len(at) else owner[:0]
+        self.owner = owner
+
+    def masks(self, elsewhere: np.ndarray) -> np.ndarray:
+        hit = elsewhere[self.which] | (self.least[self.which] < self.owner[self.of])
+        out = np.zeros(len(self.owner), dtype=np.uint64)
+        np.bitwise_or.at(out, self.of[hit], np.uint64(1) << self.k[hit].astype(np.uint64))
+        return out
+
+
+def _answers(parts: list[bytes]) -> list[bytes]:
+    """Contents (tagged 0) are sorted, fingerprints (tagged 1) are compared; a bucket has parts of one kind."""
+    return (smaller_elsewhere if parts[0][:1] == b"\1" else _bucket_answers)([p[1:] for p in parts])
+
+
 def _bucket_answers(parts: list[bytes]) -> list[bytes]:
     """For each part a mask a content: bit k is set if its k-th string is in a document with a smaller id elsewhere."""
     got, sizes = [], []
@@ -187,11 +232,12 @@ def _bucket_answers(parts: list[bytes]) -> list[bytes]:
     return [columns(mask[e - k : e].astype(np.uint32)) for e, k in zip(ends.tolist(), sizes, strict=True)]
 
 
-def repeated_strings(docs: DataFrame) -> DataFrame:
+def repeated_strings(docs: DataFrame, hot_from: int = 2) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     A byte goes where a string of 50 bytes covers it that also starts in a document with a smaller doc_id.  Strings don't
-    cross documents; rows with the same doc_id don't remove each other's bytes.
+    cross documents; rows with the same doc_id don't remove each other's bytes.  A leading token is hot, and spread, if
+    `hot_from` splitters or more equal it.
     """
     spark = docs.sparkSession
     buckets = partitions(spark)
@@ -207,27 +253,47 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     split = blocks.select(F.explode("sample").alias("t")).agg(F.percentile_approx("t", [i / buckets for i in range(1, buckets)], 10000).alias("q")).first()["q"] if buckets > 1 else []
     splitters = np.array(split or [], dtype=np.int64)
 
-    def dealt(b: _Block, content: np.ndarray) -> np.ndarray:
-        return np.searchsorted(splitters, (b.tokens(b.place[content]) >> np.uint64(1)).astype(np.int64), "right")
+    token, times = np.unique(splitters, return_counts=True)
+    hot = token[times >= hot_from]
+
+    def dealt(b: _Block, content: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The places of contents that are sorted, their buckets, and the places of hot ones."""
+        token = (b.tokens(b.place[content]) >> np.uint64(1)).astype(np.int64)
+        often = np.isin(token, hot)
+        cold = np.flatnonzero(~often)
+        return cold, np.searchsorted(splitters, token[cold], "right"), np.flatnonzero(often)
 
     def contents(block: int, ids: np.ndarray, texts: list[bytes], answers: dict) -> pa.RecordBatch | None:
         b = _Block(ids, texts)
         _, content, owner, _ = b.strings(read_shared(b.keys, answers.get(1, {}), buckets))
         out = []
-        for k, at in deal(dealt(b, content), buckets):
+        cold, place, often = dealt(b, content)
+        for k, at in deal(place, buckets):
+            at = cold[at]
             c = content[at]
             size = b.last[c] - b.start[c] + LENGTH
             where = np.repeat(b.start[c] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
             head = columns(owner[at], (b.place[c] - b.start[c]).astype(np.uint8), (b.last[c] - b.start[c] + 1).astype(np.uint8))
-            out.append({"bucket": k, "data": struct.pack("<q", len(head)) + head + squeeze(b.data[where].tobytes())})
+            out.append({"bucket": k, "data": b"\0" + struct.pack("<q", len(head)) + head + squeeze(b.data[where].tobytes())})
+        if len(often):
+            s = _Strings(b, content[often], owner[often])
+            for k, at in deal((s.first % np.uint64(buckets)).astype(np.int64), buckets):
+                out.append({"bucket": buckets + k, "data": b"\1" + columns(s.first[at], s.second[at], s.least[at])})
         return parts_row(block, out)
 
     def remove(block: int, ids: np.ndarray, texts: list[bytes], answers: dict) -> pa.RecordBatch:
         b = _Block(ids, texts)
         runs, content, owner, which = b.strings(read_shared(b.keys, answers.get(1, {}), buckets))
         mask = np.zeros(len(content), dtype=np.uint64)
-        for k, at in deal(dealt(b, content), buckets):
-            mask[at] = arrays(answers[2][k])[0]
+        cold, place, often = dealt(b, content)
+        for k, at in deal(place, buckets):
+            mask[cold[at]] = arrays(answers[2][k])[0]
+        if len(often):
+            s = _Strings(b, content[often], owner[often])
+            elsewhere = np.zeros(len(s.first), dtype=bool)
+            for k, at in deal((s.first % np.uint64(buckets)).astype(np.int64), buckets):
+                elsewhere[at] = np.unpackbits(np.frombuffer(answers[2][buckets + k], np.uint8), count=len(at))
+            mask[often] = s.masks(elsewhere)
         edge = np.zeros(len(b.data) + 1, dtype=np.int64)
         mine = np.where(b.owner[runs] > owner[which], np.uint64(0xFFFFFFFF), mask[which])
         for k in range(SPAN):
@@ -245,5 +311,5 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
             digests.append(hashlib.sha256(np.frombuffer(t, np.uint8)[~g].tobytes() if n else t).hexdigest())
         return pa.RecordBatch.from_arrays([id_array(ids), pa.array([len(t) for t in texts], pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    second = exchange(per_block(with_answers(blocks, first), contents, "block long, parts array<struct<bucket:int,data:binary>>"), _bucket_answers, 2)
+    second = exchange(per_block(with_answers(blocks, first), contents, "block long, parts array<struct<bucket:int,data:binary>>"), _answers, 2)
     return per_block(with_answers(blocks, first.unionByName(second)), remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

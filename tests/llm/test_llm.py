@@ -484,4 +484,6 @@ def test_pipeline(spark, data):
             assert not any(personal_brute(r["text"]) for r in docs.collect())
     assert kept == sorted(kept, reverse=True) and kept[-1] > 0
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, data)
+    begun = len(common.CREATED)
+    assert corpus_pipeline.run(spark, data).count() == pieces.count() and len(common.CREATED) == begun + 1
     assert {r["doc_id"] for r in pieces.select("doc_id").distinct().collect()} == {r["doc_id"] for r in docs.collect()}
