@@ -1,8 +1,10 @@
 """Quality classifier: random-indexing vectors pooled per document, a two-layer network, calibrated probabilities.
 
-Tokens are hashed: each word gives itself and its shape (letters by case, digits, runs collapsed).  Random indexing gives
+Tokens are hashed: each word gives itself and its shape (letters by case, digits, runs collapsed; a word that repeats the
+one before it has a shape of its own).  Random indexing gives
 each hash bucket the sum, over its occurrences, of the sparse ternary index vectors of the tokens around it.  A document is
-the mean of its tokens' vectors.  A network with one hidden layer is trained on those; a temperature fitted on a part of
+the mean of its tokens' vectors, drawn towards the mean document as if that had added some tokens, so that a few words
+don't decide.  A network with one hidden layer is trained on those; a temperature fitted on a part of
 the training rows that the weights never saw turns its margin into a probability.
 
 Only the text enters a score.  The fit uses at most `FIT_ROWS` labelled documents (half of each label, the first by a hash
@@ -25,6 +27,10 @@ FIT_ROWS = 4000
 BUCKETS, DIM, NONZERO, AROUND, HIDDEN = 1 << 13, 48, 4, 2, 24
 THRESHOLD = 0.7
 
+#: Tokens that the mean document adds to each text's words and shapes.
+PRIOR_WORDS, PRIOR_SHAPES = 24, 6
+_REPEAT = 0x5E1F
+
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[ord("a") : ord("z") + 1] = ord("a")
 _CLASS[ord("A") : ord("Z") + 1] = ord("A")
@@ -51,6 +57,10 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for k in range(8):  # a shape's first eight runs, and its length
         code = code * np.uint64(257) + np.where(start + k < end, short[np.minimum(start + k, max(len(short) - 1, 0))].astype(np.uint64) + np.uint64(1), np.uint64(0)) if len(short) else code
     code = mix(code ^ (np.minimum(end - start, 9).astype(np.uint64) << np.uint64(58)))
+    again = np.zeros(len(code), dtype=bool)
+    again[1:] = w.hash[1:] == w.hash[:-1]
+    again[w.first[w.count > 0]] = False
+    code[again] = np.uint64(_REPEAT)
     return (w.hash & np.uint64(BUCKETS - 1)).astype(np.int64), (code & np.uint64(BUCKETS - 1)).astype(np.int64), w.count
 
 
@@ -70,6 +80,7 @@ def _around(buckets: np.ndarray, count: np.ndarray, place: np.ndarray, sign: np.
 class Model:
     word: np.ndarray  # BUCKETS x DIM
     shape: np.ndarray
+    prior: np.ndarray
     mean: np.ndarray
     scale: np.ndarray
     w1: np.ndarray
@@ -79,15 +90,22 @@ class Model:
     temperature: float
 
     def pool(self, texts: list[bytes]) -> np.ndarray:
-        return pooled(texts, self.word, self.shape)
+        return drawn(*pooled(texts, self.word, self.shape), self.prior)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         z = (np.tanh(((x - self.mean) / self.scale) @ self.w1 + self.b1) @ self.w2 + self.b2) / self.temperature
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def pooled(texts: list[bytes], word: np.ndarray, shape: np.ndarray) -> np.ndarray:
-    """The means of each text's word vectors and shape vectors; zeros without words.
+def drawn(x: np.ndarray, count: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Pooled vectors with the prior's tokens added."""
+    k = np.repeat([PRIOR_WORDS, PRIOR_SHAPES], DIM)
+    n = count[:, None]
+    return (x * n + prior * k) / (n + k)
+
+
+def pooled(texts: list[bytes], word: np.ndarray, shape: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The means of each text's word vectors and shape vectors (zeros without words), and the numbers of words.
 
     Sums run in pieces of a text in double precision, so a text's value doesn't depend on those beside it.
     """
@@ -101,7 +119,7 @@ def pooled(texts: list[bytes], word: np.ndarray, shape: np.ndarray) -> np.ndarra
             for s in range(a, a + n, 4096):
                 total += table[b[s : min(s + 4096, a + n)]].sum(axis=0)
             out[i, at : at + DIM] = total / n
-    return out
+    return out, count
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -164,11 +182,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model | flo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in batches_of(batch, "text", 1 << 20):
-                x = pooled(utf8(part.column("text")), word, shape)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.array([r.astype("<f8").tobytes() for r in x], pa.binary())], ["doc_id", "quality", "x"])
+                x, n = pooled(utf8(part.column("text")), word, shape)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.array(n), pa.array([r.astype("<f8").tobytes() for r in x], pa.binary())], ["doc_id", "quality", "n", "x"])
 
-    got = sorted(chosen.select("doc_id", "text", F.col("quality").cast("int").alias("quality")).mapInArrow(run, "doc_id long, quality int, x binary").collect())  # at most `rows` short rows
+    got = sorted(chosen.select("doc_id", "text", F.col("quality").cast("int").alias("quality")).mapInArrow(run, "doc_id long, quality int, n long, x binary").collect())  # at most `rows` short rows
     x, y = np.array([np.frombuffer(r["x"], "<f8") for r in got]), np.array([r["quality"] for r in got], dtype=float)
+    n = np.array([r["n"] for r in got])
+    prior = x[n > 0].mean(axis=0) if (n > 0).any() else np.zeros(x.shape[1])
+    x = drawn(x, n, prior)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     z = (x - mean) / scale
     apart = np.arange(len(y)) % 5 == 0  # for the temperature
@@ -179,11 +200,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model | flo
     margin = np.tanh(z[check] @ w1 + b1) @ w2 + b2
     loss = lambda t: float(np.logaddexp(0, -np.where(y[check] == 1, margin, -margin) / t).mean())
     temperature = min(np.geomspace(0.25, 20, 80).tolist(), key=loss)
-    return Model(word, shape, mean, scale, w1, b1, w2, b2, temperature)
+    return Model(word, shape, prior, mean, scale, w1, b1, w2, b2, temperature)
 
 
 def score(docs: DataFrame, model: Model | float) -> DataFrame:
-    """The documents' (doc_id, score); an empty text is scored as the pooled zero vector."""
+    """The documents' (doc_id, score); an empty text is scored as the mean document."""
     d = documents(docs)
     if isinstance(model, float):
         return d.select("doc_id", F.lit(model).alias("score"))
