@@ -65,7 +65,8 @@ class Statistics:
 
     def of_column(self, label: str, column: str) -> dict | None:
         if label not in self.columns:
-            self.columns[label] = {r["column"]: r.asDict() for r in column_stats(self.graph.vertices[label].df).collect()}
+            df = self.graph.vertices[label].df if label in self.graph.vertices else self.graph.edge_frame(label)
+            self.columns[label] = {r["column"]: r.asDict() for r in column_stats(df).collect()}  # one row a column
         return self.columns[label].get(column)
 
     def build(self, most: int) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .estimate.catalog import Statistics
-from .estimate.tree import Estimator
+from .estimate.tree import TREES, Estimator
 from .estimate.wander import wander_join
 from .graph import DST, EID, SRC, VID, Graph, GraphFault
 from .operators import mutate
@@ -155,9 +155,10 @@ def load_catalog(s: Session, path: str) -> DataFrame:
 
 
 @procedure("query STRING, k INT8, sample INT32, apply INT8, verbose BOOL, max_subgraphs INT32, decomposition STRING, unit_walks INT32")
-def gcard_query(s: Session, query: str, hops: int = 2, sample: int = 1000, apply: int = 0, *_: object) -> DataFrame:
-    e = Estimator(statistics(s), hops, apply, sample)
-    return rows(s, [(e.estimate(Pattern.parse(json.loads(query))),)], "cardinality long")
+def gcard_query(s: Session, query: str, hops: int = 2, sample: int = 1000, apply: int = 0, verbose: bool = False, trees: int | None = None, decomposition: str | None = None, walks: int | None = None) -> DataFrame:
+    """An estimate of the number of matches.  With sample 0, predicates are judged by column statistics alone."""
+    e = Estimator(statistics(s), hops, apply, sample, trees or TREES)
+    return rows(s, [(e.estimate(Pattern.parse(json.loads(query)), json.loads(decomposition) if decomposition else None),)], "cardinality long")
 
 
 @procedure("query STRING, ratio FLOAT64, iterations INT32, seed INT64")

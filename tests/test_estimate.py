@@ -105,3 +105,26 @@ def test_patterns_are_checked():
 def test_schema_walks(spark, data):
     walks = schema_walks(tables_graph(spark, data), 1)
     assert ([("Customer", "PLACED", "out")], "Orders") in walks and ([("Region", "IN_REGION", "in")], "Nation") in walks
+
+
+def test_predicates_and_decompositions(spark, data):
+    import json
+
+    from graphloom.queries import session
+
+    s = session(spark, data)
+    p = json.dumps(_TREE | {"predicates": [{"target": "edge", "id": 1, "property": "l_quantity", "op": "gt", "value": 40.0}, {"target": "vertex", "id": 0, "property": "c_mktsegment", "op": "in", "values": ["BUILDING", "MACHINERY"]}]})
+    ask = lambda more: s.gql(f"CALL gcard_query('{p}', {more})").first()["cardinality"]
+    free = s.gql(f"CALL gcard_query('{json.dumps(_TREE | {'predicates': []})}', 2, 100)").first()["cardinality"]
+    assert 0 < ask("2, 0") < free and 0 < ask("2, 100") < free and ask("2, 100, 2") == free
+    parts = json.dumps({"abstract_edges": [{"path_vertices": [0, 1, 2], "original_edge_ids": [0, 1]}, {"path_vertices": [0, 3], "original_edge_ids": [2]}]})
+    assert ask(f"2, 100, 2, FALSE, 4, '{parts}'") >= exact_count(s.graph, Pattern.parse(_TREE | {"predicates": []})).first()["cardinality"]
+
+
+def test_single_vertex(spark, data):
+    g = tables_graph(spark, data)
+    p = Pattern.parse({"vertices": [{"id": 0, "label": "customer"}], "edges": [], "predicates": [{"target": "vertex", "id": 0, "property": "c_acctbal", "op": "gt", "value": 0.0}]})
+    truth = exact_count(g.changed(), Pattern({0: "Customer"}, [], p.predicates)).first()["cardinality"]
+    assert Estimator(Statistics(g), sample=10_000).estimate(p) == truth
+    assert Estimator(Statistics(g), sample=40).estimate(p) >= truth * 0.8
+    assert Estimator(Statistics(g)).estimate(Pattern({0: "Customer"}, [])) == 150
