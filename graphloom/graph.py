@@ -41,13 +41,19 @@ class VertexSet(_Rows):
 
 @dataclass(frozen=True, eq=False)
 class EdgeSet(_Rows):
-    """The edges of one label between two vertex labels: _eid, _src, _dst and properties."""
+    """The edges of one label between two vertex labels: _eid, _src, _dst and properties.
+
+    Where each edge stands in the same row as the vertex at one end (a foreign key), `host` names that end (src or dst) and
+    `hosted` gives the rows with _eid, _src, _dst and that vertex's properties, so that a pattern reads both in one scan.
+    """
 
     label: str
     src_label: str
     dst_label: str
     source: DataFrame | Callable[[], DataFrame]
     required: frozenset[str] = frozenset()
+    host: str = ""
+    hosted: Callable[[], DataFrame] | None = None
 
     @property
     def properties(self) -> list[str]:
@@ -84,7 +90,11 @@ class Graph:
         return [e for e in self.edges if e.label == label]
 
     def changed(self, vertices: dict[str, VertexSet] | None = None, edges: tuple[EdgeSet, ...] | None = None, **more: object) -> Graph:
-        return replace(self, vertices=self.vertices if vertices is None else vertices, edges=self.edges if edges is None else edges, version=self.version + 1, **more)
+        """A new version.  Changed vertices or edges are no longer the rows that hosted edges were read from."""
+        v, e = self.vertices if vertices is None else vertices, self.edges if edges is None else edges
+        if vertices is not None or edges is not None:
+            e = tuple(replace(x, host="", hosted=None) if x.host else x for x in e)
+        return replace(self, vertices=v, edges=e, version=self.version + 1, **more)
 
     def vertex_frame(self, labels: list[str] | None = None) -> DataFrame:
         """All vertices of the labels, with their label; properties that a label lacks are null."""

@@ -403,8 +403,10 @@ class Compiler:
     # ---------------------------------------------------------------- patterns
     def match(self, m: A.Match, given: Frame | None, refs: set[str] | None) -> Frame:
         f: Frame | None = None
+        asked = {i.var for i in path_items(m.paths)} if refs is None else refs
         for p in m.paths:
-            g = self.path(p, refs)
+            held = {n for x in (given, f) if x is not None for n, v in x.scope.items() if v.kind == "node"}
+            g = self.path(p, asked - held)  # what is bound already brings its properties along
             f = g if f is None else self.merge(f, g, "inner")
         if m.different_edges:
             f = self.different(f, [i.var for i in path_items(m.paths) if isinstance(i, A.Edge)])
@@ -478,7 +480,7 @@ class Compiler:
         return f
 
     def exists_side(self, f: Frame, m: A.Match) -> tuple[DataFrame, Column, list[str]]:
-        g = self.match(m, None, None) if not (set().union(*[names_in(c) for c in conjuncts(m.where)]) - pattern_vars(m)) else None
+        g = self.match(m, None, wanted([m])) if not (set().union(*[names_in(c) for c in conjuncts(m.where)]) - pattern_vars(m)) else None
         if g is None:  # the condition uses outer variables: bring in what it needs
             outer = [n for n in f.scope if f.scope[n].kind in ("node", "edge", "value")]
             g = self.match(m, Frame(f.df, {n: f.scope[n] for n in outer}), None)
@@ -550,6 +552,29 @@ class Compiler:
             return Frame(self.spark.createDataFrame([], cols), scope)
         return self.inner_tests(Frame(df, scope), e)
 
+    def host_of(self, e: A.Edge, sources: Iterable[str], targets: Iterable[str], end: str) -> EdgeSet | None:
+        """The one edge set of a fixed edge whose rows hold the vertices at `end` (from or to) as well, if there is one."""
+        if e.low is not None or e.direction == "any" or not self.graph.closed:
+            return None
+        a, b = ("src_label", "dst_label") if e.direction == "out" else ("dst_label", "src_label")
+        labels = set(labels_of(e.label, [s.label for s in self.graph.edges]))
+        found = [s for s in self.graph.edges if s.label in labels and getattr(s, a) in set(sources) and getattr(s, b) in set(targets)]
+        side = {("out", "from"): "src", ("out", "to"): "dst", ("in", "from"): "dst", ("in", "to"): "src"}[e.direction, end]
+        return found[0] if len(found) == 1 and found[0].host == side else None
+
+    def hosted_frame(self, s: EdgeSet, e: A.Edge, n: A.Node, end: str) -> Frame:
+        """Edges and the vertices n at one end from one scan; columns as in edge_frame, and n's."""
+        fl, tl, a, b = (s.src_label, s.dst_label, SRC, DST) if e.direction == "out" else (s.dst_label, s.src_label, DST, SRC)
+        label, vid = (fl, a) if end == "from" else (tl, b)
+        props = self.graph.vertices[label].properties
+        df = s.hosted().select(
+            F.lit(fl).alias("_fl"), F.col(a).alias("_f"), F.lit(tl).alias("_tl"), F.col(b).alias("_t"),
+            F.col(EID).alias(f"{e.var}${EID}"), F.lit(s.label).alias(f"{e.var}${LABEL}"), F.col(SRC).alias(f"{e.var}${SRC}"), F.col(DST).alias(f"{e.var}${DST}"),
+            F.lit(s.src_label).alias(f"{e.var}$_src_label"), F.lit(s.dst_label).alias(f"{e.var}$_dst_label"), *[F.col(self.tick(p)).alias(f"{e.var}${p}") for p in s.properties],
+            F.col(vid).alias(f"{n.var}${VID}"), F.lit(label).alias(f"{n.var}${LABEL}"), *[F.col(self.tick(p)).alias(f"{n.var}${p}") for p in props])
+        f = Frame(df, {n.var: Var("node", (label,), tuple(props)), e.var: Var("edge", (s.label,), tuple(s.properties))})
+        return self.inner_tests(self.inner_tests(f, e), n)
+
     def _oriented(self, s: EdgeSet, var: str, way: str, fl: str, tl: str) -> DataFrame:
         a, b = (SRC, DST) if way == "out" else (DST, SRC)
         return s.df.select(
@@ -616,7 +641,9 @@ class Compiler:
                     late.append(i.where)
                 if f is None:
                     nxt = items[k + 1] if k + 1 < len(items) else None
-                    if not need(i) and isinstance(nxt, A.Edge) and nxt.low is None:
+                    after = items[k + 2] if k + 2 < len(items) and isinstance(items[k + 2], A.Node) else None
+                    host = nxt is not None and isinstance(nxt, A.Edge) and after is not None and after.var != i.var and self.host_of(nxt, labels_of(i.label, self.graph.vertices), labels_of(after.label, self.graph.vertices), "from")
+                    if isinstance(nxt, A.Edge) and nxt.low is None and (not need(i) or host):
                         pending = i
                     else:
                         f = self.node_frame(i)
@@ -635,7 +662,7 @@ class Compiler:
             if target.where is not None and not names_in(target.where) <= {target.var}:
                 late.append(target.where)
             if isinstance(i, A.Edge) and i.low is None:
-                f = self.step(f, pending, here, i, target, need(target), track)
+                f = self.step(f, pending, here, i, target, need(target), track, pending is not None and need(pending))
             else:
                 f = self.repeated(f, here, i, target, need(target), track, mode, shortest)
             pending, here = None, target.var
@@ -650,17 +677,27 @@ class Compiler:
     def ref(var: str, what: str) -> Column:
         return F.struct(F.col(f"{var}${LABEL}").alias("label"), F.col(f"{var}${what}").cast("long").alias("id"))
 
-    def step(self, f: Frame | None, pending: A.Node | None, here: str, e: A.Edge, t: A.Node, need: bool, track: bool) -> Frame:
-        """One edge: an equi-join on the end where it begins and, where something is asked of the target, one on the other."""
+    def step(self, f: Frame | None, pending: A.Node | None, here: str, e: A.Edge, t: A.Node, need: bool, track: bool, first: bool = False) -> Frame:
+        """One edge: an equi-join on the end where it begins and, where something is asked of the target, one on the other.
+        `first`: something is asked of the pending first vertex, and the edge's rows hold it."""
         sources = labels_of(pending.label, self.graph.vertices) if pending is not None else f.scope[here].labels
         bound = f is not None and t.var in f.scope or pending is not None and t.var == here
         targets = (f.scope[t.var].labels if f is not None and t.var in f.scope else sources) if bound else labels_of(t.label, self.graph.vertices)
         if bound and t.label is not None:
             targets = labels_of(t.label, targets)
-        g = self.edge_frame(e, sources, targets)
+        host = self.host_of(e, sources, targets, "to") if need and not bound and (f is None or e.var not in f.scope) else None
+        if first:
+            g = self.hosted_frame(self.host_of(e, sources, targets, "from"), e, pending, "from")
+        elif host is not None:
+            g = self.hosted_frame(host, e, t, "to")
+        else:
+            g = self.edge_frame(e, sources, targets)
         if f is None:
-            df = g.df.withColumn(f"{here}${VID}", F.col("_f")).withColumn(f"{here}${LABEL}", F.col("_fl"))
-            scope = {here: Var("node", tuple(sources))} | g.scope
+            if first:
+                df, scope = g.df, g.scope
+            else:
+                df = g.df.withColumn(f"{here}${VID}", F.col("_f")).withColumn(f"{here}${LABEL}", F.col("_fl"))
+                scope = {here: Var("node", tuple(sources))} | g.scope
             if track:
                 df = df.withColumn("_pn", F.array(self.ref(here, VID))).withColumn("_pe", F.expr("cast(array() as array<struct<label:string,id:bigint>>)"))
         else:
@@ -674,7 +711,7 @@ class Compiler:
                 scope = f.scope
             else:
                 df, scope = f.df.join(g.df, on), f.scope | g.scope
-        out = self.arrive(Frame(df, scope), t, bound, need, targets, ("_tl", "_t"))
+        out = Frame(df, scope) if host is not None and not first else self.arrive(Frame(df, scope), t, bound, need, targets, ("_tl", "_t"))
         df = out.df
         if track:
             df = df.withColumn("_pe", F.concat("_pe", F.array(self.ref(e.var, EID)))).withColumn("_pn", F.concat("_pn", F.array(self.ref(t.var, VID))))

@@ -28,18 +28,20 @@ def tables_graph(spark: SparkSession, sf_dir: str, name: str = "tables") -> Grap
     vertices = {label: vertex(label, n, k) for label, (n, k) in key.items()}
     vertices["User"] = VertexSet("User", lambda: t("events").select(F.col("user_id").cast("long").alias(VID)).where(F.col(VID).isNotNull()).distinct())
 
-    def edge(label: str, src: str, dst: str, n: str, eid: str, s: str, d: str, *props: str) -> EdgeSet:
-        return EdgeSet(label, src, dst, lambda: t(n).select(F.expr(eid).cast("long").alias(EID), F.col(s).cast("long").alias(SRC), F.col(d).cast("long").alias(DST), *props).where(F.col(SRC).isNotNull() & F.col(DST).isNotNull()))
+    def edge(label: str, src: str, dst: str, n: str, eid: str, s: str, d: str, *props: str, host: str = "") -> EdgeSet:
+        ends = (F.expr(eid).cast("long").alias(EID), F.col(s).cast("long").alias(SRC), F.col(d).cast("long").alias(DST))
+        known = F.col(SRC).isNotNull() & F.col(DST).isNotNull()
+        return EdgeSet(label, src, dst, lambda: t(n).select(*ends, *props).where(known), host=host, hosted=(lambda: t(n).select(*ends, "*").where(known)) if host else None)
 
     line = "l_orderkey * 8 + l_linenumber"
     lines = ("l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
     edges = (
-        edge("IN_REGION", "Nation", "Region", "nation", "n_nationkey", "n_nationkey", "n_regionkey"),
-        edge("IN_NATION", "Customer", "Nation", "customer", "c_custkey", "c_custkey", "c_nationkey"),
-        edge("IN_NATION", "Supplier", "Nation", "supplier", "s_suppkey", "s_suppkey", "s_nationkey"),
-        edge("PLACED", "Customer", "Orders", "orders", "o_orderkey", "o_custkey", "o_orderkey"),
+        edge("IN_REGION", "Nation", "Region", "nation", "n_nationkey", "n_nationkey", "n_regionkey", host="src"),
+        edge("IN_NATION", "Customer", "Nation", "customer", "c_custkey", "c_custkey", "c_nationkey", host="src"),
+        edge("IN_NATION", "Supplier", "Nation", "supplier", "s_suppkey", "s_suppkey", "s_nationkey", host="src"),
+        edge("PLACED", "Customer", "Orders", "orders", "o_orderkey", "o_custkey", "o_orderkey", host="dst"),
         edge("CONTAINS", "Orders", "Part", "lineitem", line, "l_orderkey", "l_partkey", *lines),
         edge("SUPPLIED_BY", "Orders", "Supplier", "lineitem", line, "l_orderkey", "l_suppkey", *lines),
-        edge("DID", "User", "Event", "events", "event_id", "user_id", "event_id", "ts", "value"),
+        edge("DID", "User", "Event", "events", "event_id", "user_id", "event_id", "ts", "value", host="dst"),
     )
     return Graph(name, vertices, edges)
