@@ -16,16 +16,29 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CREATED, batches_of, documents, ids_of, utf8
+from .common import CREATED, batches_of, documents, ids_of, partitions, utf8
 
-BLOCK_BYTES = 4 << 20
+#: Text of a block: so much for each bucket that it deals keys to, within these bounds, so that parts don't get tiny.
+PER_BUCKET, LEAST_BYTES, MOST_BYTES = 32 << 10, 4 << 20, 16 << 20
 PARTS = "array<struct<bucket:int,data:binary>>"
 _PART = pa.list_(pa.struct([("bucket", pa.int32()), ("data", pa.binary())]))
 
 
+def block_bytes(buckets: int) -> int:
+    return min(MOST_BYTES, max(LEAST_BYTES, PER_BUCKET * buckets))
+
+
+def labels(spark: SparkSession, n: int) -> np.ndarray:
+    """A number for each of n buckets such that hashing them to n partitions puts one bucket in each."""
+    rows = spark.range(n * 24).select(F.col("id").cast("int").alias("id")).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("id")).collect()  # one row a partition
+    found = [r["id"] for r in sorted(rows, key=lambda r: r["p"])]
+    spare = iter(range(n * 24, n * 25))
+    return np.array(found + [next(spare) for _ in range(n - len(found))], dtype=np.int64)
+
+
 def squeeze(data: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(data)
 
@@ -85,6 +98,7 @@ Parts = list[dict]
 def store(docs: DataFrame, summarise: Callable[[np.ndarray, list[bytes]], tuple[Parts, list[int]]], buckets: int) -> DataFrame:
     """Writes the blocks: block, texts, parts (the first summary of each block), sample (some values of its own)."""
     spark = docs.sparkSession
+    most = block_bytes(buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
@@ -95,12 +109,12 @@ def store(docs: DataFrame, summarise: Callable[[np.ndarray, list[bytes]], tuple[
             return pa.RecordBatch.from_arrays([pa.array([(task << 32) + made], pa.int64()), pa.array([pack_texts(every, texts)], pa.binary()), pa.array([parts], _PART), pa.array([sample], pa.list_(pa.int64()))], ["block", "texts", "parts", "sample"])
 
         for batch in batches:
-            for part in batches_of(batch, "text", BLOCK_BYTES // 4):
+            for part in batches_of(batch, "text", most // 4):
                 new = utf8(part.column("text"))
                 ids.append(ids_of(part.column("doc_id")))
                 texts += new
                 size += sum(map(len, new))
-                if size >= BLOCK_BYTES:
+                if size >= most:
                     yield block()
                     made, ids, texts, size = made + 1, [], [], 0
         if texts:
@@ -132,8 +146,12 @@ def exchange(parts: DataFrame, answer: Callable[[list[bytes]], list[bytes]], sta
         for full in list(held):
             yield done(full)
 
-    rows = parts.select("block", F.explode("parts").alias("p")).select("block", "p.bucket", "p.data")
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, "block long, stage int, bucket int, data binary")
+    spark = parts.sparkSession
+    n = partitions(spark)
+    known = spark.createDataFrame([(i, int(x)) for i, x in enumerate(labels(spark, n))], "slot int, to int")  # one row a partition
+    rows = parts.select("block", F.explode("parts").alias("p")).select("block", "p.bucket", "p.data", F.pmod("p.bucket", F.lit(n)).cast("int").alias("slot"))
+    dealt = rows.join(F.broadcast(known), "slot").select("block", "bucket", "data", "to")
+    return dealt.repartition("to").sortWithinPartitions("bucket", "block").select("block", "bucket", "data").mapInArrow(run, "block long, stage int, bucket int, data binary")
 
 
 def with_answers(blocks: DataFrame, answers: DataFrame) -> DataFrame:
