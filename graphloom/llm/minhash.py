@@ -29,7 +29,7 @@ ROWS, BANDS = 5, 25
 SAMPLES = ROWS * BANDS
 SKETCH_BITS = 256
 #: Members of a block, and bytes of its texts.
-BLOCK, BLOCK_BYTES = 1024, 4 << 20
+BLOCK, BLOCK_BYTES = 512, 4 << 20
 _RNG = np.random.default_rng(20121)
 _A = _RNG.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) | np.uint64(1)
 _SALT = _RNG.integers(1, 1 << 63, SAMPLES, dtype=np.uint64)
