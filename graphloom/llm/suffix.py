@@ -209,8 +209,11 @@ def _bucket_answers(parts: list[bytes]) -> list[bytes]:
     size = count + LENGTH - 1
     begin = np.cumsum(size) - size
     rows = np.zeros((n, left + LENGTH), dtype=np.uint8)
-    col = np.arange(int(size.sum())) - np.repeat(begin - (left - ahead), size)
-    rows[np.repeat(np.arange(n), size), col] = raw
+    for a in range(0, n, 1 << 14):  # some at a time: the places take eight times the bytes
+        part = slice(a, min(n, a + (1 << 14)))
+        lo, each = int(begin[a]), size[part]
+        col = np.arange(int(each.sum())) - np.repeat(begin[part] - lo - (left - ahead[part]), each)
+        rows[np.repeat(np.arange(a, part.stop), each), col] = raw[lo : lo + len(col)]
     right_order, right_common = _common(rows[:, left:])
     left_order, left_common = _common(np.ascontiguousarray(rows[:, :left][:, ::-1]))
     mask = np.zeros(n, dtype=np.uint64)
