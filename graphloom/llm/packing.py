@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import batches_of, documents, materialise, utf8
 
-#: Words, and as many pieces, that a Python worker remembers: bounds its memory and changes the time taken, not the result.
-CACHE = 600_000
+#: Words, and as many pieces, that a Python worker remembers: bounds its memory (some 300 MB) and changes the time, not the result.
+CACHE = 1_200_000
 #: Partitions whose leftovers are merged together: bounds what one task holds to GROUP * OPEN windows.
 GROUP = 8
 OPEN = 32
@@ -79,12 +79,16 @@ class WordEncoder:
         if len(known) > self.most:
             known.clear()
         for w in words:
-            text = w.decode()
-            if not self.PLAIN.fullmatch(text):
-                whole.append(w)
-                continue
+            if w.isalpha():  # ASCII letters only: one piece
+                pieces = (w.lower().decode(),)
+            else:
+                text = w.decode()
+                if not self.PLAIN.fullmatch(text):
+                    whole.append(w)
+                    continue
+                pieces = self.PIECE.findall(text.lower())
             ids = b""
-            for piece in self.PIECE.findall(text.lower()):
+            for piece in pieces:
                 if (found := known.get(piece)) is None:
                     shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_SHOWN)
                     found = known[piece] = struct.pack(f"<{len(t := merge(shown))}I", *[x.id for x in t])
@@ -96,13 +100,11 @@ class WordEncoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split, words = [t.split() for t in texts], self.words
-        new = self._learn(list({w for part in split for w in part if w not in words}))
+        found = [list(map(words.get, part)) for part in split]  # one look at the large table for each word
+        new = self._learn(list({w for part, ids in zip(split, found, strict=True) if None in ids for w, x in zip(part, ids, strict=True) if x is None}))
         if len(words) + len(new) <= self.most:
             words.update(new)
-            new = {}
-        if new:
-            return [b"".join([words[w] if w in words else new[w] for w in part]) for part in split]
-        return [b"".join([words[w] for w in part]) for part in split]
+        return [b"".join(ids) if None not in ids else b"".join([new[w] if x is None else x for w, x in zip(part, ids, strict=True)]) for part, ids in zip(split, found, strict=True)]
 
 
 class Packer:
