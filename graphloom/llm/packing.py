@@ -12,7 +12,6 @@ import functools
 import os
 import re
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +27,7 @@ CACHE = 1_200_000
 #: Partitions whose leftovers are merged together: bounds what one task holds to GROUP * OPEN windows.
 GROUP = 8
 OPEN = 32
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary, grp long"
+PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary, grp long"
 
 
 @functools.lru_cache(maxsize=2)
@@ -108,7 +107,7 @@ class WordEncoder:
 
 
 class Packer:
-    """Open windows and finished sequences; rows: (doc_id, start, length, crc, doc_tokens, sequence_id, offset, ids, group)."""
+    """Open windows and finished sequences; rows: (doc_id, start, length, doc_tokens, sequence_id, offset, ids, group)."""
 
     def __init__(self, size: int, open_windows: int, base: int) -> None:
         self.size, self.open, self.base, self.made, self.rows = size, [[0, []] for _ in range(open_windows)], base, 0, []
@@ -117,7 +116,7 @@ class Packer:
         offset = 0
         for doc, start, total, ids in pieces:
             n = len(ids) // 4
-            self.rows.append((doc, start, n, zlib.crc32(ids), total, self.base + self.made, offset, None, None))
+            self.rows.append((doc, start, n, total, self.base + self.made, offset, ids, None))
             offset += n
         self.made += 1
 
@@ -174,14 +173,14 @@ class Packer:
         return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-_SCHEMA = pa.schema([*((n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")), ("ids", pa.binary()), ("grp", pa.int64())])
+_SCHEMA = pa.schema([*((n, pa.int64()) for n in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset")), ("ids", pa.binary()), ("grp", pa.int64())])
 
 
 def pack(docs: DataFrame, path: str, end_id: int = 1, size: int = 2048, open_windows: int = OPEN) -> DataFrame:
-    """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+    """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit numbers).
 
-    An empty text still has its end id.  The input's partitions are taken as they come, in order; a task that is run
-    again packs the same rows the same way.
+    A sequence is the ids of its pieces in the order of their offsets.  An empty text still has its end id.  The input's
+    partitions are taken as they come, in order; a task that is run again packs the same rows the same way.
     """
     if size & (size - 1):
         raise ValueError("size must be a power of two")
@@ -197,7 +196,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, size: int = 2048, open_win
                     packer.place(doc, 0, len(ids) // 4, ids)
                 if packer.rows:
                     yield packer.take(_SCHEMA)
-        packer.rows += [(doc, start, len(ids) // 4, None, total, task, i, ids, task // GROUP) for i, (doc, start, total, ids) in enumerate(p for w in packer.open for p in w[1])]
+        packer.rows += [(doc, start, len(ids) // 4, total, task, i, ids, task // GROUP) for i, (doc, start, total, ids) in enumerate(p for w in packer.open for p in w[1])]
         if packer.rows:
             yield packer.take(_SCHEMA)
 
@@ -220,5 +219,5 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, size: int = 2048, open_win
                 yield packer.take(_SCHEMA)
 
     packed = materialise(documents(docs).mapInArrow(first, PIECES), "packing")
-    left = packed.where("ids IS NOT NULL").repartition("grp").sortWithinPartitions("grp", "sequence_id", "offset").mapInArrow(second, PIECES)
-    return packed.where("ids IS NULL").unionByName(left).select(*[F.col(c) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
+    left = packed.where("grp IS NOT NULL").repartition("grp").sortWithinPartitions("grp", "sequence_id", "offset").mapInArrow(second, PIECES)
+    return packed.where("grp IS NULL").unionByName(left).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "ids")

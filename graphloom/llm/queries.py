@@ -48,7 +48,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")  # the CRC stands for them
 
 
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -275,6 +275,24 @@ def test_packing(spark, corpus):
         assert at <= 2048 and at & (at - 1) == 0  # full, or a power of two: no padding at all
 
 
+def test_packed_ids(spark, data, corpus):
+    """The pieces' ids, put together, are the documents; the sequences are whole; the thin query has their CRCs."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    df, rows = corpus
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    pieces = corpus_pipeline.packing(spark, df, data).collect()
+    assert all(p["length"] * 4 == len(p["ids"]) and p["ids_crc32"] == zlib.crc32(p["ids"]) for p in pieces)
+    docs = {}
+    for p in sorted(pieces, key=lambda p: p["start"]):
+        docs[p["doc_id"]] = docs.get(p["doc_id"], b"") + p["ids"]
+    assert {d: np.frombuffer(b, "<u4").tolist() for d, b in docs.items()} == {d: [*t.encode(x or "", add_special_tokens=False).ids, 1] for d, x in rows}
+    thin = queries.op6_packing(spark, data)
+    assert thin.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    assert sorted(thin.select("doc_id", "start", "ids_crc32").collect()) == sorted((p["doc_id"], p["start"], p["ids_crc32"]) for p in pieces)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from("aZé'sS1?<|ÉÅÿŸſ\u0130\u03a3\u0301 \t\x1c\u3000中") | st.characters(codec="utf-8"), max_size=60), max_size=4))
 def test_words_encode_as_the_library_does(texts):
