@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.files import delete
@@ -111,6 +111,22 @@ def id_array(ids: np.ndarray) -> pa.Array:
     return pa.array(ids, pa.int64(), mask=ids == NULL_ID)
 
 
+# ---------------------------------------------------------------- removed spans
+
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def runs_of(gone: np.ndarray) -> list[dict[str, int]]:
+    """The runs of true values, as starts and ends."""
+    edge = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).tolist() if gone.any() else []
+    return [{"start": a, "end": b} for a, b in zip(edge[::2], edge[1::2], strict=True)]
+
+
+def removed(spans: str) -> Column:
+    """n_removed: the total length of an array of spans."""
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"]).alias("n_removed")
+
+
 # ---------------------------------------------------------------- word hashes
 
 _RNG = np.random.default_rng(20240229)

@@ -58,9 +58,10 @@ def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .suffix import repeated_strings
+    from .common import materialise
+    from .suffix import cut_strings, digests
 
-    return repeated_strings(table(spark, sf_dir, "documents"))
+    return digests(materialise(cut_strings(table(spark, sf_dir, "documents")), "cut-strings"))  # spans and kept texts are written
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,6 @@ the borders of buckets by fingerprints of their 50-byte strings, which are dealt
 
 from __future__ import annotations
 
-import hashlib
 import struct
 
 import numpy as np
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Parts, arrays, columns, deal, exchange, key_parts, parts_row, per_block, read_shared, shared_keys, smaller_elsewhere, squeeze, expand, store, with_answers
-from .common import id_array, materialise, mix, partitions, powers
+from .common import SPANS, id_array, materialise, mix, partitions, powers, removed, runs_of
 
 LENGTH, HEAD = 50, 20
 SPAN = LENGTH - HEAD + 1  # heads of one string
@@ -235,8 +234,11 @@ def _bucket_answers(parts: list[bytes]) -> list[bytes]:
     return [columns(mask[e - k : e].astype(np.uint32)) for e, k in zip(ends.tolist(), sizes, strict=True)]
 
 
-def repeated_strings(docs: DataFrame, hot_from: int = 2) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+def cut_strings(docs: DataFrame, hot_from: int = 2) -> DataFrame:
+    """Per document: doc_id, n_bytes, spans, kept.
+
+    spans are the removed bytes, as (start, end) without the end, in order; kept is what stays, as bytes (a cut may fall inside
+    a character).
 
     A byte goes where a string of 50 bytes covers it that also starts in a document with a smaller doc_id.  Strings don't
     cross documents; rows with the same doc_id don't remove each other's bytes.  A leading token is hot, and spread, if
@@ -305,14 +307,23 @@ def repeated_strings(docs: DataFrame, hot_from: int = 2) -> DataFrame:
             np.add.at(edge, s, 1)
             np.add.at(edge, s + LENGTH, -1)
         gone = np.cumsum(edge[:-1]) > 0
-        removed, spans, digests = [], [], []
+        spans, kept = [], []
         for t, at in zip(texts, b.base.tolist(), strict=True):
             g = gone[at : at + len(t)]
-            n = int(g.sum())
-            removed.append(n)
-            spans.append(int(g[0]) + int((g[1:] & ~g[:-1]).sum()) if n else 0)
-            digests.append(hashlib.sha256(np.frombuffer(t, np.uint8)[~g].tobytes() if n else t).hexdigest())
-        return pa.RecordBatch.from_arrays([id_array(ids), pa.array([len(t) for t in texts], pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            found = runs_of(g)
+            spans.append(found)
+            kept.append(np.frombuffer(t, np.uint8)[~g].tobytes() if found else t)
+        return pa.RecordBatch.from_arrays([id_array(ids), pa.array([len(t) for t in texts], pa.int64()), pa.array(spans, SPANS), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
     second = exchange(per_block(with_answers(blocks, first), contents, "block long, parts array<struct<bucket:int,data:binary>>"), _answers, 2)
-    return per_block(with_answers(blocks, first.unionByName(second)), remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return per_block(with_answers(blocks, first.unionByName(second)), remove, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+
+
+def digests(cut: DataFrame) -> DataFrame:
+    """Per document of cut_strings: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    return cut.select("doc_id", "n_bytes", removed("spans"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def repeated_strings(docs: DataFrame, hot_from: int = 2) -> DataFrame:
+    """The digests of cut_strings, straight from it."""
+    return digests(cut_strings(docs, hot_from))

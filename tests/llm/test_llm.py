@@ -363,6 +363,19 @@ def test_repeated_strings(spark, corpus, seed):
             assert got[d] == (len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), sha(bytes(x for x, g in zip(b, gone, strict=True) if not g)))
 
 
+def test_cut_strings(spark):
+    """Spans and kept texts are there, and the query's columns follow from them."""
+    rows = repeats(2)
+    docs = {d: (t or "").encode() for d, t in rows}
+    first = firsts(docs)
+    cut = suffix.cut_strings(table(spark, rows, 5))
+    for r in cut.collect():
+        gone = bytes(covered(docs[r["doc_id"]], first, r["doc_id"]))
+        assert [(s["start"], s["end"]) for s in r["spans"]] == [m.span() for m in re.finditer(b"\1+", gone)]
+        assert r["kept"] == bytes(x for x, g in zip(docs[r["doc_id"]], gone, strict=True) if not g)
+    assert cut.where("size(spans) > 0").count() > 10
+
+
 def test_hot_leading_tokens(spark):
     """One phrase fills most buckets: its strings are compared by fingerprints instead of being sorted in one place."""
     r = random.Random(3)
