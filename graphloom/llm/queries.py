@@ -52,9 +52,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .substring import repeated_passages
+    from .common import materialise
+    from .substring import cut_passages, digests
 
-    return repeated_passages(table(spark, sf_dir, "documents"))
+    return digests(materialise(cut_passages(table(spark, sf_dir, "documents")), "cut-passages"))  # spans and kept texts are written
 
 
 def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,14 +8,13 @@ around one is fingerprinted whole, and the document with the smallest id that ha
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .blocks import Parts, columns, deal, exchange, key_parts, parts_row, per_block, read_shared, shared_keys, smaller_elsewhere, store, with_answers
-from .common import Words, grams, id_array, materialise, partitions
+from .common import SPANS, Words, grams, id_array, materialise, partitions, removed, runs_of
 
 #: {0, 1, 3, 8, 12, 18} modulo 31: each difference of residues occurs once.
 PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
@@ -59,8 +58,10 @@ class _Block:
         return a[order][first], b[order][first], np.minimum.reduceat(self.owner[starts][order], first), which
 
 
-def repeated_passages(docs: DataFrame, window: int = 50) -> DataFrame:
-    """Per document: doc_id, n_words, n_removed, kept_sha256.
+def cut_passages(docs: DataFrame, window: int = 50) -> DataFrame:
+    """Per document: doc_id, n_words, spans, kept.
+
+    spans are the removed words, as (start, end) in words without the end, in order; kept is the text that stays.
 
     A word goes where a window of `window` words covers it whose sequence also starts in a document with a smaller doc_id.
     Rows with the same doc_id don't remove each other's words.  The kept words are joined by one space.
@@ -91,16 +92,28 @@ def repeated_passages(docs: DataFrame, window: int = 50) -> DataFrame:
         np.add.at(edge, starts, 1)
         np.add.at(edge, starts + window, -1)
         gone = np.cumsum(edge[:-1]) > 0
-        removed = np.bincount(b.text[gone], minlength=len(texts))
-        digests = []
-        for t, first, count, n in zip(texts, b.words.first.tolist(), b.words.count.tolist(), removed.tolist(), strict=True):
-            words = t.split()
-            if n:
-                words = [w for w, g in zip(words, gone[first : first + count].tolist(), strict=True) if not g]
-            digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
-        return pa.RecordBatch.from_arrays([id_array(ids), pa.array(b.words.count), pa.array(removed), pa.array(digests)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+        spans, kept = [], []
+        for t, first, count in zip(texts, b.words.first.tolist(), b.words.count.tolist(), strict=True):
+            words, g = t.split(), gone[first : first + count]
+            found = runs_of(g)
+            if found:
+                words = [w for w, x in zip(words, g.tolist(), strict=True) if not x]
+            spans.append(found)
+            kept.append(b" ".join(words))
+        return pa.RecordBatch.from_arrays([id_array(ids), pa.array(b.words.count), pa.array(spans, SPANS), pa.array(kept, pa.binary())], ["doc_id", "n_words", "spans", "kept"])
 
     blocks = store(docs, anchors, buckets)
     first = materialise(exchange(blocks, shared_keys, 1), "anchors")
     second = exchange(per_block(with_answers(blocks, first), candidates, "block long, parts array<struct<bucket:int,data:binary>>"), smaller_elsewhere, 2)
-    return per_block(with_answers(blocks, first.unionByName(second)), remove, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    cut = per_block(with_answers(blocks, first.unionByName(second)), remove, "doc_id long, n_words long, spans array<struct<start:long,end:long>>, kept binary")
+    return cut.withColumn("kept", F.col("kept").cast("string"))
+
+
+def digests(cut: DataFrame) -> DataFrame:
+    """Per document of cut_passages: doc_id, n_words, n_removed, kept_sha256."""
+    return cut.select("doc_id", "n_words", removed("spans"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def repeated_passages(docs: DataFrame, window: int = 50) -> DataFrame:
+    """The digests of cut_passages, straight from it."""
+    return digests(cut_passages(docs, window))

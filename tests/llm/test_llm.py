@@ -363,6 +363,21 @@ def test_repeated_strings(spark, corpus, seed):
             assert got[d] == (len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), sha(bytes(x for x, g in zip(b, gone, strict=True) if not g)))
 
 
+def test_cut_passages(spark):
+    """Word spans and kept texts are there, and a written table of them gives the query's columns."""
+    rows = repeats(2)
+    docs = {d: tuple(WORD.findall(t or "")) for d, t in rows}
+    first = firsts(docs)
+    cut = common.materialise(substring.cut_passages(table(spark, rows, 5)), "cut")
+    for r in cut.collect():
+        w = docs[r["doc_id"]]
+        gone = bytes(covered(w, first, r["doc_id"]))
+        assert [(s["start"], s["end"]) for s in r["spans"]] == [m.span() for m in re.finditer(b"\1+", gone)]
+        assert r["kept"] == " ".join(x for x, g in zip(w, gone, strict=True) if not g)
+    assert cut.where("size(spans) > 0").count() > 10
+    assert sorted(substring.digests(cut).collect()) == sorted(substring.repeated_passages(table(spark, rows, 5)).collect())
+
+
 def test_cut_strings(spark):
     """Spans and kept texts are there, and the query's columns follow from them."""
     rows = repeats(2)
