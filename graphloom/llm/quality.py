@@ -7,17 +7,20 @@ the mean of its tokens' vectors, drawn towards the mean document as if that had
 don't decide.  A network with one hidden layer is trained on those; a temperature fitted on a part of
 the training rows that the weights never saw turns its margin into a probability.
 
-Only the text enters a score.  The fit uses at most `FIT_ROWS` labelled documents (half of each label, the first by a hash
-of the id); scoring covers every document and its whole text.
+Only the text enters a score.  The vectors count the words of all documents, labelled or not.  The fit of the network and the
+temperature uses at most `FIT_ROWS` labelled documents (half of each label, the first by a hash of the id); scoring covers
+every document and its whole text.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +32,9 @@ THRESHOLD = 0.7
 
 #: Tokens that the mean document adds to each text's words and shapes.
 PRIOR_WORDS, PRIOR_SHAPES = 24, 6
+#: Slices of the count matrices that are added up apart, and tasks whose slices are added up first.
+SLICES, FAN = 16, 32
+_SUMS = "task int, slice int, sums binary"
 _REPEAT = 0x5E1F
 
 _CLASS = np.arange(256, dtype=np.uint8)
@@ -131,21 +137,52 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def vectors(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Random-indexing vectors from a bounded sample: one pair of count matrices a task, added up."""
+def _summed(rows: DataFrame, group: Column) -> DataFrame:
+    """(task, slice, sums): the sums of the rows of each group and slice, added up one by one."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, None
+        for batch in batches:
+            for task, part, data in zip(*(batch.column(c).to_pylist() for c in ("task", "slice", "sums")), strict=True):
+                m = np.frombuffer(zlib.decompress(data), "<i8")
+                if (task, part) == now:
+                    total += m
+                else:
+                    if now:
+                        yield _slice(*now, total)
+                    now, total = (task, part), m.copy()
+        if now:
+            yield _slice(*now, total)
+
+    return rows.withColumn("task", group.cast("int")).repartition("task", "slice").sortWithinPartitions("task", "slice").mapInArrow(add, _SUMS)
+
+
+def _slice(task: int, part: int, sums: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([part], pa.int32()), pa.array([zlib.compress(sums.astype("<i8").tobytes(), 1)], pa.binary())], ["task", "slice", "sums"])
+
+
+def vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Random-indexing vectors from all documents: a pair of count matrices a task, in slices, added up in a tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, sign = _index_vectors()
         sums = np.zeros((2, BUCKETS * DIM))
         for batch in batches:
-            for part in batches_of(batch, "text", 1 << 20):
+            for part in batches_of(batch, "text", 4 << 20):
                 words, shapes, count = tokens(utf8(part.column("text")))
                 for m, b in zip(sums, (words, shapes), strict=True):
                     _around(b, count, place, sign, m)
-        yield pa.RecordBatch.from_arrays([pa.array([sums.astype("<f8").tobytes()], pa.binary())], ["sums"])
-
-    rows = sample.select("text").repartition(4).mapInArrow(run, "sums binary").collect()  # four matrices of fixed size
-    total = sum(np.frombuffer(r["sums"], "<f8") for r in rows).reshape(2, BUCKETS, DIM)
+        if sums.any():
+            task = TaskContext.get().partitionId()
+            for k, part in enumerate(sums.reshape(SLICES, -1)):
+                yield _slice(task, k, part)
+
+    rows = docs.select("text").mapInArrow(run, _SUMS)
+    rows = _summed(_summed(rows, F.floor(F.col("task") / FAN)), F.lit(0)).collect()  # SLICES rows, two matrices of fixed size in all
+    total = np.zeros((SLICES, 2 * BUCKETS * DIM // SLICES))
+    for r in rows:
+        total[r["slice"]] = np.frombuffer(zlib.decompress(r["sums"]), "<i8")
+    total = total.reshape(2, BUCKETS, DIM)
     return _unit(total[0]).astype(np.float32), _unit(total[1]).astype(np.float32)
 
 
@@ -177,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model | flo
     counts = {r["quality"]: r["count"] for r in chosen.groupBy("quality").count().collect()}
     if len(counts) < 2:
         return float(next(iter(counts), 0.5))
-    word, shape = vectors(chosen)
+    word, shape = vectors(documents(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

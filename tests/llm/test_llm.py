@@ -239,6 +239,22 @@ def test_quality_edges(spark, data):
     assert good.columns == df.columns and 0 < good.count() < df.count()
 
 
+def test_vectors_count_all_documents(spark):
+    """Words of unlabelled documents get vectors, whatever the partitions; the sums are those of all texts at once."""
+    texts = [f"good word{i % 7} text" if i % 2 else f"bad bad{i % 5} noise" for i in range(40)] + [f"unlabelled zyx{i} qwv{i}" for i in range(30)] + [None, ""]
+    df = table(spark, list(enumerate(texts)), 5)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    model = quality.fit(df, labels)
+    place, sign = quality._index_vectors()
+    words, shapes, count = quality.tokens([(t or "").encode() for t in texts])
+    for b, got in ((words, model.word), (shapes, model.shape)):
+        want = np.zeros(quality.BUCKETS * quality.DIM)
+        quality._around(b, count, place, sign, want)
+        assert np.allclose(got, quality._unit(want.reshape(quality.BUCKETS, quality.DIM)), atol=1e-6)
+    unseen = quality.tokens([b"zyx7 qwv7"])[0]
+    assert (np.abs(model.word[unseen]).sum(axis=1) > 0).all()
+
+
 def test_scores_dont_depend_on_neighbours(spark, data):
     texts = [r["text"].encode() for r in spark.read.parquet(f"{data}/documents.parquet").limit(20).collect()]
     r = np.random.default_rng(1)
