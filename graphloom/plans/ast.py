@@ -106,6 +106,7 @@ class Call:
     yields: list[tuple[str, str]] | None = None
     optional: bool = False
     inline: Query | None = None
+    scope: list[str] | None = None  # variables that an inline query sees; None: all
 
 
 @dataclass

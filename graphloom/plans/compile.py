@@ -86,7 +86,7 @@ def names_in(e: A.Expr) -> set[str]:
         if x.op == "var":
             out.add(x.args[0])
         elif x.op == "exists":
-            out |= pattern_vars(x.args[0])
+            out |= pattern_vars(x.args[0]).union(*[names_in(c) for c in exprs_of(x.args[0])])
         elif x.op == "is" and x.args[0] in ("SOURCE", "DESTINATION"):
             out.add(x.args[2])
     return out
@@ -106,6 +106,26 @@ def pattern_vars(m: A.Match) -> set[str]:
     return {i.var for i in path_items(m.paths)}
 
 
+def names_used(q: object) -> set[str]:
+    """All variable names in a query, whether it binds them or takes them from around it."""
+    if isinstance(q, A.Chain):
+        return set().union(*[names_used(step) for step, _ in q.steps])
+    if isinstance(q, A.SetOp):
+        return names_used(q.left) | names_used(q.right)
+    out: set[str] = set()
+    for p in q.parts:
+        if isinstance(p, (A.Linear, A.SetOp, A.Chain)):
+            out |= names_used(p)
+        elif isinstance(p, A.Call) and p.inline is not None:
+            out |= names_used(p.inline) if p.scope is None else names_used(p.inline) & set(p.scope)
+        elif isinstance(p, (A.Match, A.Block)):
+            out = out.union(*[pattern_vars(m) for m in (p.matches if isinstance(p, A.Block) else [p])])
+        elif isinstance(p, A.Return) and p.star:
+            out.add("*")
+        out = out.union(*[names_in(e) for e in exprs_of(p)])
+    return out
+
+
 def exprs_of(part: object) -> Iterable[A.Expr]:
     """All expressions directly in a part of a query, for finding which variables are asked for more than their identity."""
     if isinstance(part, A.Match):
@@ -137,6 +157,10 @@ def exprs_of(part: object) -> Iterable[A.Expr]:
             yield from exprs_of(part.order)
 
 
+#: Functions and tests of vertices and edges that their identity answers.
+IDENTITY = {"TYPE", "LABEL", "LABELS", "ID", "ELEMENT_ID", "ALL_DIFFERENT", "SAME", "LABELED", "DIRECTED", "SOURCE", "DESTINATION", "NULL"}
+
+
 def wanted(parts: list) -> set[str] | None:
     """Variables whose properties or value are used; None: all of them."""
     out: set[str] = set()
@@ -148,10 +172,12 @@ def wanted(parts: list) -> set[str] | None:
                 if x.op == "agg" and x.args[0] == "COUNT" and x.args[1][0].op == "var":
                     continue
                 if x.op == "exists":
-                    out |= pattern_vars(x.args[0])
+                    out |= names_in(x)
                 elif x.op == "prop" and x.args[0].op == "var":
                     out.add(x.args[0].args[0])
-                elif x.op in ("call", "is", "list", "record", "case", "path", "agg", "in", "=", "<>", "at", "prop"):
+                elif x.op == "path" or x.op in ("call", "is") and x.args[0] in IDENTITY or x.op in ("=", "<>") and all(a.op == "var" for a in x.args):
+                    continue
+                elif x.op in ("call", "is", "list", "record", "case", "agg", "in", "=", "<>", "at", "prop"):
                     out |= {a.args[0] for a in _flat(x.args) if isinstance(a, A.Expr) and a.op == "var"}
             if e.op == "var":
                 out.add(e.args[0])
@@ -166,14 +192,17 @@ def _flat(args: list) -> Iterable:
             yield a
 
 
-#: Levels that an unbounded quantifier may take before the loop is taken for endless.
-MOST_LEVELS = 1000
+#: Most repetitions that become one plan of joins (levels share their exchanges); with more, each level is written.
+UNROLLED = 4
 
 
 class Compiler:
     def __init__(self, spark: SparkSession, graph: Graph | None, params: dict | None = None, user: str = "user", resolve=None, procedures=None) -> None:  # noqa: ANN001
         self.spark, self.graph, self.params, self.user, self.resolve, self.procedures = spark, graph, params or {}, user, resolve, procedures
         self.fresh = 0
+        #: Key columns of the row around an inline CALL; every step inside carries them and works for each key apart.
+        self.carried: tuple[str, ...] = ()
+        self.around: DataFrame | None = None  # their values
 
     # ---------------------------------------------------------------- queries
     def run(self, q: A.Query) -> DataFrame:
@@ -214,7 +243,7 @@ class Compiler:
 
     def renamed(self, f: Frame, names: list[tuple[str, str]]) -> Frame:
         cols, scope = [], {}
-        for old, new in names:
+        for old, new in [*((k, k) for k in self.carried), *names]:
             if old not in f.scope:
                 raise BindFault(f"{old} isn't a column here")
             v = f.scope[old]
@@ -235,6 +264,8 @@ class Compiler:
             df = a.exceptAll(b) if q.all else a.subtract(b)
         elif q.op == "INTERSECT":
             df = a.intersectAll(b) if q.all else a.intersect(b)
+        elif self.carried:  # the right side only for the rows around for which the left one is empty
+            df = a.union(self.without(b, a))
         else:  # the right side only where the left one is empty: a one-row flag decides
             empty = a.limit(1).agg((F.count("*") == 0).alias("_empty"))
             df = a.union(b.join(F.broadcast(empty)).where("_empty").drop("_empty"))
@@ -259,6 +290,7 @@ class Compiler:
             elif isinstance(p, A.Let):
                 f = f or self.one_row()
                 for name, e in p.items:
+                    f = self.with_flags(f, [e])
                     f = Frame(f.df.withColumn(name, self.col(e, f)), f.scope | {name: Var("value")})
             elif isinstance(p, A.For):
                 f = f or self.one_row()
@@ -290,9 +322,11 @@ class Compiler:
         return [self.col(e, f).alias(name)], Var("value")
 
     def returned(self, r: A.Return, f: Frame) -> Frame:
-        if r.finish:
-            return Frame(f.df.limit(0).select())
+        if r.finish:  # nothing comes out; tables need a column, so there is one
+            return Frame(f.df.where(F.lit(False)).select(*self.carried, F.lit(True).alias("finished")), {c: Var("value") for c in (*self.carried, "finished")})
         items = [(A.Expr("var", [n]), n) for n, v in f.scope.items() if not n.startswith("_")] if r.star else r.items
+        items = [*[(A.Expr("var", [k]), k) for k in self.carried], *items]
+        f = self.with_flags(f, [e for e, _ in items])
         grouped = r.group is not None or any(x.op == "agg" for e, _ in items for x in e.walk()) or r.having is not None
         scope: dict[str, Var] = {}
         keys, values, hidden = [], [], []
@@ -328,6 +362,9 @@ class Compiler:
             if r.having is not None:
                 values.append(self.col(r.having, f).alias("_having"))
             df = f.df.groupBy(*keys).agg(*values) if values else f.df.select(*keys).distinct()
+            if self.carried and values and len(keys) == len(self.carried):  # without groups there is a row for no rows, too
+                none = f.df.where(F.lit(False)).agg(*values)
+                df = df.unionByName(self.without(self.around, df).crossJoin(none))
             if r.having is not None:
                 df = df.where("_having")
         else:
@@ -340,15 +377,23 @@ class Compiler:
         if sort:
             cols = [(F.col(c) if isinstance(c, str) else self.col(c, out), up, first) for c, up, first in sort]
             out = Frame(out.df.orderBy(*[(c.asc_nulls_first() if first else c.asc_nulls_last()) if up else (c.desc_nulls_first() if first else c.desc_nulls_last()) for c, up, first in cols]), scope)
-        out = self.paged(out, r.order)
+            out = self.paged(out, r.order, [(c.asc_nulls_first() if first else c.asc_nulls_last()) if up else (c.desc_nulls_first() if first else c.desc_nulls_last()) for c, up, first in cols])
+        else:
+            out = self.paged(out, r.order, [])
         return Frame(out.df.select(*[self.tick(c) for c in order]), scope)
 
     @staticmethod
     def alike(a: A.Expr, b: A.Expr) -> bool:
         return a.op == b.op and len(a.args) == len(b.args) and all(Compiler.alike(x, y) if isinstance(x, A.Expr) and isinstance(y, A.Expr) else str(x) == str(y) for x, y in zip(a.args, b.args, strict=True))
 
-    def paged(self, f: Frame, order: A.OrderBy | None) -> Frame:
+    def paged(self, f: Frame, order: A.OrderBy | None, by: list[Column]) -> Frame:
         df = f.df
+        if self.carried and order is not None and (order.offset is not None or order.limit is not None):
+            first = self.count_of(order.offset) if order.offset is not None else 0
+            at = F.col("_at")
+            df = df.withColumn("_at", F.row_number().over(Window.partitionBy(*self.carried).orderBy(*(by or [F.lit(0)])))).where(at > first)
+            df = df.where(at <= first + self.count_of(order.limit)) if order.limit is not None else df
+            return Frame(df.drop("_at"), f.scope)
         if order is not None and order.offset is not None:
             df = df.offset(self.count_of(order.offset))
         if order is not None and order.limit is not None:
@@ -362,21 +407,14 @@ class Compiler:
         return value
 
     def ordered(self, f: Frame, o: A.OrderBy, scope: Frame) -> Frame:
-        df = f.df
-        if o.keys:
-            cols = [(self.col(k.expr, scope), k.ascending, k.nulls_first) for k in o.keys]
-            df = df.orderBy(*[(c.asc_nulls_first() if first else c.asc_nulls_last()) if up else (c.desc_nulls_first() if first else c.desc_nulls_last()) for c, up, first in cols])
-        return self.paged(Frame(df, f.scope), o)
+        cols = [(self.col(k.expr, scope), k.ascending, k.nulls_first) for k in o.keys]
+        by = [(c.asc_nulls_first() if first else c.asc_nulls_last()) if up else (c.desc_nulls_first() if first else c.desc_nulls_last()) for c, up, first in cols]
+        return self.paged(Frame(f.df.orderBy(*by) if by else f.df, f.scope), o, by)
 
     # ---------------------------------------------------------------- procedures
     def call(self, c: A.Call, f: Frame | None) -> Frame:
         if c.inline is not None:
-            inner = self.query(c.inline, f)
-            if f is None:
-                return inner
-            extra = {n: v for n, v in inner.scope.items() if n not in f.scope}
-            scope = inner.scope | f.scope if all(n in inner.scope for n in f.scope) else extra
-            return Frame(inner.df, scope)
+            return self.inline(c, f)
         args = [self.constant(a) for a in c.args]
         df = self.procedures(c.name, args)
         if df is None:
@@ -389,6 +427,45 @@ class Compiler:
             return out
         return self.merge(f, out, "left" if c.optional else "inner")
 
+    def inline(self, c: A.Call, f: Frame | None) -> Frame:
+        """CALL {...}: the query inside runs for each row around it, that is, once for all distinct values of the variables
+        that it uses; its steps carry these as key columns, by which its rows meet the rows around again."""
+        if f is None:
+            return self.query(c.inline, None)
+        names = names_used(c.inline)
+        used = [n for n in f.scope if ("*" in names or n in names) and (c.scope is None or n in c.scope) and n not in self.carried]
+        kept, self.carried, graph = (self.carried, self.around), (), self.graph
+        try:
+            if not used:
+                inner, on = self.query(c.inline, None), []
+            else:
+                self.fresh += 1
+                copies = {f"_k{self.fresh}_{i}": F.col(self.tick(k)) for i, k in enumerate(k for n in used for k in self.key_columns(f, n))}
+                rows = f.df.select(*[self.tick(k) for n in used for k in f.columns(n)], *[k.alias(name) for name, k in copies.items()]).dropDuplicates(list(copies))
+                self.carried, self.around = tuple(copies), rows.select(*copies)
+                inner = self.query(c.inline, Frame(rows, {n: f.scope[n] for n in used} | {k: Var("value") for k in copies}))
+                on = [k.eqNullSafe(F.col(f"_r{name}")) for name, k in copies.items()]
+        finally:
+            (self.carried, self.around), self.graph, own = kept, graph, self.carried
+        new = {n: v for n, v in inner.scope.items() if n not in own and not (n in f.scope and v.kind in ("node", "edge") and n in used)}
+        if clash := sorted(set(new) & set(f.scope)):
+            raise BindFault(f"{', '.join(clash)} is bound around the CALL already")
+        right = inner.df.select(*[F.col(k).alias(f"_r{k}") for k in own], *[self.tick(k) for n in new for k in inner.columns(n)])
+        how = "left" if c.optional else "inner"
+        df = f.df.join(right, reduce(lambda x, y: x & y, on), how) if on else f.df.crossJoin(right) if how == "inner" else f.df.join(right, F.lit(True), how)
+        return Frame(df.drop(*[f"_r{k}" for k in own]), f.scope | new)
+
+    def without(self, rows: DataFrame, others: DataFrame) -> DataFrame:
+        """The rows whose carried keys don't occur in the others."""
+        right = others.select(*[F.col(k).alias(f"_r{k}") for k in self.carried])
+        return rows.join(right, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_r{k}")) for k in self.carried]), "left_anti")
+
+    @staticmethod
+    def key_columns(f: Frame, n: str) -> list[str]:
+        """The columns that identify what a variable holds."""
+        ids = {"node": (VID, LABEL), "edge": (EID, LABEL)}.get(f.scope[n].kind)
+        return [f"{n}${c}" for c in ids] if ids else [n]
+
     def constant(self, e: A.Expr) -> object:
         if e.op == "lit":
             return e.args[0]
@@ -404,21 +481,31 @@ class Compiler:
     def match(self, m: A.Match, given: Frame | None, refs: set[str] | None) -> Frame:
         f: Frame | None = None
         asked = {i.var for i in path_items(m.paths)} if refs is None else refs
-        for p in m.paths:
+        if given is not None:
+            plain, m = m, self.hoisted(m, set(given.scope) - pattern_vars(m))
+            asked = asked if m is plain else asked | names_in(m.where)
+        whole = m.different_edges and any(p.alternatives or any(isinstance(i, A.Group) or isinstance(i, A.Edge) and i.low is not None for i in p.items) for p in m.paths)
+        walked = [f"_edges{n}" for n in range(len(m.paths))] if whole else []
+        for n, p in enumerate(m.paths):
             held = {n for x in (given, f) if x is not None for n, v in x.scope.items() if v.kind == "node"}
-            g = self.path(p, asked - held)  # what is bound already brings its properties along
+            if whole and p.mode == "WALK":
+                p = replace(p, mode="TRAIL")
+            g = self.path(p, asked - held, walked[n] if whole else None)  # what is bound already brings its properties along
             f = g if f is None else self.merge(f, g, "inner")
-        if m.different_edges:
+        if whole:  # repetitions bind any number of edges: all edges of the match as one list
+            f = Frame(f.df.withColumn("_edges", F.concat(*walked)).where(F.size(F.array_distinct("_edges")) == F.size("_edges")).drop("_edges", *walked), f.scope)
+        elif m.different_edges:
             f = self.different(f, [i.var for i in path_items(m.paths) if isinstance(i, A.Edge)])
         if given is None:
             if m.optional:
                 return self.merge(self.one_row(), self.where(f, m.where), "left")
             f = self.where(f, m.where)
         elif m.optional:
-            inside = [c for c in conjuncts(m.where) if names_in(c) <= set(f.scope)]
-            across = [c for c in conjuncts(m.where) if not names_in(c) <= set(f.scope)]
-            for c in inside:
-                f = self.where(f, c)
+            outer = set(given.scope) - set(f.scope)
+            across = [c for c in conjuncts(m.where) if names_in(c) & outer]
+            for c in conjuncts(m.where):
+                if c not in across:
+                    f = self.where(f, c)
             f = self.merge(given, f, "left", across)
         else:
             f = self.where(self.merge(given, f, "inner"), m.where)
@@ -426,6 +513,30 @@ class Compiler:
             return Frame(f.df, {n: f.scope[n] for n in (*(given.scope if given else ()), *m.yields)})
         return f
 
+    @staticmethod
+    def hoisted(m: A.Match, outer: set[str]) -> A.Match:
+        """Conditions inside elements that use variables from around the pattern become part of WHERE."""
+        moved: list[A.Expr] = []
+
+        def lifted(i: A.Node | A.Edge | A.Group) -> A.Node | A.Edge | A.Group:
+            if isinstance(i, A.Group):
+                if (i.low, i.high) == (1, 1) and i.path.mode == "WALK" and not i.path.alternatives:
+                    return replace(i, path=replace(i.path, items=[lifted(x) for x in i.path.items]))
+                return i
+            if isinstance(i, A.Edge) and i.low is not None:
+                return i
+            props = [(k, e) for k, e in i.props if not names_in(e) & outer]
+            tests = conjuncts(i.where)
+            here = [c for c in tests if not names_in(c) & outer]
+            if len(props) == len(i.props) and len(here) == len(tests):
+                return i
+            moved.extend(A.Expr("=", [A.Expr("prop", [A.Expr("var", [i.var]), k]), e]) for k, e in i.props if names_in(e) & outer)
+            moved.extend(c for c in tests if names_in(c) & outer)
+            return replace(i, props=props, where=reduce(lambda x, y: A.Expr("and", [x, y]), here) if here else None)
+
+        paths = [p if p.alternatives or p.search != ("ALL", 0) else replace(p, items=[lifted(i) for i in p.items]) for p in m.paths]
+        return replace(m, paths=paths, where=reduce(lambda x, y: A.Expr("and", [x, y]), [*moved, *conjuncts(m.where)])) if moved else m
+
     def different(self, f: Frame, edges: list[str]) -> Frame:
         df = f.df
         plain = [e for e in edges if f.scope[e].kind == "edge"]
@@ -438,33 +549,32 @@ class Compiler:
     def merge(self, a: Frame, b: Frame, how: str, across: list[A.Expr] | None = None) -> Frame:
         """Joins two frames on the variables that they share, by identity."""
         common = [n for n in b.scope if n in a.scope]
-        right, on, drop = b.df, [], []
+        right, on, drop, keys = b.df, [], [], []
         for n in common:
+            mine = a.columns(n)
             for c in b.columns(n):
-                right = right.withColumnRenamed(c, f"_r${c}")
-                drop.append(f"_r${c}")
+                if c in mine:  # a property that only the right side has brought along keeps its name
+                    right = right.withColumnRenamed(c, f"_r${c}")
+                    drop.append(f"_r${c}")
             ids = {"node": (VID, LABEL), "edge": (EID, LABEL)}.get(a.scope[n].kind)
             several = len(set(a.scope[n].labels) | set(b.scope[n].labels)) > 1
             for c in [f"{n}${x}" for x in (ids if several else ids[:1])] if ids else [n]:
                 on.append(F.col(self.tick(c)) == F.col(self.tick(f"_r${c}")))
-        extra = {n: v for n, v in b.scope.items() if n not in a.scope}
-        scope = a.scope | extra
-        # properties that only one side has brought along
+                keys.append(f"_r${c}")
+        scope = a.scope | {n: v for n, v in b.scope.items() if n not in a.scope}
         for n in common:
-            more = [p for p in b.scope[n].props if p not in a.scope[n].props]
-            if more:
-                scope[n] = replace(a.scope[n], props=(*a.scope[n].props, *more))
+            scope[n] = replace(a.scope[n], props=(*a.scope[n].props, *[p for p in b.scope[n].props if p not in a.scope[n].props]))
         if across:
             both = Frame(a.df.crossJoin(right), scope)
             on += [self.col(c, both) for c in across]
+        if how in ("left_semi", "left_anti"):
+            if not across:
+                right = right.select(*[self.tick(k) for k in keys]).distinct() if keys else right.limit(1)
+            return Frame(a.df.join(right, reduce(lambda x, y: x & y, on) if on else F.lit(True), how), a.scope)
         if not on:
             df = a.df.crossJoin(right) if how == "inner" else a.df.join(right, F.lit(True), how)
         else:
             df = a.df.join(right, reduce(lambda x, y: x & y, on), how)
-        for n in common:
-            for p in scope[n].props:
-                if p not in a.scope[n].props:
-                    df = df.withColumnRenamed(f"_r${n}${p}", f"{n}${p}")
         return Frame(df.drop(*drop), scope)
 
     def where(self, f: Frame, e: A.Expr | None) -> Frame:
@@ -473,33 +583,55 @@ class Compiler:
             if inner.op == "exists":
                 f = self.semi(f, inner.args[0], "left_anti" if negated else "left_semi")
                 continue
-            flags = [x for x in c.walk() if x.op == "exists"]
-            for x in flags:
-                f = self.flagged(f, x)
-            f = Frame(f.df.where(self.col(c, f)).drop(*[x.text for x in flags]), f.scope)
+            names = {x for x in f.df.columns if x.startswith("_exists")}
+            f = self.with_flags(f, [c])
+            f = Frame(f.df.where(self.col(c, f)), f.scope)
+            f = Frame(f.df.drop(*[x for x in f.df.columns if x.startswith("_exists") and x not in names]), f.scope)
         return f
 
-    def exists_side(self, f: Frame, m: A.Match) -> tuple[DataFrame, Column, list[str]]:
-        g = self.match(m, None, wanted([m])) if not (set().union(*[names_in(c) for c in conjuncts(m.where)]) - pattern_vars(m)) else None
-        if g is None:  # the condition uses outer variables: bring in what it needs
-            outer = [n for n in f.scope if f.scope[n].kind in ("node", "edge", "value")]
-            g = self.match(m, Frame(f.df, {n: f.scope[n] for n in outer}), None)
-        common = [n for n in g.scope if n in f.scope and f.scope[n].kind in ("node", "edge")]
-        cols = [f"{n}${c}" for n in common for c in ((VID if f.scope[n].kind == "node" else EID), LABEL)]
-        right = g.df.select(*[F.col(c).alias(f"_x${c}") for c in cols]).distinct() if cols else g.df.limit(1).select(F.lit(True).alias("_x$any"))
-        on = reduce(lambda x, y: x & y, [F.col(c) == F.col(f"_x${c}") for c in cols]) if cols else F.lit(True)
-        return right, on, cols
+    def with_flags(self, f: Frame, exprs: list[A.Expr]) -> Frame:
+        """A column for each EXISTS in the expressions."""
+        for x in (x for e in exprs for x in e.walk() if x.op == "exists"):
+            f = self.flagged(f, x)
+        return f
 
     def semi(self, f: Frame, m: A.Match, how: str) -> Frame:
-        right, on, _ = self.exists_side(f, m)
-        return Frame(f.df.join(right, on, how), f.scope)
+        """The rows for which the pattern is found (or isn't): variables that both sides bind are join keys, conditions over
+        both sides are part of the join."""
+        m = self.hoisted(m, set(f.scope) - pattern_vars(m))
+        refs = wanted([m])
+        g = self.match(replace(m, where=None, optional=False), None, refs)
+        outer = set(f.scope) - set(g.scope)
+        across = [c for c in conjuncts(m.where) if names_in(c) & outer]
+        for c in conjuncts(m.where):
+            if c not in across:
+                g = self.where(g, c)
+        if not any(x.op == "exists" for c in across for x in c.walk()):
+            return self.merge(f, Frame(g.df, {n: v for n, v in g.scope.items() if v.kind in ("node", "edge", "value")}), how, across)
+        # an EXISTS inside a condition over both sides: found rows, by what they use from around
+        used = [n for n in f.scope if n in set(g.scope).union(*[names_in(c) for c in across])]
+        keys = [k for n in used for k in self.key_columns(f, n)]
+        rows = Frame(f.df.select(*[self.tick(c) for n in used for c in f.columns(n)]).dropDuplicates(keys), {n: f.scope[n] for n in used})
+        hit = self.merge(rows, g, "inner")
+        for c in across:
+            hit = self.where(hit, c)
+        right = hit.df.select(*[F.col(self.tick(k)).alias(f"_x${k}") for k in keys]).distinct()
+        return Frame(f.df.join(right, reduce(lambda x, y: x & y, [F.col(self.tick(k)).eqNullSafe(F.col(self.tick(f"_x${k}"))) for k in keys]), how), f.scope)
 
     def flagged(self, f: Frame, x: A.Expr) -> Frame:
-        right, on, _ = self.exists_side(f, x.args[0])
+        """A column that tells for each row whether the pattern is found; decided once for all rows that look alike to it."""
+        m = x.args[0]
         self.fresh += 1
-        x.text = f"_exists{self.fresh}"
-        df = f.df.join(right.withColumn("_flag", F.lit(True)), on, "left").withColumn(x.text, F.col("_flag").isNotNull())
-        return Frame(df.drop("_flag", *right.columns), f.scope)
+        x.text = flag = f"_exists{self.fresh}"
+        used = [n for n in f.scope if n in names_in(x)]
+        keys = [k for n in used for k in self.key_columns(f, n)]
+        if not keys:
+            found = self.match(m, None, wanted([m])).df.limit(1).agg((F.count("*") > 0).alias(flag))
+            return Frame(f.df.crossJoin(F.broadcast(found)), f.scope)
+        rows = Frame(f.df.select(*[self.tick(c) for n in used for c in f.columns(n)]).dropDuplicates(keys), {n: f.scope[n] for n in used})
+        right = self.semi(rows, m, "left_semi").df.select(*[F.col(self.tick(k)).alias(f"_x${k}") for k in keys], F.lit(True).alias("_flag"))
+        df = f.df.join(right, reduce(lambda a, b: a & b, [F.col(self.tick(k)).eqNullSafe(F.col(self.tick(f"_x${k}"))) for k in keys]), "left")
+        return Frame(df.withColumn(flag, F.col("_flag").isNotNull()).drop("_flag", *[f"_x${k}" for k in keys]), f.scope)
 
     # -- elements
     def node_frame(self, n: A.Node) -> Frame:
@@ -583,9 +715,10 @@ class Compiler:
             F.lit(s.src_label).alias(f"{var}$_src_label"), F.lit(s.dst_label).alias(f"{var}$_dst_label"), *[F.col(self.tick(p)).alias(f"{var}${p}") for p in s.properties])
 
     # -- paths
-    def path(self, p: A.Path, refs: set[str] | None) -> Frame:
+    def path(self, p: A.Path, refs: set[str] | None, edges: str | None = None) -> Frame:
+        """`edges` names a column that keeps the list of the path's edges."""
         if p.alternatives:
-            frames = [self.path(replace(x, mode=p.mode, var=p.var, search=p.search), None) for x in p.alternatives]
+            frames = [self.path(replace(x, mode=p.mode, var=p.var, search=p.search), None, edges) for x in p.alternatives]
             names = list(dict.fromkeys(n for f in frames for n in f.scope if all(n in g.scope for g in frames) or not n.startswith("_")))
             scope = {}
             for n in names:
@@ -594,14 +727,14 @@ class Compiler:
             df = None
             for f in frames:
                 cols = [c for n in names if n in f.scope for c in f.columns(n)]
-                one = f.df.select(*[self.tick(c) for c in cols])
+                one = f.df.select(*[self.tick(c) for c in cols], *([edges] if edges else []))
                 df = one if df is None else df.unionByName(one, allowMissingColumns=True)
             return Frame(df if p.multiset else df.distinct(), scope)
         search, k = p.search
         items = self.spliced(p.items)
-        track = p.var is not None or p.mode != "WALK" or search != "ALL"
+        track = p.var is not None or p.mode != "WALK" or search != "ALL" or edges is not None
         single = len(items) == 3 and isinstance(items[1], A.Edge) and items[1].low is not None
-        f = self.walk(items, refs, track, p.mode, "SHORTEST" in search and single and (k == 1 or search == "ALL SHORTEST"))
+        f = self.walk(items, refs, track, p.mode, search if "SHORTEST" in search and single and p.mode == "WALK" and (k == 1 or search == "ALL SHORTEST") else "")
         if track:
             f = self.restricted(f, p.mode)
         if search != "ALL":
@@ -609,7 +742,7 @@ class Compiler:
             f = self.searched(f, search, k, ends[0].var, ends[-1].var)
         if p.var is not None:
             f = Frame(f.df.withColumn(p.var, F.struct(F.col("_pn").alias("nodes"), F.col("_pe").alias("edges"))), f.scope | {p.var: Var("path")})
-        return Frame(f.df.drop("_pn", "_pe"), f.scope)
+        return Frame((f.df.withColumnRenamed("_pe", edges) if edges else f.df).drop("_pn", "_pe"), f.scope)
 
     def spliced(self, items: list) -> list:
         """Parenthesised subpaths that occur once become part of the path around them."""
@@ -624,7 +757,7 @@ class Compiler:
                 out.append(i)
         return out
 
-    def walk(self, items: list, refs: set[str] | None, track: bool, mode: str, shortest: bool) -> Frame:
+    def walk(self, items: list, refs: set[str] | None, track: bool, mode: str, shortest: str) -> Frame:
         need = lambda n: refs is None or n.var in refs or bool(n.props) or n.where is not None or not self.graph.closed
         f: Frame | None = None
         here: str | None = None
@@ -737,29 +870,30 @@ class Compiler:
             g = self.edge_frame(i, every, every)
             return g.df.select("_fl", "_f", "_tl", "_t", F.array(self.ref(i.var, EID)).alias("_he"), F.array(F.struct(F.col("_tl").alias("label"), F.col("_t").cast("long").alias("id"))).alias("_hn"))
         items = self.spliced(i.path.items)
-        f = self.restricted(self.walk(items, None, True, i.path.mode, False), i.path.mode)
+        f = self.restricted(self.walk(items, None, True, i.path.mode, ""), i.path.mode)
         f = self.where(f, i.where)
         nodes = [x.var for x in items if isinstance(x, A.Node)]
         a, b = nodes[0], nodes[-1]
         return f.df.select(F.col(f"{a}${LABEL}").alias("_fl"), F.col(f"{a}${VID}").alias("_f"), F.col(f"{b}${LABEL}").alias("_tl"), F.col(f"{b}${VID}").alias("_t"), F.col("_pe").alias("_he"), F.expr("slice(_pn, 2, greatest(size(_pn) - 1, 0))").alias("_hn"))
 
-    def repeated(self, f: Frame, here: str, i: A.Edge | A.Group, t: A.Node, need: bool, track: bool, mode: str, shortest: bool) -> Frame:
-        """A quantified edge or subpath.  Bounded ones are unrolled into joins; unbounded ones run level by level, each level
-        written, along trails (no edge twice), so they end.  For shortest paths a level leaves out what an earlier one has
-        reached from the same start."""
+    def repeated(self, f: Frame, here: str, i: A.Edge | A.Group, t: A.Node, need: bool, track: bool, mode: str, shortest: str) -> Frame:
+        """A quantified edge or subpath.  A fixed or small number of repetitions is a plan of joins.  Else they run level by
+        level: each level is written once, carries the start, the current vertex and the path only, and the other columns meet
+        the levels again at the end.  Unbounded ones follow trails (no edge twice), so they end.  For shortest paths a level
+        leaves out what an earlier one has reached from the same start; where any shortest path will do, it keeps one a vertex."""
         hop = self.hop(i)
-        kind = "array<struct<label:string,id:bigint>>"
-        level = f.df.withColumn("_cl", F.col(f"{here}${LABEL}")).withColumn("_cv", F.col(f"{here}${VID}")).withColumn("_qe", F.expr(f"cast(array() as {kind})")).withColumn("_qn", F.expr(f"cast(array() as {kind})"))
-        endless = i.high is None
-        trail = mode == "TRAIL" or endless and not shortest
+        none = F.expr("cast(array() as array<struct<label:string,id:bigint>>)")
         start = [f"{here}${LABEL}", f"{here}${VID}"]
-        seen = None
-        found = level if i.low == 0 else None
-        if shortest:
-            level = written(level, "level")
-            seen = level.select(*[F.col(c).alias(f"_s{k}") for k, c in enumerate(start)], F.col("_cl").alias("_sl"), F.col("_cv").alias("_sv")).distinct() if i.low == 0 else None
+        levels = shortest or i.high is None or i.high > max(i.low, UNROLLED)
+        trail = mode == "TRAIL" or i.high is None and not shortest
+        alone = set(f.df.columns) == set(start) and set(f.scope) == {here}
+        base = f.df if not levels or set(f.scope) == {here} else written(f.df, "starts")
+        first = base if alone or not levels else base.select(*start) if set(f.scope) == {here} else base.select(*start).distinct()
+        level = first.withColumn("_cl", F.col(start[0])).withColumn("_cv", F.col(start[1])).withColumn("_qe", none).withColumn("_qn", none)
+        found = [level] if i.low == 0 else []
+        seen = [level] if shortest and i.low == 0 else []
         depth = 0
-        while endless or depth < i.high:
+        while i.high is None or depth < i.high:
             depth += 1
             level = level.join(hop, (F.col("_cv") == F.col("_f")) & (F.col("_cl") == F.col("_fl")))
             if trail:
@@ -767,22 +901,24 @@ class Compiler:
             if mode in ("ACYCLIC", "SIMPLE"):
                 level = level.where(~F.arrays_overlap("_qn", "_hn"))
             level = level.withColumn("_qe", F.concat("_qe", "_he")).withColumn("_qn", F.concat("_qn", "_hn")).withColumn("_cl", F.col("_tl")).withColumn("_cv", F.col("_t")).drop("_fl", "_f", "_tl", "_t", "_he", "_hn")
-            if shortest and seen is not None:
-                same = (F.col(start[0]) == F.col("_s0")) & (F.col(start[1]) == F.col("_s1")) & (F.col("_cl") == F.col("_sl")) & (F.col("_cv") == F.col("_sv"))
-                level = level.join(seen, same, "left_anti")
-            if endless or shortest:
+            if seen:
+                known = reduce(DataFrame.union, [x.select(*[F.col(c).alias(f"_s{k}") for k, c in enumerate((*start, "_cl", "_cv"))]) for x in seen])
+                level = level.join(known, reduce(lambda x, y: x & y, [F.col(c) == F.col(f"_s{k}") for k, c in enumerate((*start, "_cl", "_cv"))]), "left_anti")
+            if shortest == "SHORTEST":
+                level = level.groupBy(*start, "_cl", "_cv").agg(F.min(F.struct("_qe", "_qn")).alias("_way")).select(*start, "_cl", "_cv", "_way._qe", "_way._qn")
+            if levels:
                 level = written(level, "level")
                 if level.isEmpty():
                     break
-                if depth >= MOST_LEVELS:
-                    raise BindFault("an unbounded path didn't end")
-            if shortest and depth >= i.low:
-                new = level.select(*[F.col(c).alias(f"_s{k}") for k, c in enumerate(start)], F.col("_cl").alias("_sl"), F.col("_cv").alias("_sv")).distinct()
-                seen = written(new if seen is None else seen.union(new), "seen")
             if depth >= i.low:
-                found = level if found is None else found.unionByName(level)
-        if found is None:
-            found = level.limit(0)
+                found.append(level)
+                if shortest:
+                    seen = [*seen, level] if len(seen) < 16 else [written(reduce(DataFrame.unionByName, [x.select(*start, "_cl", "_cv") for x in [*seen, level]]), "seen")]
+        everything = reduce(DataFrame.unionByName, found) if found else level.limit(0)
+        if levels and not alone:
+            back = base.select(*[F.col(self.tick(c)).alias(f"_b{k}" if c in start else c) for k, c in [(start.index(c) if c in start else 0, c) for c in base.columns]])
+            everything = everything.join(back, (F.col(start[0]) == F.col("_b0")) & (F.col(start[1]) == F.col("_b1"))).drop("_b0", "_b1")
+        found = everything
         bound = t.var in f.scope
         targets = f.scope[t.var].labels if bound else labels_of(t.label, self.graph.vertices)
         if len(targets) < len(self.graph.vertices):
@@ -808,10 +944,9 @@ class Compiler:
     def searched(self, f: Frame, search: str, k: int, a: str, b: str) -> Frame:
         by = Window.partitionBy(f"{a}${LABEL}", f"{a}${VID}", f"{b}${LABEL}", f"{b}${VID}")
         size = F.size("_pe")
-        ids = F.transform("_pe", lambda x: x["id"])
         rank = {"ALL SHORTEST": F.rank().over(by.orderBy(size)), "SHORTEST GROUP": F.dense_rank().over(by.orderBy(size))}.get(search)
         if rank is None:
-            rank = F.row_number().over(by.orderBy(size, ids))
+            rank = F.row_number().over(by.orderBy(size, "_pe"))
         return Frame(f.df.withColumn("_rank", rank).where(F.col("_rank") <= (1 if search == "ALL SHORTEST" else k)).drop("_rank"), f.scope)
 
     # -- counting without enumerating

@@ -271,14 +271,15 @@ class Parser:
         return self.listed(one)
 
     def call(self, optional: bool = False) -> A.Call:
-        if self.punct("(") or self.peek("{"):
-            if not self.peek("{"):
-                while not self.punct(")"):  # the variables in scope; all are visible anyway
-                    self.i += 1
+        if (scoped := bool(self.punct("("))) or self.peek("{"):
+            scope = None
+            if scoped:
+                scope = [] if self.peek(")") else self.listed(self.name)
+                self.need(")")
             self.need("{")
             inner = self.chain()
             self.need("}")
-            return A.Call("", [], None, optional, inner)
+            return A.Call("", [], None, optional, inner, scope)
         name = self.reference()
         self.need("(")
         args = [] if self.peek(")") else self.listed(self.expr)

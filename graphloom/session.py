@@ -10,7 +10,7 @@ from .plans.compile import BindFault, Compiler, outline
 from .plans.parser import parse
 
 #: Options that sessions have, with their values at the start.
-OPTIONS = {"functional_refine": True, "max_bucket": False, "max_star_length": 2, "max_star_degree": 3}
+OPTIONS = {"functional_refine": True, "max_bucket": False, "max_star_length": 2, "max_star_degree": 3, "explain_physical": False}
 
 
 class Session:
@@ -75,9 +75,8 @@ class Session:
     # -- commands
     def _explain(self, query: A.Query | A.Command) -> DataFrame:
         lines = ["Explain:"] + (outline(query, 1) if not isinstance(query, A.Command) else [f"  {query.name.title()}"])
-        if not isinstance(query, A.Command):
-            df = self.compiler().run(query)
-            lines += ["", *df._jdf.queryExecution().simpleString().splitlines()] if hasattr(df, "_jdf") else []
+        if self.options["explain_physical"] and not isinstance(query, A.Command):
+            lines += ["", *self.compiler().run(query)._jdf.queryExecution().simpleString().splitlines()]
         return self.spark.createDataFrame([(x,) for x in lines], "plan string")
 
     def _set(self, kind: str, name: str | None, value: A.Expr | None = None) -> None:
