@@ -26,10 +26,12 @@ HELP = ":help  :quit  :history  :mode MODE  :timing on|off  :metrics  :cd DIR"
 
 
 def shown(df: DataFrame, mode: str, rows: int = 1000) -> str:
-    """The first rows of a result as text."""
-    names, data = df.columns, df.limit(rows).collect()
+    """A result as text: csv and json whole, row by row; tables the first `rows`, and a line that says so where there are more."""
+    names = df.columns
     if mode == "json":
-        return "\n".join(json.dumps(r.asDict(recursive=True), default=str, ensure_ascii=False) for r in data)
+        return "\n".join(json.dumps(r.asDict(recursive=True), default=str, ensure_ascii=False) for r in df.toLocalIterator())
+    data = list(df.toLocalIterator()) if mode == "csv" else df.limit(rows + 1).collect()
+    more, data = mode != "csv" and len(data) > rows, data if mode == "csv" else data[:rows]
     cells = [["" if v is None and mode == "csv" else "null" if v is None else str(v) for v in r] for r in data]
     if mode == "csv":
         out = io.StringIO()
@@ -41,7 +43,7 @@ def shown(df: DataFrame, mode: str, rows: int = 1000) -> str:
     row = lambda r: (edge + mark.join(f" {v.ljust(w)} " for v, w in zip(r, width, strict=True)) + edge).rstrip() if edge == "" else edge + mark.join(f" {v.ljust(w)} " for v, w in zip(r, width, strict=True)) + edge
     rule = lambda c: c[0] + c[1].join(line * (w + 2) for w in width) + c[2] if mode != "psql" else "+".join(line * (w + 2) for w in width)
     lines = [row(names), rule(middle), *map(row, cells)]
-    return "\n".join([*([rule(top)] if top else []), *lines, *([rule(bottom)] if bottom else [])])
+    return "\n".join([*([rule(top)] if top else []), *lines, *([rule(bottom)] if bottom else []), *([f"(the first {rows} rows)"] if more else [])])
 
 
 def statements(text: str) -> Iterator[str]:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import DST, EID, SRC, VID, Graph, GraphFault
+from ..scratch import written
 
 
 def amount(count: int | None, percent: float | None, total: int) -> int:
@@ -29,8 +30,14 @@ def delete_vertices(g: Graph, label: str, n: int) -> Graph:
 
 def numbered(df: DataFrame, column: str, most: int) -> DataFrame:
     """(i, column) of the first `most` rows by value: rows past what n edges can use are never numbered."""
-    first = df.select(column).orderBy(column).limit(most)
-    return first.select(F.col(column), (F.row_number().over(Window.orderBy(column)) - 1).cast("long").alias("i"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # each partition of the sorted rows numbers its own; the numbers before it are a sum over the few partition counts
+    dealt = written(df.select(column).repartitionByRange(parts, column).withColumn("_p", F.spark_partition_id()), "dealt")
+    counts = dealt.groupBy("_p").agg(F.count("*").alias("_n"))  # a row a partition
+    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).select("_p", F.coalesce("_before", F.lit(0)).alias("_before"))
+    needed = dealt.join(F.broadcast(before.where(F.col("_before") < most)), "_p")
+    i = F.col("_before") + F.row_number().over(Window.partitionBy("_p", "_before").orderBy(column)) - 1
+    return needed.select(F.col(column), i.cast("long").alias("i")).where(F.col("i") < most)
 
 
 def add_edges(g: Graph, label: str, src: str, dst: str, n: int) -> Graph:

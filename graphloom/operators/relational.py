@@ -25,6 +25,31 @@ def factorize(rows: DataFrame, keys: list[str], nested: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.collect_list(F.struct(*rest)).alias(nested))
 
 
+def multiplicities(branches: list[DataFrame], keys: list[str]) -> DataFrame:
+    """(keys, n): the size of the product of the branches' rows for each key.  Every branch is counted by key first (a partial
+    aggregate), so no key's rows ever meet in one place."""
+    out = None
+    for i, b in enumerate(branches):
+        one = b.groupBy(*keys).agg(F.count("*").alias(f"_n{i}"))
+        out = one if out is None else out.join(one, keys)
+    n = F.lit(1).cast("long")
+    for i in range(len(branches)):
+        n = n * F.col(f"_n{i}")
+    return out.select(*keys, n.alias("n"))
+
+
+def aggregate_product(kind: str, keys: list[str], others: list[DataFrame], over: DataFrame | None = None, value: Column | None = None) -> DataFrame:
+    """COUNT, SUM, AVG, MIN or MAX over the product of branches that share keys, without building it: each branch is reduced to
+    one row a key, rows of keys are joined, and values count as often as the other branches say."""
+    if over is None:
+        return multiplicities(others, keys).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("count"))
+    parts = over.groupBy(*keys).agg(F.count(value).alias("_c"), F.sum(value.cast("double")).alias("_s"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    both = parts.join(multiplicities(others, keys), keys) if others else parts.withColumn("n", F.lit(1).cast("long"))
+    c, s = F.sum(F.col("_c") * F.col("n")), F.sum(F.col("_s") * F.col("n"))
+    agg = {"COUNT": F.coalesce(c, F.lit(0)).cast("long"), "SUM": F.when(c > 0, s), "AVG": s / F.nullif(c, F.lit(0)), "MIN": F.min("_lo"), "MAX": F.max("_hi")}[kind]
+    return both.agg(agg.alias(kind.lower()))
+
+
 def flatten(rows: DataFrame, nested: str) -> DataFrame:
     """The inverse of factorize."""
     others = [F.col(c) for c in rows.columns if c != nested]

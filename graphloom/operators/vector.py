@@ -37,7 +37,9 @@ def literal(query: list[float]) -> Column:
 def search(vertices: DataFrame, column: str, query: list[float], k: int, where: Column | None = None) -> DataFrame:
     """(vid, distance): the k nearest by squared Euclidean distance, ties by id; a condition is applied before the search."""
     df = vertices if where is None else vertices.where(where)
-    df = df.where(F.size(column) == len(query)).select(F.col(VID).alias("vid"), squared_distance(F.col(column), literal(query)).alias("distance"))
+    wrong = F.raise_error(F.concat(F.lit(f"a query of {len(query)} dimensions meets a vector of "), F.size(column).cast("string"))).cast("array<float>")
+    vector = F.when(F.size(column) == len(query), F.col(column)).otherwise(wrong)
+    df = df.where(F.col(column).isNotNull()).withColumn(column, vector).select(F.col(VID).alias("vid"), squared_distance(F.col(column), literal(query)).alias("distance"))
     return df.orderBy("distance", "vid").limit(k)
 
 
@@ -107,7 +109,8 @@ def nearest_approximate(vertices: DataFrame, column: str, queries: DataFrame, k:
     data takes a bounded block of queries with it and keeps k rows a query and task; more queries mean more scans.
     """
     spark = vertices.sparkSession
-    whole = lambda df, name: df.where(F.size(column) == dim).select(F.col(name).cast("long").alias(name), F.col(column).cast("array<double>").alias("v"))
+    wrong = F.raise_error(F.concat(F.lit(f"{dim} dimensions expected, found "), F.size(column).cast("string"))).cast("array<double>")
+    whole = lambda df, name: df.where(F.col(column).isNotNull()).select(F.col(name).cast("long").alias(name), F.when(F.size(column) == dim, F.col(column).cast("array<double>")).otherwise(wrong).alias("v"))
     most = max(1, QUERY_BYTES // (8 * dim))
     data = whole(vertices, VID).withColumnRenamed(VID, "vid").coalesce(4 * spark.sparkContext.defaultParallelism)
     asked = whole(queries, "qid").dropDuplicates(["qid"])

@@ -291,7 +291,7 @@ class Compiler:
                 f = f or self.one_row()
                 for name, e in p.items:
                     f = self.with_flags(f, [e])
-                    f = Frame(f.df.withColumn(name, self.col(e, f)), f.scope | {name: Var("value")})
+                    f = Frame(f.df.withColumn(name, self.col(e, f)), f.scope | {name: Var("path" if e.op == "path" else "value")})
             elif isinstance(p, A.For):
                 f = f or self.one_row()
                 value = self.col(p.source, f)
@@ -345,7 +345,8 @@ class Compiler:
             if same:
                 sort.append((self.tick(same), k.ascending, k.nulls_first))
                 continue
-            if names_in(k.expr) and names_in(k.expr) <= set(scope) and not any(x.op == "agg" for x in k.expr.walk()):
+            hides = any(x.op == "prop" and x.args[0].op == "var" and x.args[0].args[0] in f.scope and scope.get(x.args[0].args[0], Var("value")).kind != f.scope[x.args[0].args[0]].kind for x in k.expr.walk())
+            if names_in(k.expr) and names_in(k.expr) <= set(scope) and not hides and not any(x.op == "agg" for x in k.expr.walk()):
                 sort.append((k.expr, k.ascending, k.nulls_first))
                 continue
             if r.distinct:

@@ -225,7 +225,7 @@ def random_insert(s: Session, ratio: float, path: str | None = None, seed: int =
             continue
         part = s.spark.read.parquet(f"{path}/{e.label}") if path else mutate.random_part(e.df.select(EID, SRC, DST), ratio, seed)
         top = g.edge_frame().agg(F.coalesce(F.max(EID), F.lit(-1)).alias("m"))
-        part = written(part.crossJoin(F.broadcast(top)).select((F.col(EID) + F.col("m") + 1).alias(EID), SRC, DST), "added")
+        part = written(part.crossJoin(F.broadcast(top)).select((F.monotonically_increasing_id() + F.col("m") + 1).alias(EID), SRC, DST), "added")
         added += part.count()
         new = new.add_edges(e.label, e.src_label, e.dst_label, part)
     publish(s, g, new)

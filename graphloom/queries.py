@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .graph import VID
+from .graph import VID, Graph
 from .operators import mutate, patterns, relational, vector
+from .scratch import shared_dir
 from .session import Session
+from .sources.files import read_text
+from .sources.manifest import export_graph, import_graph, load_snapshot
 from .sources.tables import table, tables_graph
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,13 +58,13 @@ text("element_predicates", "MATCH (c:Customer {c_mktsegment: 'BUILDING'} WHERE c
 text("return_distinct", "MATCH (c:Customer) RETURN DISTINCT c.c_mktsegment AS s", "SELECT DISTINCT c_mktsegment AS s FROM customer")
 text("return_vertex", "MATCH (n:Region) RETURN n NEXT RETURN n.r_regionkey AS k, id(n) AS id", "SELECT r_regionkey AS k, r_regionkey::BIGINT AS id FROM region")
 text("match_yield", "MATCH (n:Nation)-[:IN_REGION]->(r:Region) YIELD r RETURN id(r) AS k", "SELECT r_regionkey::BIGINT AS k FROM nation JOIN region ON n_regionkey = r_regionkey")
-text("finish", "MATCH (n:Region) FINISH", None)
+text("finish", "MATCH (n:Region) FINISH", "SELECT TRUE AS finished FROM region WHERE FALSE")
 text("next_chain", "MATCH (c:Customer)-[:IN_NATION]->(n:Nation) RETURN n, count(*) AS k NEXT MATCH (n)-[:IN_REGION]->(r:Region) RETURN r.r_name AS r, sum(k) AS s", "SELECT r_name AS r, count(*) AS s FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
 text("let_for_filter", "FOR x IN [1, 2, 3, 4] LET y = x * 10 FILTER y > 15 RETURN x, y", "SELECT x, x * 10 AS y FROM (VALUES (1), (2), (3), (4)) t(x) WHERE x * 10 > 15")
 text("for_ordinality", "FOR x IN ['a', 'b'] WITH ORDINALITY i RETURN x, i", "SELECT * FROM (VALUES ('a', 1::BIGINT), ('b', 2)) t(x, i)")
 text("select_statement", "SELECT n.n_name AS x FROM MATCH (n:Nation) WHERE n.n_nationkey < 3", "SELECT n_name AS x FROM nation WHERE n_nationkey < 3")
 text("nested_query", "{ MATCH (n:Nation) RETURN n.n_regionkey AS r, n.n_nationkey AS k } FILTER k > 5 RETURN r, count(*) AS c", "SELECT n_regionkey AS r, count(*) AS c FROM nation WHERE n_nationkey > 5 GROUP BY 1")
-text("explain", "EXPLAIN RETURN 1", None)
+text("explain", "EXPLAIN RETURN 1", "SELECT unnest(['Explain:', '  Project: 1', '    OneRow']) AS plan")
 
 # -- patterns
 text("path1", "MATCH (n:Nation)-[:IN_REGION]->(r:Region) RETURN n.n_name AS n, r.r_name AS r", "SELECT n_name AS n, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -76,6 +81,10 @@ text("optional_aggregate", "MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:
 text("exists_semi", "MATCH (c:Customer) WHERE EXISTS { (c)-[:PLACED]->(o:Orders) WHERE o.o_totalprice > 450000 } RETURN c.c_custkey AS c", "SELECT c_custkey AS c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000)")
 text("not_exists_anti", "MATCH (c:Customer) WHERE NOT EXISTS { MATCH (c)-[:PLACED]->(o:Orders) WHERE o.o_totalprice > 450000 } RETURN c.c_custkey AS c", "SELECT c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000)")
 text("exists_in_or", "MATCH (c:Customer) WHERE c.c_custkey < 9 OR EXISTS { (c)-[:PLACED]->(o:Orders) WHERE o.o_totalprice > 450000 } RETURN c.c_custkey AS c", "SELECT c_custkey AS c FROM customer WHERE c_custkey < 9 OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000)")
+text("exists_outer_value", "FOR x IN [0, 3, 100] MATCH (r:Region) WHERE EXISTS { (r)<-[:IN_REGION]-(n:Nation) WHERE n.n_nationkey < x } RETURN x, r.r_name AS r", "SELECT x, r_name AS r FROM (VALUES (0), (3), (100)) t(x), region WHERE EXISTS (SELECT 1 FROM nation WHERE n_regionkey = r_regionkey AND n_nationkey < x)")
+text("not_exists_outer_value", "FOR x IN [0, 3] MATCH (r:Region) WHERE NOT EXISTS { (r)<-[:IN_REGION]-(n:Nation {n_nationkey: x}) } RETURN x, r.r_name AS r", "SELECT x, r_name AS r FROM (VALUES (0), (3)) t(x), region WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_regionkey = r_regionkey AND n_nationkey = x)")
+text("exists_nested", "MATCH (n:Nation) WHERE EXISTS { (n)<-[:IN_NATION]-(c:Customer) WHERE c.c_acctbal > 9900 AND EXISTS { (c)-[:PLACED]->(o:Orders) WHERE o.o_totalprice > c.c_acctbal * n.n_nationkey } } RETURN n.n_name AS n", "SELECT n_name AS n FROM nation WHERE EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 9900 AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * n_nationkey))")
+text("exists_result", "MATCH (n:Nation) RETURN n.n_name AS n, EXISTS { (n)<-[:IN_NATION]-(s:Supplier) WHERE s.s_acctbal > n.n_nationkey * 400 } AS e", "SELECT n_name AS n, EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > n_nationkey * 400) AS e FROM nation")
 text("label_and_or_not", "MATCH (n:(Region|Nation|Supplier)&!Supplier) RETURN label(n) AS l, count(*) AS k", "SELECT 'Region' AS l, count(*) AS k FROM region UNION ALL SELECT 'Nation', count(*) FROM nation")
 text("quantified_1_3", "MATCH (a:Region {r_name: 'ASIA'})-[:IN_REGION]-{1,3}(b) RETURN label(b) AS l, id(b) AS b, count(*) AS k", """
     WITH e AS (SELECT 'Nation' || n_nationkey AS a, 'Region' || n_regionkey AS b FROM nation), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
@@ -86,7 +95,7 @@ text("quantified_edge_list", "MATCH (c:Customer)-[e]->{2,2}(r:Region) RETURN c.c
 text("quantified_optional", "MATCH (n:Nation)-[:IN_REGION]->?(x) RETURN label(x) AS l, id(x) AS x", "SELECT 'Nation' AS l, n_nationkey::BIGINT AS x FROM nation UNION ALL SELECT 'Region', n_regionkey FROM nation")
 text("quantified_unbounded", "MATCH (s:Supplier)-[:IN_NATION|IN_REGION]->+(x) RETURN s.s_suppkey AS s, label(x) AS l, id(x) AS x", "SELECT s_suppkey AS s, 'Nation' AS l, s_nationkey::BIGINT AS x FROM supplier UNION ALL SELECT s_suppkey, 'Region', n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 text("quantified_group", "MATCH (s:Supplier) ((a)-[:IN_NATION|IN_REGION]->(b)){2} (r:Region) RETURN s.s_suppkey AS s, r.r_name AS r", "SELECT s_suppkey AS s, r_name AS r FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
-text("path_trail", "MATCH TRAIL (a:Region {r_name: 'ASIA'})-[:IN_REGION]-{2,2}(b:Region) RETURN count(*) AS n", "SELECT 0::BIGINT AS n")
+text("path_trail", "MATCH TRAIL (a:Nation)-[:IN_REGION]-{2,2}(b:Nation) RETURN a.n_nationkey AS a, b.n_nationkey AS b", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey")
 text("path_walk", "MATCH WALK (a:Region {r_name: 'ASIA'})-[:IN_REGION]-{2,2}(b:Region) RETURN count(*) AS n", "SELECT count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'")
 text("path_acyclic", "MATCH ACYCLIC (a:Nation)-[:IN_REGION]-{2,2}(b:Nation) RETURN id(a) AS a, id(b) AS b", "SELECT a.n_nationkey::BIGINT AS a, b.n_nationkey::BIGINT AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey")
 text("path_simple", "MATCH SIMPLE (a:Nation)-[:IN_REGION]-{2,2}(b:Nation) RETURN count(*) AS n", "SELECT count(*) AS n FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey")
@@ -94,8 +103,10 @@ text("path_union", "MATCH (a:Nation)-[:IN_REGION]->(x) | (a:Supplier)-[:IN_NATIO
 text("path_multiset", "MATCH (a:Nation) |+| (a:Nation) RETURN id(a) AS a", "SELECT n_nationkey::BIGINT AS a FROM nation UNION ALL SELECT n_nationkey FROM nation")
 text("path_variable", "MATCH p = (c:Customer)-[:IN_NATION]->(n)-[:IN_REGION]->(r) RETURN c.c_custkey AS c, path_length(p) AS n, nodes(p)[2].id AS r", "SELECT c_custkey AS c, 2::BIGINT AS n, n_regionkey::BIGINT AS r FROM customer JOIN nation ON c_nationkey = n_nationkey")
 text("different_edges", "MATCH DIFFERENT EDGES (a:Nation)-[x:IN_REGION]->(r)<-[y:IN_REGION]-(b:Nation) RETURN id(a) AS a, id(b) AS b", "SELECT a.n_nationkey::BIGINT AS a, b.n_nationkey::BIGINT AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey")
+text("different_edges_quantified", "MATCH DIFFERENT EDGES (a:Nation)-[:IN_REGION]-{2,2}(b:Nation) RETURN count(*) AS n", "SELECT count(*) AS n FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey")
+text("different_edges_paths", "MATCH DIFFERENT EDGES (a:Nation)-[:IN_REGION]-{1,2}(b), (a)<-[x:IN_NATION]-(s:Supplier)-[y:IN_NATION]->(a) RETURN count(*) AS n", "SELECT 0::BIGINT * count(*) AS n FROM supplier")
 text("shortest_any", "MATCH p = ANY SHORTEST (a:Region {r_name: 'ASIA'})-[:IN_REGION]-*(b) RETURN label(b) AS l, id(b) AS b, path_length(p) AS n", "SELECT 'Region' AS l, r_regionkey::BIGINT AS b, 0::BIGINT AS n FROM region WHERE r_name = 'ASIA' UNION ALL SELECT 'Nation', n_nationkey, 1 FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'")
-text("shortest_all", "MATCH p = ALL SHORTEST (a:Supplier)-[:IN_NATION]-{1,4}(b:Supplier) WHERE a.s_suppkey = 1 RETURN b.s_suppkey AS b, path_length(p) AS n", "SELECT b.s_suppkey AS b, 2::BIGINT AS n FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey WHERE a.s_suppkey = 1")
+text("shortest_all", "MATCH p = ALL SHORTEST (a:Supplier)-[:IN_NATION]-{1,4}(b:Supplier) RETURN a.s_suppkey AS a, b.s_suppkey AS b, path_length(p) AS n", "SELECT a.s_suppkey AS a, b.s_suppkey AS b, 2::BIGINT AS n FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey")
 text("shortest_k", "MATCH p = SHORTEST 2 (a:Region)-[:IN_REGION]-{2,2}(b:Region) RETURN id(a) AS a, count(*) AS n", "SELECT n_regionkey::BIGINT AS a, least(count(*), 2)::BIGINT AS n FROM nation GROUP BY 1")
 text("shortest_group", "MATCH p = SHORTEST 1 GROUP (a:Nation)-[:IN_REGION]-{1,2}(b:Nation) RETURN id(a) AS a, id(b) AS b", "SELECT a.n_nationkey::BIGINT AS a, b.n_nationkey::BIGINT AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey")
 text("use_graph", "USE CURRENT_GRAPH MATCH (n:Region) RETURN n.r_name AS r", "SELECT r_name AS r FROM region")
@@ -114,30 +125,35 @@ text("agg_output_expr", "MATCH (c:Customer) RETURN c.c_mktsegment AS s, 1 + coun
 text("agg_stddev", "MATCH (p:Part) RETURN round(stddev_samp(p.p_size), 6) AS a, round(stddev_pop(p.p_size), 6) AS b", "SELECT round(stddev_samp(p_size), 6) AS a, round(stddev_pop(p_size), 6) AS b FROM part")
 text("agg_percentile", "MATCH (p:Part) RETURN p.p_brand AS b, percentile_cont(p.p_size, 0.25) AS c, percentile_disc(p.p_size, 0.25) AS d", "SELECT p_brand AS b, quantile_cont(p_size, 0.25) AS c, quantile_disc(p_size, 0.25) AS d FROM part GROUP BY 1")
 text("agg_collect", "MATCH (n:Nation)-[:IN_REGION]->(r:Region) RETURN r.r_name AS r, collect_list(n.n_nationkey) AS l NEXT RETURN r, array_join(array_sort(l), ',') AS l", "SELECT r_name AS r, string_agg(n_nationkey::VARCHAR, ',' ORDER BY n_nationkey) AS l FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
-text("agg_factorized_count", "MATCH (c:Customer)<-[:PLACED]-(x:Customer) RETURN count(*) AS n", "SELECT 0::BIGINT AS n")
+text("agg_factorized_count", "MATCH (n:Nation)<-[:IN_NATION]-(c:Customer)-[:PLACED]->(o:Orders)-[:CONTAINS]->(p:Part) RETURN count(*) AS n", "SELECT count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey")
 text("agg_factorized_path", "MATCH (p:Part)<-[:CONTAINS]-(o:Orders)-[:SUPPLIED_BY]->(s:Supplier) RETURN count(*) AS n", "SELECT sum(k * k)::BIGINT AS n FROM (SELECT count(*) AS k FROM lineitem GROUP BY l_orderkey)")
 
 
 @operator("SELECT sum(c)::BIGINT AS count FROM (SELECT count(*) * count(*) AS c FROM lineitem GROUP BY l_orderkey)")
 def factorized_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
-    a = relational.factorize(li.select("l_orderkey", "l_partkey"), ["l_orderkey"], "parts")
-    b = relational.factorize(li.select("l_orderkey", "l_suppkey"), ["l_orderkey"], "suppliers")
-    return relational.factorized_aggregate(a.join(b, "l_orderkey"), ["parts", "suppliers"], "COUNT")
+    return relational.aggregate_product("COUNT", ["l_orderkey"], [li.select("l_orderkey", "l_partkey"), li.select("l_orderkey", "l_suppkey")])
 
 
 @operator("SELECT sum(q * n)::DOUBLE AS sum FROM (SELECT sum(l_quantity) AS q, count(*) AS n FROM lineitem GROUP BY l_orderkey)")
 def factorized_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
-    a = relational.factorize(li.select("l_orderkey", "l_quantity"), ["l_orderkey"], "parts")
-    b = relational.factorize(li.select("l_orderkey", "l_suppkey"), ["l_orderkey"], "suppliers")
-    return relational.factorized_aggregate(a.join(b, "l_orderkey"), ["parts", "suppliers"], "SUM", lambda x: x["l_quantity"], "parts")
+    return relational.aggregate_product("SUM", ["l_orderkey"], [li.select("l_orderkey", "l_suppkey")], li, F.col("l_quantity"))
 
 
 @operator("SELECT min(l_quantity) AS min FROM lineitem")
 def factorized_min(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
-    return relational.factorized_aggregate(relational.factorize(li.select("l_orderkey", "l_quantity"), ["l_orderkey"], "parts"), ["parts"], "MIN", lambda x: x["l_quantity"], "parts")
+    return relational.aggregate_product("MIN", ["l_orderkey"], [li.select("l_orderkey", "l_suppkey")], li, F.col("l_quantity"))
+
+
+@operator("SELECT sum(q * n) / sum(c * n) AS avg FROM (SELECT sum(l_quantity) AS q, count(l_quantity) AS c, count(*) AS n FROM lineitem GROUP BY l_orderkey)")
+def factorized_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over nested columns, as an expansion leaves them."""
+    li = table(spark, sf_dir, "lineitem")
+    a = relational.factorize(li.select("l_orderkey", "l_quantity"), ["l_orderkey"], "parts")
+    b = relational.factorize(li.select("l_orderkey", "l_suppkey"), ["l_orderkey"], "suppliers")
+    return relational.factorized_aggregate(a.join(b, "l_orderkey"), ["parts", "suppliers"], "AVG", lambda x: x["l_quantity"], "parts")
 
 
 @operator("SELECT l_orderkey, l_quantity * 2 AS q FROM lineitem WHERE l_quantity > 25")
@@ -246,9 +262,19 @@ def degree_histogram_base2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns.histogram(patterns.degrees(tables_graph(spark, sf_dir), "Part", "CONTAINS", "in"))
 
 
-@operator("SELECT 'c_acctbal' AS \"column\", count(*) AS total, count(*) FILTER (c_acctbal IS NULL) AS nulls FROM customer")
+@operator(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS total, count(*) FILTER ({c} IS NULL) AS nulls, min({c})::VARCHAR AS low, max({c})::VARCHAR AS high FROM customer" for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")))
 def column_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return patterns.column_stats(table(spark, sf_dir, "customer")).where("column = 'c_acctbal'").select("column", "total", "nulls")
+    return patterns.column_stats(table(spark, sf_dir, "customer")).drop("ndv")  # approximate
+
+
+@operator("SELECT 'c_custkey' AS \"column\", TRUE AS close UNION ALL SELECT 'c_name', TRUE UNION ALL SELECT 'c_nationkey', TRUE UNION ALL SELECT 'c_acctbal', TRUE UNION ALL SELECT 'c_mktsegment', TRUE")
+def column_ndv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the approximate numbers of distinct values are within a fifth of the exact ones."""
+    customer = table(spark, sf_dir, "customer")
+    exact = customer.agg(*[F.count_distinct(c).alias(c) for c in customer.columns])
+    stats = patterns.column_stats(customer).crossJoin(exact)
+    true = F.coalesce(*[F.when(F.col("column") == c, F.col(c)) for c in customer.columns])
+    return stats.select("column", (F.abs(F.col("ndv") - true) <= 0.2 * true).alias("close"))
 
 
 _TREE = {"vertices": [{"id": 0, "label": "Customer"}, {"id": 1, "label": "Orders"}, {"id": 2, "label": "Part"}, {"id": 3, "label": "Nation"}], "edges": [{"id": 0, "label": "PLACED", "src": 0, "dst": 1}, {"id": 1, "label": "CONTAINS", "src": 1, "dst": 2}, {"id": 2, "label": "IN_NATION", "src": 0, "dst": 3}], "predicates": [{"target": "vertex", "id": 0, "property": "c_acctbal", "op": "gt", "value": 0.0}]}
@@ -265,21 +291,57 @@ def exact_star_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns.exact_count(tables_graph(spark, sf_dir), patterns.Pattern.parse(_CYCLE))
 
 
-@operator()
-def cardinality_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import json
-
-    return session(spark, sf_dir).gql(f"CALL gcard_query('{json.dumps(_TREE)}', 2, 1000)")
-
+_TRUTH = "SELECT count(*) AS truth, TRUE AS good FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey"
+_FREE = _TREE | {"predicates": []}
 
-@operator()
-def wander_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import json
 
-    return session(spark, sf_dir).gql(f"CALL wander_join_query('{json.dumps(_TREE)}', 0.2, 1, 7)")
+@operator(_TRUTH)
+def cardinality_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An upper bound of a tree pattern without predicates, beside the truth."""
+    s = session(spark, sf_dir)
+    bound = s.gql(f"CALL gcard_query('{json.dumps(_FREE)}', 2, 1000)")
+    return patterns.exact_count(s.graph, patterns.Pattern.parse(_FREE)).withColumnRenamed("cardinality", "truth").crossJoin(bound).select("truth", (F.col("cardinality") >= F.col("truth")).alias("good"))
 
 
-@operator()
+@operator(_TRUTH + " WHERE c_acctbal > 0")
+def wander_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The estimate from walks over the whole of the first table, which is to be within a quarter of the truth."""
+    s = session(spark, sf_dir)
+    walked = s.gql(f"CALL wander_join_query('{json.dumps(_TREE)}', 1.0, 1, 7)")
+    truth = patterns.exact_count(s.graph, patterns.Pattern.parse(_TREE)).withColumnRenamed("cardinality", "truth")
+    return truth.crossJoin(walked).select("truth", (F.abs(F.col("cardinality") - F.col("truth")) <= 0.25 * F.col("truth")).alias("good"))
+
+
+def _walks_sql() -> str:
+    """Histograms of all walks of one or two edges over the tables graph, by plain joins."""
+    edges = [("IN_REGION", "Nation", "Region", "SELECT n_nationkey AS a, n_regionkey AS b FROM nation"), ("IN_NATION", "Customer", "Nation", "SELECT c_custkey AS a, c_nationkey AS b FROM customer"),
+             ("IN_NATION", "Supplier", "Nation", "SELECT s_suppkey AS a, s_nationkey AS b FROM supplier"), ("PLACED", "Customer", "Orders", "SELECT o_custkey AS a, o_orderkey AS b FROM orders"),
+             ("CONTAINS", "Orders", "Part", "SELECT l_orderkey AS a, l_partkey AS b FROM lineitem"), ("SUPPLIED_BY", "Orders", "Supplier", "SELECT l_orderkey AS a, l_suppkey AS b FROM lineitem"),
+             ("DID", "User", "Event", "SELECT user_id AS a, event_id AS b FROM events WHERE user_id IS NOT NULL AND event_id IS NOT NULL")]
+    hops: dict[tuple[str, str, str], list[tuple[str, str]]] = {}  # (from, label, way): where to, and the edges
+    for label, src, dst, sql in edges:
+        hops.setdefault((src, label, "out"), []).append((dst, f"SELECT a AS x, b AS y, '{dst}' AS t FROM ({sql})"))
+        hops.setdefault((dst, label, "in"), []).append((src, f"SELECT b AS x, a AS y, '{src}' AS t FROM ({sql})"))
+    every = {k: " UNION ALL ".join(sql for _, sql in v) for k, v in hops.items()}
+    parts = []
+    for (v, e, _), sql in every.items():
+        for to in dict.fromkeys(t for t, _ in hops[v, e, _]):
+            parts.append((_key([v, e, to]), v, f"SELECT x, count(*) AS k FROM ({sql}) GROUP BY x"))
+            for (v2, e2, way2), sql2 in every.items():
+                if v2 == to:
+                    # the second hop is open at every vertex of its label that the first one reaches
+                    joined = f"SELECT p.x, count(*) AS k FROM ({sql}) p JOIN ({sql2}) q ON p.y = q.x GROUP BY p.x"
+                    parts += [(_key([v, e, to, e2, t2]), v, joined) for t2 in dict.fromkeys(t for t, _ in hops[v2, e2, way2])]
+    one = "SELECT '{}' AS path, '{}' AS label, CASE WHEN k <= 1 THEN 0 ELSE ceil(log2(k)) END::INT AS bucket, count(*) AS vertices, max(k) AS largest FROM ({}) GROUP BY 3"
+    return " UNION ALL ".join(one.format(*p) for p in parts)
+
+
+def _key(labels: list[str]) -> str:
+    low = [x.lower() for x in labels]
+    return "/".join(min(low, low[::-1]))
+
+
+@operator(_walks_sql())
 def degree_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session(spark, sf_dir).gql("CALL create_catalog(2)")
 
@@ -287,8 +349,18 @@ def degree_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- procedures, mutation, files
 text("call_echo", "CALL echo('hello') YIELD output RETURN output AS x", "SELECT 'hello' AS x")
 text("call_show_graph", "CALL show_graph() YIELD graph_name AS g RETURN g", "SELECT 'tables' AS g")
-text("call_show_procedures", "CALL show_procedures() YIELD name, params RETURN count(*) > 20 AS many", "SELECT TRUE AS many")
-text("call_inline", "MATCH (r:Region) CALL { MATCH (r)<-[:IN_REGION]-(n:Nation) RETURN n.n_name AS x } RETURN count(*) AS n", None)
+text("call_show_procedures", "CALL show_procedures() YIELD name, params RETURN name", "SELECT unnest(string_split('echo show_procedures show_graph create_test_graph create_test_graph_data create_test_vector_graph_data import_graph export_graph build_ldbc_manifest mutate_graph load_ldbc load_flatgraph create_catalog load_catalog gcard_query wander_join_query set_gcard_star_config compact_gcard_log gcard_stat_quality random_update random_insert export_edge_csv export_flatgraph_snapshot gcard_snapshot gcard_restore', ' ')) AS name")
+text("call_inline", "MATCH (r:Region) CALL { MATCH (r)<-[:IN_REGION]-(n:Nation) RETURN n.n_name AS x } RETURN r.r_name AS r, x", "SELECT r_name AS r, n_name AS x FROM region JOIN nation ON n_regionkey = r_regionkey")
+text("call_inline_aggregate", "MATCH (r:Region) CALL { MATCH (r)<-[:IN_REGION]-(n:Nation) WHERE n.n_nationkey < 13 RETURN count(*) AS k, sum(n.n_nationkey) AS s } RETURN r.r_name AS r, k, s", "SELECT r_name AS r, count(n_nationkey) AS k, sum(n_nationkey)::BIGINT AS s FROM region LEFT JOIN nation ON n_regionkey = r_regionkey AND n_nationkey < 13 GROUP BY 1")
+text("call_inline_limit", "MATCH (n:Nation) CALL { MATCH (n)<-[:IN_NATION]-(c:Customer) RETURN c.c_custkey AS c ORDER BY c.c_acctbal DESC, c LIMIT 2 } RETURN n.n_name AS n, c", "SELECT n_name AS n, c FROM (SELECT n_name, c_custkey AS c, row_number() OVER (PARTITION BY n_nationkey ORDER BY c_acctbal DESC, c_custkey) AS k FROM nation JOIN customer ON c_nationkey = n_nationkey) WHERE k <= 2")
+text("call_optional", "FOR x IN [5, 24, 30] OPTIONAL CALL { MATCH (n:Nation) WHERE n.n_nationkey >= x RETURN n.n_nationkey AS k } RETURN x, coalesce(k, -1) AS k", "SELECT x, coalesce(n_nationkey, -1) AS k FROM (VALUES (5), (24), (30)) t(x) LEFT JOIN nation ON n_nationkey >= x")
+text("duration_between", "MATCH (o:Orders) WHERE duration_between(TIMESTAMP '1995-06-01T00:00:00', o.o_orderdate) > DURATION 'P300D' RETURN o.o_orderkey AS k", "SELECT o_orderkey AS k FROM orders WHERE o_orderdate - TIMESTAMP '1995-06-01 00:00:00' > INTERVAL 300 DAY")
+text("path_constructor", "MATCH (n:Nation)-[e:IN_REGION]->(r:Region) LET p = PATH[n, e, r] RETURN path_length(p) AS l, nodes(p)[1].id AS r, relationships(p)[0].id AS e", "SELECT 1::BIGINT AS l, n_regionkey::BIGINT AS r, n_nationkey::BIGINT AS e FROM nation")
+text("parameters", "SESSION SET VALUE $low = 5; SESSION SET VALUE $few = 3; MATCH (n:Nation) WHERE n.n_nationkey > $low RETURN n.n_nationkey AS k ORDER BY k LIMIT $few", "SELECT n_nationkey AS k FROM nation WHERE n_nationkey > 5 ORDER BY k LIMIT 3")
+text("drop_vector_index", "CREATE VECTOR INDEX vecs FOR (v:Vec) ON (v.embedding); DROP VECTOR INDEX vecs; CREATE VECTOR INDEX vecs FOR (v:Vec) ON (v.embedding); MATCH (v:Vec) RETURN count(*) AS n", "SELECT count(*) AS n FROM embeddings")
+text("transaction_rollback", "START TRANSACTION; CALL mutate_graph('tables', 'delete_vertices', 'Region', NULL, NULL, 2); ROLLBACK; MATCH (r:Region) RETURN r.r_name AS r", "SELECT r_name AS r FROM region")
+text("snapshot_restore", "CALL gcard_snapshot(); CALL mutate_graph('tables', 'delete_vertices', 'Nation', NULL, NULL, 9); CALL gcard_restore(); MATCH (n:Nation)-[:IN_REGION]->(r:Region) RETURN r.r_name AS r, count(*) AS n", "SELECT r_name AS r, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+text("load_flatgraph", "CALL load_flatgraph('tables'); MATCH (n:Nation)-[:IN_REGION]->(r:Region) RETURN n.n_name AS n, r.r_name AS r", "SELECT n_name AS n, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey")
 
 
 @operator("SELECT count(*) + 20 AS n FROM orders")
@@ -311,19 +383,78 @@ def mutate_add_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.vertices["Region"].df.where("r_name IS NULL").select(F.col(VID).alias("k"))
 
 
-@operator("SELECT n_name AS n, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey")
-def import_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
+@operator("SELECT (SELECT count(*) FROM nation) AS vertices, 0::BIGINT AS edges, 0::BIGINT AS left_nations, 0::BIGINT AS left_edges")
+def random_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A share of one: all vertices of a label go, with the edges at them."""
+    s = session(spark, sf_dir)
+    done = s.gql("CALL random_update(1.0, NULL, 3, 'Nation', NULL)")
+    left = s.gql("MATCH (n:Nation) RETURN count(*) AS left_nations").crossJoin(s.gql("MATCH (c:Customer)-[:IN_NATION]->(n:Nation) RETURN count(*) AS left_edges"))
+    return done.crossJoin(left)
+
+
+@operator("SELECT 2 * count(*) AS n, count(DISTINCT c_custkey) AS c FROM customer")
+def random_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A share of one: every edge of a label comes a second time, under a new id."""
+    s = session(spark, sf_dir)
+    s.use_graph(Graph("small", {k: s.graph.vertices[k] for k in ("Customer", "Nation")}, tuple(e for e in s.graph.edges if e.src_label == "Customer" and e.dst_label == "Nation")))
+    s.gql("CALL random_insert(1.0, NULL, 3, NULL, 'IN_NATION')")
+    return s.gql("MATCH (c:Customer)-[e:IN_NATION]->(n:Nation) RETURN count(DISTINCT e) AS n, count(DISTINCT c) AS c")
+
 
-    from .graph import Graph
-    from .scratch import shared_dir
-    from .sources.manifest import export_graph, import_graph
+_JOINED = "SELECT n_name AS n, r_name AS r, c_custkey AS c, o_orderkey AS o, o_orderdate AS d, l_linenumber AS l, p_partkey AS p, s_acctbal AS b FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey"
 
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@operator(_JOINED)
+def import_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph without vectors, which the manifest has no type for, through CSV files and back."""
     g = tables_graph(spark, sf_dir)
-    small = Graph("small", {k: g.vertices[k] for k in ("Nation", "Region")}, tuple(e for e in g.edges if e.label == "IN_REGION"))
-    folder = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
-    export_graph(spark, small, folder)
-    return Session(spark).use_graph(import_graph(spark, "small", f"{folder}/manifest.json")).gql("MATCH (n:Nation)-[:IN_REGION]->(r:Region) RETURN n.n_name AS n, r.r_name AS r")
+    whole = Graph("whole", {k: v for k, v in g.vertices.items() if k != "Vec"}, g.edges)
+    folder = _folder(spark, "export")
+    export_graph(spark, whole, folder)
+    s = Session(spark).use_graph(import_graph(spark, "whole", f"{folder}/manifest.json"))
+    return s.gql("MATCH (r:Region)<-[:IN_REGION]-(n:Nation)<-[:IN_NATION]-(c:Customer)-[:PLACED]->(o:Orders)-[e:CONTAINS]->(p:Part), (o)-[f:SUPPLIED_BY]->(s:Supplier) WHERE id(e) = id(f) RETURN n.n_name AS n, r.r_name AS r, c.c_custkey AS c, o.o_orderkey AS o, o.o_orderdate AS d, e.l_linenumber AS l, p.p_partkey AS p, s.s_acctbal AS b")
+
+
+@operator("SELECT n_name AS n, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey")
+def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _folder(spark, "snapshot")
+    session(spark, sf_dir).gql(f"CALL export_flatgraph_snapshot('{folder}')")
+    return Session(spark).use_graph(load_snapshot(spark, folder, "tables")).gql("MATCH (n:Nation)-[:IN_REGION]->(r:Region) RETURN n.n_name AS n, r.r_name AS r")
+
+
+@operator("SELECT s_suppkey::VARCHAR AS s, s_nationkey::VARCHAR AS d FROM supplier")
+def export_edge_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _folder(spark, "edges")
+    session(spark, sf_dir).gql(f"CALL export_edge_csv('{folder}')")
+    return spark.read.csv(f"{folder}/Supplier_IN_NATION_Nation.csv", header=True).toDF("s", "d")
+
+
+def _csv_folder(spark: SparkSession, sf_dir: str) -> str:
+    """Nations and regions as separated files by label, the way such data sets come."""
+    folder = _folder(spark, "csv")
+    nation = table(spark, sf_dir, "nation")
+    for name, df in (("Region", table(spark, sf_dir, "region")), ("Nation", nation.select("n_nationkey", "n_name", (F.col("n_nationkey") / 2).alias("half"))), ("Nation_INREGION_Region", nation.select("n_nationkey", "n_regionkey"))):
+        df.write.csv(f"{folder}/{name}.csv", header=True, sep="|")
+    return folder
+
+
+@operator("SELECT 'Nation' AS label, 'n_name' AS name, 'String' AS kind UNION ALL SELECT 'Nation', 'half', 'Float64' UNION ALL SELECT 'Region', 'r_name', 'String'")
+def build_ldbc_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _csv_folder(spark, sf_dir)
+    session(spark, sf_dir).gql(f"CALL build_ldbc_manifest('{folder}', '{folder}/manifest.json')")
+    made = json.loads(read_text(spark, f"{folder}/manifest.json"))
+    return spark.createDataFrame([(v["label"], p["name"], p["logical_type"]) for v in made["vertices"] for p in v["properties"]], "label string, name string, kind string")
+
+
+@operator("SELECT n_nationkey::BIGINT AS n, n_regionkey::BIGINT AS r, n_name AS x FROM nation")
+def load_ldbc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = Session(spark)
+    s.gql(f"CALL load_ldbc('{_csv_folder(spark, sf_dir)}', 'csv', 1)")
+    return s.gql("MATCH (n:Nation)-[:INREGION]->(r:Region) RETURN id(n) AS n, id(r) AS r, n.n_name AS x")
 
 
 @operator("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +10,13 @@ from .sources.files import delete
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names.  Where it is unset, a session on one machine takes a folder in its warehouse;
+    a cluster has to name one, as no folder of one machine would do."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = "file://" + os.path.join(tempfile.gettempdir(), "graphloom-shared")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 

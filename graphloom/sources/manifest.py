@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..graph import DST, EID, SRC, VID, EdgeSet, Graph, GraphFault, VertexSet
+from ..scratch import written
 from .files import listed, read_text, write_text
 
-LOGICAL = {"Int8": T.ByteType(), "Int16": T.ShortType(), "Int32": T.IntegerType(), "Int64": T.LongType(), "UInt8": T.ShortType(), "UInt16": T.IntegerType(), "UInt32": T.LongType(), "UInt64": T.LongType(), "Float32": T.FloatType(), "Float64": T.DoubleType(), "Boolean": T.BooleanType(), "String": T.StringType()}
-_NAMES = {"tinyint": "Int8", "smallint": "Int16", "int": "Int32", "bigint": "Int64", "float": "Float32", "double": "Float64", "boolean": "Boolean", "string": "String"}
+LOGICAL = {"Int8": T.ByteType(), "Int16": T.ShortType(), "Int32": T.IntegerType(), "Int64": T.LongType(), "UInt8": T.ShortType(), "UInt16": T.IntegerType(), "UInt32": T.LongType(), "UInt64": T.LongType(), "Float32": T.FloatType(), "Float64": T.DoubleType(), "Boolean": T.BooleanType(), "String": T.StringType(), "Date": T.DateType(), "Timestamp": T.TimestampType(), "LocalTimestamp": T.TimestampNTZType(), "Vector": T.ArrayType(T.FloatType())}
+_NAMES = {"tinyint": "Int8", "smallint": "Int16", "int": "Int32", "bigint": "Int64", "float": "Float32", "double": "Float64", "boolean": "Boolean", "string": "String", "date": "Date", "timestamp": "Timestamp", "timestamp_ntz": "LocalTimestamp", "array<float>": "Vector"}
 
 
 def _schema(ids: list[str], properties: list[dict]) -> T.StructType:
@@ -35,6 +36,8 @@ def _read(spark: SparkSession, base: str, entry: dict, ids: list[str], header: b
     schema, path = _schema(ids, properties), f"{base}/{file['path']}"
     if file.get("format", "csv").lower() == "parquet":
         return spark.read.parquet(path).select(*[F.col(f.name).cast(f.dataType) for f in schema])
+    if any(p["logical_type"] == "Vector" for p in properties):
+        raise GraphFault("vectors can't be imported from CSV, only from Parquet")
     df = spark.read.csv(path, schema=schema, header=header, mode="FAILFAST", enforceSchema=True, nullValue="", emptyValue="")
     for p in properties:
         if not p.get("nullable", True):
@@ -79,6 +82,8 @@ def export_graph(spark: SparkSession, graph: Graph, folder: str, manifest: str =
     for group, item, ids, name in items:
         file = f"{name}.{kind}"
         df = item.df.select(*ids, *[F.col(f"`{c}`") for c in item.properties])
+        if kind == "csv" and any(t.startswith("array") for _, t in df.dtypes):
+            raise GraphFault(f"vectors of {name} can't be exported as CSV, only as Parquet")
         (df.write.mode("overwrite").csv(f"{folder}/{file}", header=True, emptyValue='""') if kind == "csv" else df.write.mode("overwrite").parquet(f"{folder}/{file}"))
         entry = {"label": item.label, "file": {"path": file, "format": kind}, "properties": _properties(df, ids, item.required)}
         if group == "edges":
@@ -87,21 +92,20 @@ def export_graph(spark: SparkSession, graph: Graph, folder: str, manifest: str =
     write_text(spark, f"{folder}/{manifest}", json.dumps(out, indent=2))
 
 
-def inferred_type(sample: str | None) -> str:
-    """Int64, Float64, Boolean or String by one value."""
-    for name, test in (("Int64", int), ("Float64", float)):
-        try:
-            test(sample)
-        except (TypeError, ValueError):
-            continue
-        return name
-    return "Boolean" if sample is not None and sample.lower() in ("true", "false") else "String"
+def inferred_types(df: DataFrame, columns: list[str]) -> list[str]:
+    """Int64, Float64, Boolean or String for each text column: the first that all of its values are (String where it has none)."""
+    if not columns:
+        return []
+    c = {n: F.nullif(F.col(f"`{n}`"), F.lit("")) for n in columns}
+    tests = {"Int64": lambda x: x.try_cast("long").isNotNull() & ~x.rlike("[.eE]"), "Float64": lambda x: x.try_cast("double").isNotNull(), "Boolean": lambda x: F.lower(x).isin("true", "false")}
+    seen = df.agg(*[F.every(t(x) | x.isNull()).alias(f"{k}{i}") for i, x in enumerate(c.values()) for k, t in tests.items()], *[F.count(x).alias(f"n{i}") for i, x in enumerate(c.values())]).first()
+    return [next((k for k in tests if seen[f"n{i}"] and seen[f"{k}{i}"]), "String") for i in range(len(columns))]
 
 
 def build_manifest(spark: SparkSession, folder: str, target: str, sep: str = "|") -> dict:
     """A manifest for a folder of CSV files with headers: label.csv for vertices, src_edge_dst.csv for edges.
 
-    Types come from the first row's values; the first column (two for edges) holds the ids.
+    A property's type is the narrowest one that all of its values have; the first column (two for edges) holds the ids.
     """
     out: dict[str, list] = {"vertices": [], "edges": []}
     for name, _ in listed(spark, folder):
@@ -109,10 +113,9 @@ def build_manifest(spark: SparkSession, folder: str, target: str, sep: str = "|"
             continue
         stem = name[:-4].removesuffix("_0_0")
         head = spark.read.csv(f"{folder}/{name}", header=True, sep=sep)
-        first = head.first()
         parts = stem.split("_")
         skip = 2 if len(parts) == 3 else 1
-        properties = [{"name": c, "logical_type": inferred_type(first[i] if first else None), "nullable": True} for i, c in enumerate(head.columns) if i >= skip]
+        properties = [{"name": c, "logical_type": t, "nullable": True} for c, t in zip(head.columns[skip:], inferred_types(head, head.columns[skip:]), strict=True)]
         entry = {"label": parts[1] if skip == 2 else stem, "file": {"path": name, "format": "csv"}, "properties": properties}
         if skip == 2:
             entry |= {"src_label": parts[0], "dst_label": parts[2]}
@@ -122,7 +125,8 @@ def build_manifest(spark: SparkSession, folder: str, target: str, sep: str = "|"
 
 
 def load_csv_topology(spark: SparkSession, folder: str, name: str, sep: str = "|") -> Graph:
-    """A graph of ids and properties straight from such a folder; edge ids are made from ends and a running number."""
+    """A graph of ids and properties straight from such a folder.  Edge ids number the rows, so equal rows are different edges;
+    numbered edges are written once, as the numbers depend on how the file was split."""
     vertices, edges = {}, []
     for file, _ in listed(spark, folder):
         if not file.endswith(".csv"):
@@ -130,8 +134,8 @@ def load_csv_topology(spark: SparkSession, folder: str, name: str, sep: str = "|
         parts = file[:-4].removesuffix("_0_0").split("_")
         df = spark.read.csv(f"{folder}/{file}", header=True, sep=sep, inferSchema=False)
         if len(parts) == 3:
-            a, b = df.columns[:2]
-            df = df.select(F.xxhash64(*df.columns).alias(EID), F.col(a).cast("long").alias(SRC), F.col(df.columns[1] if a != b else b).cast("long").alias(DST), *[F.col(f"`{c}`") for c in df.columns[2:]])
+            plain = df.toDF("_s", "_d", *df.columns[2:])  # both ends may have the same name
+            df = written(plain.select(F.monotonically_increasing_id().alias(EID), F.col("_s").cast("long").alias(SRC), F.col("_d").cast("long").alias(DST), *[F.col(f"`{c}`") for c in df.columns[2:]]), "edges")
             edges.append(EdgeSet(parts[1], parts[0], parts[2], df))
         else:
             label = "_".join(parts)

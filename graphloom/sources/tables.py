@@ -33,7 +33,8 @@ def tables_graph(spark: SparkSession, sf_dir: str, name: str = "tables") -> Grap
         known = F.col(SRC).isNotNull() & F.col(DST).isNotNull()
         return EdgeSet(label, src, dst, lambda: t(n).select(*ends, *props).where(known), host=host, hosted=(lambda: t(n).select(*ends, "*").where(known)) if host else None)
 
-    line = "l_orderkey * 8 + l_linenumber"
+    # lines have no key of their own; 62 bits, so that ids can go on after the largest
+    line = "shiftrightunsigned(xxhash64(l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_shipdate), 2)"
     lines = ("l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
     edges = (
         edge("IN_REGION", "Nation", "Region", "nation", "n_nationkey", "n_nationkey", "n_regionkey", host="src"),
