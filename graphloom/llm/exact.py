@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CREATED, documents, materialise, partitions
+from .common import CREATED, documents, materialise, numbered_columns, partitions
 
 #: A digest is hot with this many rows, if they are one in HOT_SHARE of all; so at most HOT_SHARE digests are hot.
 HOT_ROWS, HOT_SHARE = 1000, 1000
@@ -26,7 +26,8 @@ def digests(docs: DataFrame) -> DataFrame:
 class DigestIndex:
     """A digest index kept under a name in the session's warehouse, or at a path of its own.
 
-    keep_id is the largest doc_id of a text within the batch that brought it first, group_size its rows there.  Null
+    Batches are admitted one after another, and what the index has stays: keep_id is the largest doc_id of a text within the
+    batch that brought it first, group_size its rows there; later copies are told by the index and add nothing to it.  Null
     doc_ids are passed over unless a text has no other, then keep_id is null.
     """
 
@@ -100,17 +101,17 @@ def exact_dedup(docs: DataFrame, index: str | None = None) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents without exact copies, with all their columns.
+    """The documents without exact copies, with all their columns, whatever their names.
 
     Of equal texts the row with the largest doc_id stays; rows that repeat both doc_id and text count as one row, and
-    the first by a hash of the whole row stays.
+    any one of them stays.  Null texts are empty ones; a text that only rows without a doc_id have keeps one of them.
     """
     spark = docs.sparkSession
-    cols = docs.columns
     store = DigestIndex(spark, own_name())
     store.admit(docs)
-    keyed = docs.withColumn("_digest", F.unhex(F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256))).withColumn("_id", docs["doc_id"].cast("long"))
+    rows, at = numbered_columns(docs)
+    keyed = rows.withColumn("_digest", F.unhex(F.sha2(F.coalesce(F.col(at["text"]).cast("string"), F.lit("")).cast("binary"), 256))).withColumn("_id", F.col(at["doc_id"]).cast("long"))
     kept = store.plain().select(F.col("digest").alias("_kept_digest"), F.col("keep_id").alias("_kept_id"))
     # both sides are dealt by digest and doc_id together, so no text is hot, and one exchange serves join and repeats
-    rows = keyed.join(kept.hint("merge"), (keyed["_digest"] == kept["_kept_digest"]) & keyed["_id"].eqNullSafe(kept["_kept_id"]))
-    return rows.dropDuplicates(["_digest", "_id"]).select(*cols)
+    found = keyed.join(kept.hint("merge"), (F.col("_digest") == F.col("_kept_digest")) & F.col("_id").eqNullSafe(F.col("_kept_id")))
+    return found.dropDuplicates(["_digest", "_id"]).select(*rows.columns).toDF(*docs.columns)

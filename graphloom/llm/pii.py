@@ -10,12 +10,13 @@ Spans that the classifier accepts are added; base spans always stay.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, numbered_columns
 
 # The base patterns (possessive forms of the stated ones, which match the same text without backtracking).
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -37,28 +38,49 @@ ISSUERS = r"^(?:4|5[1-5]|3[47]|6011|65|2[2-7])"
 WORDS = r"(?i)\b(?:e-?mails?|mail|courriel|correo|phone|tel|telefon|t[ée]l[ée]phone|tel[ée]fono|call|card|carte|karte|tarjeta|ip|host|server|ssn|token|key|secret|password|passwd|clave|contact|kontakt)\b"
 NOT_WORDS = r"(?i)\b(?:version|figure|isbn|issn|page|chapter|commit|sha256|md5|checksum)\b"
 CONTEXT = 32  # characters before a span
-BLOCK = 256
+BLOCK = 128
+#: Characters of a piece of a long text, and pieces of a larger one: cutting a span reads one piece, not the text up to it.
+PIECE, PIECES = 1 << 10, 1 << 6
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: a column that a lambda uses would be computed anew for each of its elements."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _before_each(values: Column, fold: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """For each element of an array the fold of all before it.  Done in three levels of blocks, so that the work per element is
+    some BLOCK steps and one step for BLOCK * BLOCK elements, whatever the length."""
+    total = lambda a: F.aggregate(a, zero, fold)
+    blocks = lambda a: F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / BLOCK).cast("int")), lambda b: total(F.slice(a, b * BLOCK + 1, BLOCK)))
+
+    def at(v: Column, inner: Column, outer: Column, i: Column) -> Column:
+        j, k = F.floor(i / BLOCK).cast("int"), F.floor(i / (BLOCK * BLOCK)).cast("int")
+        return fold(fold(total(F.slice(outer, 1, k)), total(F.slice(inner, k * BLOCK + 1, j - k * BLOCK))), total(F.slice(v, j * BLOCK + 1, i % BLOCK)))
+
+    return _let(values, lambda v: _let(blocks(v), lambda inner: _let(blocks(inner), lambda outer: F.transform(v, lambda _, i: at(v, inner, outer, i)))))
 
 
 def _prefix_sums(lengths: Column) -> Column:
-    """Exclusive prefix sums of an array, in blocks, so that no long slice is summed once for each element."""
-    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int")), lambda b: total(F.slice(lengths, b * BLOCK + 1, BLOCK)))
-    return F.transform(lengths, lambda _, i: total(F.slice(blocks, 1, F.floor(i / BLOCK).cast("int"))) + total(F.slice(lengths, F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK)))
+    """Exclusive prefix sums of an array."""
+    return _before_each(lengths, lambda a, b: a + b, F.lit(0).cast("long"))
 
 
 def _with_matches(df: DataFrame, text: str, out: str, pattern: str, guard: Column) -> DataFrame:
-    """Adds array<struct<s, e, m>>: the leftmost non-overlapping matches with code-point bounds.
+    """Adds array<struct<s, e, m, b>>: the leftmost non-overlapping matches with code-point bounds, and the end of what stands
+    before each (up to CONTEXT characters, back to the match before the previous one).
 
     The text between matches and the matches themselves alternate, so bounds are prefix sums of their lengths.
     """
-    empty = F.expr("cast(array() as array<struct<s:bigint,e:bigint,m:string>>)")
+    empty = F.expr("cast(array() as array<struct<s:bigint,e:bigint,m:string,b:string>>)")
     strings = F.expr("cast(array() as array<string>)")
     df = df.withColumn("_m", F.when(guard, F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).otherwise(strings))
     df = df.withColumn("_p", F.when(F.size("_m") > 0, F.split(F.col(text), pattern, -1)).otherwise(strings))
     df = df.withColumn("_n", F.transform("_m", lambda m, i: (F.length(m) + F.length(F.get(F.col("_p"), i))).cast("long")))
     df = df.withColumn("_b", F.when(F.size("_m") > 0, _prefix_sums(F.col("_n"))))
-    value = F.transform("_m", lambda m, i: F.struct((F.get(F.col("_b"), i) + F.length(F.get(F.col("_p"), i))).alias("s"), (F.get(F.col("_b"), i) + F.get(F.col("_n"), i)).alias("e"), m.alias("m")))
+    tail = lambda c: F.right(F.coalesce(c, F.lit("")), F.lit(CONTEXT))
+    before = lambda i: tail(F.concat(tail(F.get(F.col("_p"), i - 1)), tail(F.get(F.col("_m"), i - 1)), tail(F.get(F.col("_p"), i))))
+    value = F.transform("_m", lambda m, i: F.struct((F.get(F.col("_b"), i) + F.length(F.get(F.col("_p"), i))).alias("s"), (F.get(F.col("_b"), i) + F.get(F.col("_n"), i)).alias("e"), m.alias("m"), before(i).alias("b")))
     return df.withColumn(out, F.when(F.size("_m") > 0, value).otherwise(empty)).drop("_m", "_p", "_n", "_b")
 
 
@@ -88,11 +110,11 @@ def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("_phone", F.filter("_phone", lambda x: n(x).between(8, 15)))
 
 
-def _voted(kind: str | None, text: Column, x: Column) -> Column:
+def _voted(kind: str | None, x: Column) -> Column:
     """A candidate with its kind, three votes, and a length bucket."""
     m, s = x["m"], x["s"]
     name = F.lit(kind) if kind else F.when(m.rlike(rf"^{NAT_ID}$"), "natid").when(m.rlike(rf"^{KEY}$"), "key").otherwise("localphone")
-    before = F.lower(text.substr(F.greatest(s - CONTEXT, F.lit(0)) + 1, F.least(s, F.lit(CONTEXT))))
+    before = F.lower(x["b"])
     vote = lambda c: c.cast("int")
     strict = {"email": vote(F.length(m) <= 254), "ip": vote(~m.rlike(r"(?:^|\.)0[0-9]")), "card": vote(m.rlike(r"^(?:[0-9]{16,19}|(?:[0-9]{4}[ -]){3}[0-9]{4})$")), "phone": vote(m.rlike(r"^\+[0-9]{1,3}[ .-]?\(?[0-9]"))}
     listed = {"email": vote(m.rlike(DOMAINS)), "ip": vote(~m.rlike(r"^(?:0|10|127|255|192\.168)\.")), "card": vote(m.rlike(ISSUERS)), "phone": vote(m.rlike(COUNTRY))}
@@ -109,8 +131,8 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     df = _with_matches(df, text, "_wide", WIDER, t.rlike(r"[0-9]{3}\)?[ .-][0-9]{2}|[0-9a-f]{32}"))
     both = F.concat("_email", "_ip", "_card", "_phone")
     df = df.withColumn("_wide", F.filter("_wide", lambda w: ~F.exists(both, lambda b: (b["s"] < w["e"]) & (w["s"] < b["e"]))))
-    df = df.withColumn("_cand", F.concat(*[F.transform(f"_{k}", partial(_voted, k, t)) for k in BASE]))
-    return df.withColumn("_wide", F.transform("_wide", partial(_voted, None, t)))
+    df = df.withColumn("_cand", F.concat(*[F.transform(f"_{k}", partial(_voted, k)) for k in BASE]))
+    return df.withColumn("_wide", F.transform("_wide", partial(_voted, None)))
 
 
 Pattern = tuple[str, int, int, int, int]
@@ -210,24 +232,38 @@ def personal_data(docs: DataFrame) -> DataFrame:
     return df.select("doc_id", *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in BASE], F.sha2(_joined("_base").cast("binary"), 256).alias("base_sha256"), _joined("_spans").alias("spans"))
 
 
+def _pieces(text: Column) -> Column:
+    """A text in pieces of PIECE characters, cut in two steps, as finding a character reads the text up to it."""
+    cut = lambda t, size: F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.length(t) - 1, F.lit(0)) / size).cast("int")), lambda i: t.substr(i * size + 1, F.lit(size)))
+    return F.flatten(F.transform(cut(text, PIECE * PIECES), lambda big: cut(big, PIECE)))
+
+
+def _cut(pieces: Column, start: Column, end: Column) -> Column:
+    """The characters from start to end (exclusive) of a text in pieces."""
+    first = F.floor(start / PIECE).cast("int")
+    near = F.array_join(F.slice(pieces, first + 1, F.greatest(F.floor((end - 1) / PIECE).cast("int") - first + 1, F.lit(0))), "")
+    return near.substr((start - first * PIECE + 1).cast("int"), (end - start).cast("int"))
+
+
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The same rows and columns with each span's text replaced by its kind in brackets; overlapping spans become one.
+    """The same rows and columns, whatever their names, with each span's text replaced by its kind in brackets; overlapping spans
+    become one, named by the first.
 
-    n_chars, where there is such a column, is brought up to date.  Null texts stay null.
+    n_chars, where there is such a column, is brought up to date.  Null texts stay null; an empty table stays empty.
     """
-    cols = docs.columns
-    df = find(docs.withColumn("_t", F.coalesce(F.col(text), F.lit(""))), "_t")
-    span = "array<struct<s:bigint,e:bigint,kind:string>>"
-
-    def join(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        wider = F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"), last["kind"].alias("kind"))
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["e"] > x["s"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(wider))).otherwise(F.concat(acc, F.array(x)))
-
-    merged = F.aggregate(F.array_sort("_spans"), F.expr(f"cast(array() as {span})"), join)
-    df = df.withColumn("_merged", F.when(F.size("_spans") > 0, merged))
-    before = lambda i: F.coalesce(F.get(F.col("_merged"), i - 1)["e"], F.lit(0).cast("long"))
-    parts = F.transform("_merged", lambda x, i: F.concat(F.col("_t").substr(before(i) + 1, x["s"] - before(i)), F.lit("["), F.upper(x["kind"]), F.lit("]")))
-    rest = F.col("_t").substr(F.element_at("_merged", -1)["e"] + 1, F.length("_t"))
-    df = df.withColumn("_new", F.when(F.col("_merged").isNotNull(), F.concat(F.array_join(parts, ""), rest)).otherwise(F.col(text)))
-    return df.select(*[F.col("_new").alias(c) if c == text else F.length("_new").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in cols])
+    rows, at = numbered_columns(docs)
+    own = at[text]
+    df = find(rows.withColumn("_t", F.coalesce(F.col(own), F.lit(""))), "_t")
+    df = df.withColumn("_sorted", F.when(F.size("_spans") > 0, F.array_sort("_spans")))
+    # a span begins a new run where no span before it reaches over its start; the run ends where the furthest of its spans does
+    df = df.withColumn("_reach", _before_each(F.transform("_sorted", lambda x: x["e"]), lambda a, b: F.greatest(a, b), F.lit(0).cast("long")))
+    df = df.withColumn("_first", F.filter(F.transform("_sorted", lambda x, i: F.when(x["s"] >= F.get(F.col("_reach"), i), i)), lambda i: i.isNotNull()))
+    ends = lambda k: F.coalesce(F.get(F.col("_reach"), F.get(F.col("_first"), k + 1)), F.array_max(F.transform("_sorted", lambda x: x["e"])))
+    df = df.withColumn("_runs", F.transform("_first", lambda i, k: F.struct(F.get(F.col("_sorted"), i)["s"].alias("s"), ends(k).alias("e"), F.get(F.col("_sorted"), i)["kind"].alias("kind"))))
+    df = df.withColumn("_pieces", F.when(F.col("_runs").isNotNull(), _pieces(F.col("_t"))))
+    before = lambda k: F.coalesce(F.get(F.col("_runs"), k - 1)["e"], F.lit(0).cast("long"))
+    parts = F.transform("_runs", lambda x, k: F.concat(_cut(F.col("_pieces"), before(k), x["s"]), F.lit("["), F.upper(x["kind"]), F.lit("]")))
+    rest = _cut(F.col("_pieces"), F.element_at("_runs", -1)["e"], F.length("_t").cast("long"))
+    df = df.withColumn("_new", F.when(F.col("_runs").isNotNull(), F.concat(F.array_join(parts, ""), rest)).otherwise(F.col(own)))
+    chars = at.get("n_chars")
+    return df.select(*[F.col("_new").alias(c) if c == own else F.length("_new").cast(rows.schema[c].dataType).alias(c) if c == chars else F.col(c) for c in rows.columns]).toDF(*docs.columns)

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATOR, Words, batches_of, documents, materialise, mix, pick, utf8
+from .common import SEPARATOR, Words, batches_of, documents, materialise, mix, numbered_columns, pick, utf8
 
 FIT_ROWS = 4000
 BUCKETS, DIM, NONZERO, AROUND, HIDDEN = 1 << 13, 48, 4, 2, 24
@@ -262,21 +262,24 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier doesn't reject, with all their columns."""
+    """The documents that the classifier doesn't reject, with all their columns, whatever their names.  An empty table stays empty;
+    null texts are scored as empty ones."""
     model = fit(docs, labels)
     if isinstance(model, float):
         return docs if model >= THRESHOLD else docs.limit(0)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows, at = numbered_columns(docs)
+    text = at["text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for part in batches_of(batch, "text", 1 << 20):
-                good = m.score(m.pool([t or b"" for t in utf8(part.column("text"))])) >= THRESHOLD
+            for part in batches_of(batch, text, 1 << 20):
+                good = m.score(m.pool([t or b"" for t in utf8(part.column(text))])) >= THRESHOLD
                 if good.any():
                     yield part.filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
 
 
 __all__ = ["Model", "classify", "fit", "held_out", "keep_good", "score", "tokens"]
