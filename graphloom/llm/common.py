@@ -10,9 +10,8 @@ Conventions that hold for every operator here unless its docstring says otherwis
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,14 +28,20 @@ NULL_ID = -(1 << 63)
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, by exact name; the first one where a name occurs twice."""
-    cols = df.columns
-    where = []
-    for name in names:
-        if name not in cols:
-            raise ValueError(f"no column {name!r} among {cols}")
-        where.append(cols.index(name))
-    plain = df.toDF(*[f"_c{i}" for i in range(len(cols))])
-    return plain.select(*[F.col(f"_c{i}").alias(n) for i, n in zip(where, names, strict=True)])
+    plain, at = numbered_columns(df)
+    if missing := [n for n in names if n not in at]:
+        raise ValueError(f"no column {missing[0]!r} among {df.columns}")
+    return plain.select(*[F.col(at[n]).alias(n) for n in names])
+
+
+def numbered_columns(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The same rows with columns _c0, _c1, ..., and the number that stands for each name (the first, where it occurs twice): an
+    operator's own columns then can't clash with a table's, whatever these are called."""
+    names = df.columns
+    at: dict[str, str] = {}
+    for i, name in enumerate(names):
+        at.setdefault(name, f"_c{i}")
+    return df.toDF(*[f"_c{i}" for i in range(len(names))]), at
 
 
 def documents(docs: DataFrame) -> DataFrame:
@@ -46,10 +51,13 @@ def documents(docs: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Where it is unset, a session on one machine takes one in
+    its warehouse; a cluster has to name one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = "file://" + os.path.join(tempfile.gettempdir(), "graphloom-scratch")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
@@ -71,12 +79,33 @@ def clear(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes a frame as Parquet into the shared folder and reads it again: recovery starts from there."""
+    """Writes a frame as Parquet into the shared folder and reads it again: recovery starts from there.  Columns are written under
+    numbers, so that any names will do."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    plain, _ = numbered_columns(df)
+    plain.write.parquet(path)
     CREATED.append(("path", path))
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(plain.schema).parquet(path).toDF(*df.columns)
+    WHERE[id(back)] = path
+    weakref.finalize(back, WHERE.pop, id(back), None)
+    return back
+
+
+#: Where the frames that materialise gave back are kept.
+WHERE: dict[int, str] = {}
+
+
+def forget(spark: SparkSession, since: int, *kept: DataFrame) -> None:
+    """Deletes what was written since CREATED had `since` entries, but for the tables of `kept` (as materialise gave them)."""
+    stay = {WHERE[id(f)] for f in kept}
+    gone = [c for c in CREATED[since:] if c[1] not in stay]
+    CREATED[since:] = [c for c in CREATED[since:] if c[1] in stay]
+    for kind, name in gone:
+        if kind == "table":
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        else:
+            delete(spark, name)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -146,9 +146,35 @@ def test_near_duplicates(spark, corpus, size, percent):
         assert got == near_brute(rows, size, percent)
 
 
+def test_repeated_and_missing_ids(spark):
+    """Rows that repeat a doc_id are one node, whichever of their texts is linked; rows without one stand for themselves."""
+    r = random.Random(3)
+    a, b, c = (" ".join(f"w{r.randint(0, 9999)}" for _ in range(120)) for _ in range(3))
+    rows = [(0, a), (0, b), (1, a + " more"), (2, b + " more"), (5, c), (None, c + " more"), (None, "quite alone here"), (7, "quite alone here"), (8, ""), (8, "x y z")]
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(table(spark, rows), 3, 85).collect()), key=str)
+    assert got == sorted([(0, 0, True), (0, 0, True), (1, 0, False), (2, 0, False), (5, None, False), (None, None, True), (None, None, True), (7, None, False), (8, 8, True), (8, 8, True)], key=str)
+    kept = minhash.drop_near_duplicates(table(spark, rows), 3, 85)
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [0, 0, 8, 8, None, None]
+
+
+def test_sketch_bound():
+    """The stated share of pairs that the sketches drop, against drawn sketches."""
+    assert minhash.furthest(100) == 0 < minhash.furthest(85) < minhash.furthest(80)
+    rng = np.random.default_rng(1)
+    for percent in (80, 85):
+        cut = minhash.furthest(percent, 0.01)
+        d = rng.binomial(minhash.SAMPLES, 1 - percent / 100, 20000)
+        beyond = 0
+        for n in d.tolist():
+            flips = np.bincount(rng.integers(0, minhash.SKETCH_BITS, 2 * n), minlength=minhash.SKETCH_BITS)
+            beyond += (flips & 1).sum() > cut
+        assert beyond / len(d) <= 0.013
+
+
 def test_blocks_of_one(spark, monkeypatch):
     """Families and buckets far over a block's size give the same classes."""
     monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "FAMILY", 16)
     rows = near_rows(9)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(table(spark, rows), 3, 85).collect()} == near_brute(rows, 3, 85)
 
@@ -492,6 +518,48 @@ def test_redaction(spark):
     assert got[2]["text"] is None and got[3]["text"] == "clean"
 
 
+def test_redaction_of_overlaps_and_long_texts(spark):
+    """As plain string work has it, also where spans overlap and in a text of many spans and long gaps."""
+    long = " ".join(f"x{i}@mail.example.org +1 (555) 555-{i % 10000:04d} " + "ü" * (i % 3000) for i in range(2500))
+    texts = ["", "a@b.de", "10.0.0.1@host.com +4930123456 1.2.3.4", "+49 4111 1111 1111 1111 x", long, "é" * 5000 + " q@w.net"]
+    rows = list(enumerate(texts))
+    found = {r["doc_id"]: r["spans"] for r in pii.personal_data(spark.createDataFrame(rows, SCHEMA)).collect()}
+    got = {r["doc_id"]: r["text"] for r in pii.redact(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i, t in rows:
+        spans = sorted((int(a), int(b), k) for k, a, b in (x.split(":") for x in found[i].split(",") if x))
+        runs = []
+        for a, b, k in spans:
+            if runs and a < runs[-1][1]:
+                runs[-1][1] = max(runs[-1][1], b)
+            else:
+                runs.append([a, b, k])
+        out, at = [], 0
+        for a, b, k in runs:
+            out += [t[at:a], f"[{k.upper()}]"]
+            at = b
+        assert got[i] == "".join(out) + t[at:]
+
+
+def test_label_model_recovers_planted_reliabilities():
+    """Votes drawn from labelers of known accuracy: the model's posteriors order them rightly, and the classifier that is trained on
+    them is right more often than a majority of the votes."""
+    r = random.Random(5)
+    yes, no = (0.95, 0.62, 0.6), (0.95, 0.62, 0.6)
+    drawn, counts = [], {}
+    for _ in range(20000):
+        true = r.random() < 0.5
+        votes = tuple(int(r.random() < yes[j]) if true else int(r.random() >= no[j]) for j in range(3))
+        drawn.append((true, votes))
+        counts["key", *votes, 4] = counts.get(("key", *votes, 4), 0.0) + 1.0
+    post = pii.label_model({p[:4]: c for p, c in counts.items()})
+    assert post["key", 1, 0, 0] > 0.6 > 0.4 > post["key", 0, 1, 1]  # the one good labeler outweighs two poor ones
+    weights = pii.train(counts)
+    score = lambda v: weights["bias"] + sum(weights[f] for f in pii._features(("key", *v, 4)))
+    classified = sum((score(v) >= 0) == t for t, v in drawn) / len(drawn)
+    majority = sum((sum(v) >= 2) == t for t, v in drawn) / len(drawn)
+    assert classified > 0.93 and classified > majority + 0.1
+
+
 def test_label_model_prefers_agreement():
     counts = {("key", 1, 1, 1): 80.0, ("key", 0, 0, 0): 60.0, ("key", 1, 0, -1): 10.0, ("key", 0, 1, -1): 10.0}
     post = pii.label_model(counts)
@@ -523,6 +591,49 @@ def test_longest_rule_then_host_then_block(spark):
 
 
 # -- pipeline
+STAGES = ["quality", "exact", "near", "personal"]
+
+
+def clashing(spark, rows):
+    """Documents beside columns whose names the operators use themselves, or that differ in case only."""
+    names = ["doc_id", "TEXT", "text", "_digest", "_id", "_m", "_merged", "_t", "DOC_ID", "_kept_id", "_c0", "lang", "source", "n_chars"]
+    kinds = ["long", "string", "string", "int", "string", "string", "int", "int", "int", "int", "string", "string", "string", "long"]
+    schema = ", ".join(f"x{i} {k}" for i, k in enumerate(kinds))
+    return spark.createDataFrame([(d, "other", t, 1, "i", None, 2, 3, 4, 5, "c", "en", "web", 7) for d, t in rows], schema).toDF(*names)
+
+
+@pytest.mark.parametrize("name", STAGES)
+def test_stages_take_any_columns(spark, data, name):
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)[name]
+    good = spark.read.parquet(f"{data}/documents.parquet").orderBy("doc_id").limit(30)
+    rows = [(r["doc_id"], r["text"]) for r in good.collect()] + [(900, None), (901, ""), (902, "mail me at a.b@c.de"), (902, "mail me at a.b@c.de"), (None, "nameless text"), (None, None)]
+    docs = clashing(spark, rows)
+    out = stage(spark, docs, data)
+    assert out.columns == docs.columns
+    kept = [r for r in out.collect()]
+    plain = stage(spark, spark.createDataFrame([(d, t, "en", "web", 7) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long"), data).collect()
+    key = lambda x: sorted(((r[0], r[2] if len(r) > 5 else r[1]) for r in x), key=str)
+    assert key(kept) == key(plain)
+    assert all(r[1] == "other" and tuple(r[3:13]) == (1, "i", None, 2, 3, 4, 5, "c", "en", "web") for r in kept)
+    if name == "personal":
+        assert [r[2] for r in kept if r[0] == 902] == ["mail me at [EMAIL]"] * 2 and all(r[13] == len(r[2]) for r in kept if r[2] is not None)
+    if name == "exact":
+        assert len([r for r in kept if r[0] == 902]) == 1
+    assert stage(spark, docs.limit(0), data).collect() == []
+
+
+def test_packing_stage_takes_any_columns(spark, data):
+    import corpus_pipeline
+
+    rows = [(1, "some words"), (1, "some words"), (None, None), (2, "")]
+    stage = dict(corpus_pipeline.STAGES)["packing"]
+    got = stage(spark, clashing(spark, rows), data).collect()
+    assert sorted((r["doc_id"] for r in got), key=str) == [1, 1, 2, None]
+    assert stage(spark, clashing(spark, []), data).collect() == []
+
+
 def test_pipeline(spark, data):
     import corpus_pipeline
 
