@@ -3,6 +3,9 @@
 A text is split by the pretokenizer pattern; only pieces that the task hasn't met yet are merged.  Those are bucketed by
 length into padded numpy matrices of ids.  Each round finds, for every row at once, its leftmost pair of minimum rank by
 a hashed pair table, merges it, compacts the row by one place and retires rows without a mergeable pair.
+
+A row of n bytes takes up to n rounds of n places, so rows past LONGEST bytes go the same way with a queue of their pairs by
+rank and place instead: n log n steps, the same merges in the same order.
 """
 
 from __future__ import annotations
@@ -10,6 +13,8 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import heapq
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +26,12 @@ from .common import batches_of, documents
 
 #: Entries of a task's piece cache; it is emptied when full, which changes the time taken, not the result.
 CACHE = 400_000
+#: Longest piece that is remembered, so that the cache's bytes are bounded, too.
+REMEMBERED = 256
+#: Bytes of a piece that is merged as a row of a matrix.
+LONGEST = 512
+#: Pieces of a text, and ids, that are handled at a time.
+SLICE = 1 << 17
 NONE = np.int64(1 << 40)
 
 
@@ -73,6 +84,8 @@ class Vocabulary:
         for i, piece in enumerate(pieces):
             if (known := self.ranks.get(piece)) is not None:
                 out[i] = known.to_bytes(4, "little")
+            elif len(piece) > LONGEST:
+                out[i] = self._merge_long(piece)
             else:
                 n = len(piece)
                 by_width.setdefault(n if n <= 16 else 1 << (n - 1).bit_length(), []).append(i)
@@ -113,6 +126,39 @@ class Vocabulary:
             rank[n[at > 0], before[at > 0]] = self.merged(ids[n, before], ids[n, at])[at > 0]
             length = length - 1
 
+    def _merge_long(self, piece: bytes) -> bytes:
+        """One long piece.  Ends of tokens are a linked list over its bytes; a queue holds each pair's rank and place, and entries
+        that a merge has outdated are passed over."""
+        n, ranks = len(piece), self.ranks
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # by a token's first byte: its end, and the first byte of the one before
+        alive = bytearray(b"\1") * n
+        first = np.frombuffer(piece, np.uint8)
+        rank = self.merged(self.byte_id[first[:-1]], self.byte_id[first[1:]])
+        at = np.flatnonzero(rank < NONE)
+        queue = list(zip(rank[at].tolist(), at.tolist(), (at + 2).tolist(), strict=True))
+        heapq.heapify(queue)
+        push, pop = heapq.heappush, heapq.heappop
+        while queue:
+            _, a, stop = pop(queue)
+            if not alive[a]:
+                continue
+            b = end[a]
+            if b >= n or end[b] != stop:  # one of both has grown since
+                continue
+            alive[b] = 0
+            end[a] = stop
+            if stop < n:
+                before[stop] = a
+                if (r := ranks.get(piece[a : end[stop]])) is not None:
+                    push(queue, (r, a, end[stop]))
+            if (c := before[a]) >= 0 and (r := ranks.get(piece[c:stop])) is not None:
+                push(queue, (r, c, stop))
+        ids, a = [], 0
+        while a < n:
+            ids.append(ranks[piece[a : end[a]]])
+            a = end[a]
+        return np.array(ids, dtype="<u4").tobytes()
+
     @staticmethod
     def _shift(rank: np.ndarray, at: np.ndarray) -> np.ndarray:
         """rank without the place after `at` in each row (without the last where `at` is the last)."""
@@ -122,7 +168,7 @@ class Vocabulary:
 
     def decode(self, ids: np.ndarray) -> bytes:
         pieces = self.pieces
-        return b"".join([pieces[i] for i in ids.tolist()])
+        return b"".join([b"".join([pieces[i] for i in ids[a : a + SLICE].tolist()]) for a in range(0, len(ids), SLICE)])
 
 
 @functools.lru_cache(maxsize=2)
@@ -134,17 +180,29 @@ class Encoder:
     """Encodes texts with a piece cache of bounded size."""
 
     def __init__(self, path: str, pattern: str, cache: int = CACHE) -> None:
-        self.vocabulary, self.find, self.cache, self.most = vocabulary(path), regex.compile(pattern).findall, {}, cache
+        self.vocabulary, self.pattern, self.cache, self.most = vocabulary(path), regex.compile(pattern), {}, cache
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [self.find(t) for t in texts]
+        """Ids of each text as little-endian unsigned 32-bit integers.  Long texts are read a slice of their pieces at a time."""
+        if sum(map(len, texts)) <= 4 * SLICE:
+            return self._encode([self.pattern.findall(t) for t in texts])
+        out = []
+        for t in texts:
+            found, parts = self.pattern.finditer(t), []
+            while some := [m.group() for m in itertools.islice(found, SLICE)]:
+                parts += self._encode([some])
+            out.append(b"".join(parts))
+        return out
+
+    def _encode(self, split: list[list[str]]) -> list[bytes]:
         if len(self.cache) > self.most:
             self.cache.clear()
         cache = self.cache
         new = list({p for pieces in split for p in pieces if p not in cache})
-        cache.update(zip(new, self.vocabulary.encode_pieces([p.encode() for p in new]), strict=True))
-        return [b"".join([cache[p] for p in pieces]) for pieces in split]
+        ids = dict(zip(new, self.vocabulary.encode_pieces([p.encode() for p in new]), strict=True))
+        long = {p: i for p, i in ids.items() if len(p) > REMEMBERED}
+        cache.update((p, i) for p, i in ids.items() if len(p) <= REMEMBERED)
+        return [b"".join([cache[p] if p in cache else long[p] for p in pieces] if long else [cache[p] for p in pieces]) for pieces in split]
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
