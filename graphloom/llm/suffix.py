@@ -8,8 +8,9 @@ A sample of the leading tokens (the first eight bytes of a suffix) gives splitte
 Each bucket sorts its suffixes by multikey quicksort over eight-byte tokens, in numpy, likewise the reversed bytes to their
 left.  Runs of common prefixes of the needed lengths then identify equal strings, and the smallest document of each.
 Splitters are compared with whole leading tokens, so suffixes that agree in their token fall into one bucket.  A token that
-fills more than one bucket shows as repeated splitters.  Its suffixes aren't sorted in one place: they are compared across
-the borders of buckets by fingerprints of their 50-byte strings, which are dealt evenly, each block sending a string once.
+fills more than one bucket shows as repeated splitters.  Its suffixes aren't sorted in one place: their 50-byte strings, which
+are what is compared across the borders of buckets, are dealt evenly by a hash of their further tokens, each block sending a
+string once, and are sorted there in the same way.  Hashes choose places only: what counts as equal is compared byte by byte.
 """
 
 from __future__ import annotations
@@ -21,20 +22,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Parts, arrays, columns, deal, exchange, key_parts, parts_row, per_block, read_shared, shared_keys, smaller_elsewhere, squeeze, expand, store, with_answers
+from .blocks import Parts, arrays, columns, deal, exchange, key_parts, parts_row, per_block, read_shared, shared_keys, squeeze, expand, store, with_answers
 from .common import SPANS, id_array, materialise, mix, partitions, powers, removed, runs_of
 
 LENGTH, HEAD = 50, 20
 SPAN = LENGTH - HEAD + 1  # heads of one string
 _BASE = np.uint64(0xC2B2AE3D27D4EB4F)
 _BYTE = np.random.default_rng(8).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_PLACE_BITS = 26  # positions in a text that the minimiser's order tells apart
+_PLACE_BITS = 20  # positions that the minimiser's order tells apart
+PIECE = 1 << _PLACE_BITS  # bytes of a text that are looked at together; pieces overlap by all but one byte of a string
 SAMPLE = 16  # leading tokens of a block that go into the splitters
 STEP = 1 << 19
 
 
 def _minimisers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For a text: first and last string start of each run with the same minimiser, the minimiser's place, its head's hash."""
+    """For a text: first and last string start of each run with the same minimiser, the minimiser's place, its head's hash.
+    Every string of 50 bytes lies whole in one piece, so memory is bounded and equal strings are treated alike."""
+    step = PIECE - LENGTH + 1
+    found = [_minimisers_of(data[a : a + PIECE]) for a in range(0, max(1, len(data) - LENGTH + 1), step)]
+    if len(found) == 1:
+        return found[0]
+    at = [i * step for i in range(len(found))]
+    return *(np.concatenate([f[k] + a for f, a in zip(found, at, strict=True)]) for k in range(3)), np.concatenate([f[3] for f in found])
+
+
+def _minimisers_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     empty = np.zeros(0, dtype=np.int64)
     n = len(data)
     if n < LENGTH:
@@ -43,17 +55,15 @@ def _minimisers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(_BYTE[data] * up[:-1], out=sums[1:])
     head = mix((sums[HEAD:] - sums[:-HEAD]) * down[: n - HEAD + 1])
-    mask = np.uint64((1 << _PLACE_BITS) - 1)
-    v = (head & ~mask) | (np.arange(len(head), dtype=np.uint64) & mask)
+    mask = np.uint64(PIECE - 1)
+    v = (head & ~mask) | np.arange(len(head), dtype=np.uint64)
     m = v
     for k in (1, 2, 4, 8):
         m = np.minimum(m[:-k], m[k:])  # minima over 2, 4, 8, 16
     m = np.minimum(m[: len(m) - (SPAN - 16)], m[SPAN - 16 :])
     start = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1])))
     last = np.append(start[1:], len(m)) - 1
-    base = start & ~np.int64((1 << _PLACE_BITS) - 1)
-    place = base + (m[start] & mask).astype(np.int64)
-    place += np.where(place < start, np.int64(1 << _PLACE_BITS), 0)
+    place = (m[start] & mask).astype(np.int64)
     return start, last, place, head[place]
 
 
@@ -100,12 +110,40 @@ class _Block:
         code = mix(code ^ (size.astype(np.uint64) << np.uint64(32)) ^ (self.place[at] - start).astype(np.uint64))
         order = np.argsort(code, kind="stable")
         new = np.concatenate(([True], code[order][1:] != code[order][:-1]))
+        if self._differ(at, order, new):  # two contents with one hash: these are told apart by their bytes, all in one sort
+            order, new = self._by_bytes(at, code)
         first = np.flatnonzero(new)
         which = np.empty(len(at), dtype=np.int64)
         which[order] = np.cumsum(new) - 1
         return at, at[order][first], np.minimum.reduceat(self.owner[at][order], first), which
 
 
+    def _rows(self, runs: np.ndarray) -> np.ndarray:
+        """The runs' bytes, filled up to one width, behind their length and the place of their minimiser."""
+        start, size = self.start[runs], self.last[runs] - self.start[runs] + LENGTH
+        col = np.arange(LENGTH + SPAN)
+        rows = np.zeros((len(runs), 2 + len(col)), dtype=np.uint8)
+        rows[:, 0], rows[:, 1] = size, self.place[runs] - start
+        rows[:, 2:] = np.where(col < size[:, None], self.data[np.minimum(start[:, None] + col, len(self.data) - 1)], 0)
+        return rows
+
+    def _differ(self, at: np.ndarray, order: np.ndarray, new: np.ndarray) -> bool:
+        """Whether neighbours that share a hash have different bytes."""
+        again = np.flatnonzero(~new)
+        for a in range(0, len(again), 1 << 14):
+            i = again[a : a + (1 << 14)]
+            if (self._rows(at[order[i]]) != self._rows(at[order[i - 1]])).any():
+                return True
+        return False
+
+    def _by_bytes(self, at: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows = self._rows(at)
+        order = np.lexsort((*rows.T[::-1], code))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (code[order][1:] != code[order][:-1]) | (rows[order][1:] != rows[order][:-1]).any(axis=1)
+        return order, new
+
+
 def multikey_order(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorts rows of tokens, column by column: after each one only rows that are still tied with another are sorted further.
     Returns the order and, for each row but the first in it, the column of its first difference from the row before."""
@@ -151,17 +189,14 @@ def _common(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, common
 
 
-def _fingerprints(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit and 32-bit fingerprints of the strings of 50 bytes from each start."""
-    a, b = np.empty(len(starts), dtype=np.uint64), np.empty(len(starts), dtype=np.uint32)
-    for i in range(0, len(starts), 1 << 16):
-        rows = np.zeros((len(starts[i : i + (1 << 16)]), 56), dtype=np.uint8)
-        rows[:, :LENGTH] = data[starts[i : i + (1 << 16), None] + np.arange(LENGTH)]
-        x, y = np.full(len(rows), 1, dtype=np.uint64), np.full(len(rows), 2, dtype=np.uint64)
-        for word in rows.view("<u8").astype(np.uint64).T:
-            x, y = mix(x * _BASE + word), mix((y ^ word) * np.uint64(0x9FB21C651E98DF25) + np.uint64(7))
-        a[i : i + (1 << 16)], b[i : i + (1 << 16)] = x, y.astype(np.uint32)
-    return a, b
+def _distinct(rows: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows of LENGTH bytes: one of each, the smallest owner of each, and each row's number among them."""
+    order, common = _common(rows)
+    new = common < LENGTH
+    at = np.flatnonzero(new)
+    which = np.empty(len(order), dtype=np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[at], np.minimum.reduceat(owner[order], at) if len(at) else owner[:0], which
 
 
 class _Strings:
@@ -171,16 +206,18 @@ class _Strings:
         count = b.last[content] - b.start[content] + 1
         self.of = np.repeat(np.arange(len(content)), count)
         self.k = np.arange(len(self.of)) - np.repeat(np.cumsum(count) - count, count)
-        first, second = _fingerprints(b.data, b.start[content][self.of] + self.k)
-        order = np.lexsort((second, first))
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = (first[order][1:] != first[order][:-1]) | (second[order][1:] != second[order][:-1])
-        at = np.flatnonzero(new)
-        self.which = np.empty(len(order), dtype=np.int64)
-        self.which[order] = np.cumsum(new) - 1
-        self.first, self.second = first[order][at], second[order][at]
-        self.least = np.minimum.reduceat(owner[self.of][order], at) if len(at) else owner[:0]
-        self.owner = owner
+        start = b.start[content][self.of] + self.k
+        rows = np.empty((len(start), LENGTH), dtype=np.uint8)
+        for a in range(0, len(start), 1 << 16):
+            rows[a : a + (1 << 16)] = b.data[start[a : a + (1 << 16), None] + np.arange(LENGTH)]
+        one, self.least, self.which = _distinct(rows, owner[self.of])
+        self.rows, self.owner = rows[one], owner
+        code = np.ones(len(one), dtype=np.uint64)
+        padded = np.zeros((len(one), -(-LENGTH // 8) * 8), dtype=np.uint8)
+        padded[:, :LENGTH] = self.rows
+        for word in padded.view("<u8").astype(np.uint64).T:
+            code = mix(code * _BASE + word)
+        self.code = code
 
     def masks(self, elsewhere: np.ndarray) -> np.ndarray:
         hit = elsewhere[self.which] | (self.least[self.which] < self.owner[self.of])
@@ -190,8 +227,21 @@ class _Strings:
 
 
 def _answers(parts: list[bytes]) -> list[bytes]:
-    """Contents (tagged 0) are sorted, fingerprints (tagged 1) are compared; a bucket has parts of one kind."""
-    return (smaller_elsewhere if parts[0][:1] == b"\1" else _bucket_answers)([p[1:] for p in parts])
+    """Contents are tagged 0, strings of hot tokens 1; a bucket has parts of one kind."""
+    return (_string_answers if parts[0][:1] == b"\1" else _bucket_answers)([p[1:] for p in parts])
+
+
+def _string_answers(parts: list[bytes]) -> list[bytes]:
+    """For each part the bits of strings that a document with a smaller id than the block's smallest has."""
+    got = []
+    for p in parts:
+        head = struct.unpack_from("<q", p)[0]
+        got.append((arrays(p[8 : 8 + head])[0], np.frombuffer(expand(p[8 + head :]), np.uint8).reshape(-1, LENGTH)))
+    owner = np.concatenate([o for o, _ in got])
+    _, least, which = _distinct(np.concatenate([r for _, r in got]), owner)
+    out = least[which] < owner
+    ends = np.cumsum([len(o) for o, _ in got])
+    return [np.packbits(out[e - len(o) : e]).tobytes() for e, (o, _) in zip(ends.tolist(), got, strict=True)]
 
 
 def _bucket_answers(parts: list[bytes]) -> list[bytes]:
@@ -282,8 +332,9 @@ def cut_strings(docs: DataFrame, hot_from: int = 2) -> DataFrame:
             out.append({"bucket": k, "data": b"\0" + struct.pack("<q", len(head)) + head + squeeze(b.data[where].tobytes())})
         if len(often):
             s = _Strings(b, content[often], owner[often])
-            for k, at in deal((s.first % np.uint64(buckets)).astype(np.int64), buckets):
-                out.append({"bucket": buckets + k, "data": b"\1" + columns(s.first[at], s.second[at], s.least[at])})
+            for k, at in deal((s.code % np.uint64(buckets)).astype(np.int64), buckets):
+                head = columns(s.least[at])
+                out.append({"bucket": buckets + k, "data": b"\1" + struct.pack("<q", len(head)) + head + squeeze(s.rows[at].tobytes())})
         return parts_row(block, out)
 
     def remove(block: int, ids: np.ndarray, texts: list[bytes], answers: dict) -> pa.RecordBatch:
@@ -295,18 +346,18 @@ def cut_strings(docs: DataFrame, hot_from: int = 2) -> DataFrame:
             mask[cold[at]] = arrays(answers[2][k])[0]
         if len(often):
             s = _Strings(b, content[often], owner[often])
-            elsewhere = np.zeros(len(s.first), dtype=bool)
-            for k, at in deal((s.first % np.uint64(buckets)).astype(np.int64), buckets):
+            elsewhere = np.zeros(len(s.code), dtype=bool)
+            for k, at in deal((s.code % np.uint64(buckets)).astype(np.int64), buckets):
                 elsewhere[at] = np.unpackbits(np.frombuffer(answers[2][buckets + k], np.uint8), count=len(at))
             mask[often] = s.masks(elsewhere)
-        edge = np.zeros(len(b.data) + 1, dtype=np.int64)
+        edge = np.zeros(len(b.data) + 1, dtype=np.int16)  # strings that begin or end at a byte
         mine = np.where(b.owner[runs] > owner[which], np.uint64(0xFFFFFFFF), mask[which])
         for k in range(SPAN):
             s = b.start[runs] + k
             s = s[(s <= b.last[runs]) & ((mine >> np.uint64(k)) & np.uint64(1)).astype(bool)]
-            np.add.at(edge, s, 1)
-            np.add.at(edge, s + LENGTH, -1)
-        gone = np.cumsum(edge[:-1]) > 0
+            edge[s] += 1  # no string begins at a byte twice
+            edge[s + LENGTH] -= 1
+        gone = np.cumsum(edge[:-1], dtype=np.int16) > 0
         spans, kept = [], []
         for t, at in zip(texts, b.base.tolist(), strict=True):
             g = gone[at : at + len(t)]
