@@ -17,6 +17,13 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return films(table(spark, sf_dir, "documents"))
 
 
+def media_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The timed clip rows of the films."""
+    from .media import clips
+
+    return clips(table(spark, sf_dir, "documents"))
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
@@ -29,6 +36,21 @@ def op3_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def exact_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A persisted index that takes the table in two batches, documents with an even doc_id first; every row is then resolved."""
+    from pyspark.sql import functions as F
+
+    from .exact import DigestIndex, own_name
+
+    docs = table(spark, sf_dir, "documents")
+    name = own_name()
+    early = F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False))
+    DigestIndex(spark, name).admit(docs.where(early))
+    later = DigestIndex(spark, name)  # as another run would open it
+    later.admit(docs.where(~early))
+    return later.resolve(docs)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -77,13 +99,17 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), rules_frame(spark, RULES))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media, op2_minhash, op3_exact, op4_bpe, op5_quality, op6_packing, op7_substring, op8_suffix, op9_pii, op10_urls)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media, media_clips, op2_minhash, op3_exact, exact_batches, op4_bpe, op5_quality, op6_packing, op7_substring, op8_suffix, op9_pii, op10_urls)}
 
 ORACLE: dict[str, str] = {
     "op3_exact": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WINDOW w AS (PARTITION BY t)""",
+    "exact_batches": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(doc_id % 2 = 0, FALSE) AS early FROM documents),
+        k AS (SELECT t, early, max(doc_id) AS keep_id, count(*) AS group_size, row_number() OVER (PARTITION BY t ORDER BY early DESC) AS n FROM d GROUP BY t, early)
+        SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(d.t) AS text_sha256 FROM d JOIN k ON d.t = k.t AND k.n = 1""",
     "op7_substring": """
         WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
         s AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d),

@@ -78,7 +78,7 @@ def test_films_round_trip(payloads):
     for p, film in zip(payloads, films, strict=True):
         avi = media.Avi(film)
         assert avi.payload == len(p)
-        assert media.decode_frames([film[a : a + n] for a, n in avi.frames]).tobytes()[: len(p)] == p
+        assert media.block_levels([film[a : a + n] for a, n in avi.frames]).tobytes()[: len(p)] == p
         assert film == media.encode_films([p])[0]
 
 
@@ -88,6 +88,125 @@ def test_film_without_index():
     assert media.Avi(film[:cut]).frames == media.Avi(film).frames
 
 
+# Another writer's frames: plain eight-bit Huffman codes, AC coefficients, several quantisers, samplings and restart intervals.
+ZIGZAG = sorted(((r, c) for r in range(8) for c in range(8)), key=lambda p: (p[0] + p[1], p[0] if (p[0] + p[1]) % 2 else p[1]))
+
+
+def other_jpeg(rng, wide, high, sampling, interval):
+    """A frame of random coefficients, and its luma samples by the plain double sum."""
+    quant = [rng.integers(1, 12, 64), rng.integers(1, 20, 64)]
+    codes = [sorted(rng.permutation(range(12)).tolist()), rng.permutation([*range(1, 256)]).tolist()]
+    sx, sy = sampling
+    comps = [(1, sx, sy, 0), (2, 1, 1, 1), (3, 1, 1, 1)] if sampling != (0, 0) else [(1, 1, 1, 0)]
+    mx, my = max(c[1] for c in comps), max(c[2] for c in comps)
+    across, down = -(-wide // (8 * mx)), -(-high // (8 * my))
+    plane = np.zeros((down * comps[0][2] * 8, across * comps[0][1] * 8))
+    basis = np.array([[(np.sqrt(0.125) if u == 0 else 0.5) * np.cos((2 * x + 1) * u * np.pi / 16) for u in range(8)] for x in range(8)])
+    out, bits, level = b"", "", [0] * len(comps)
+
+    def size_of(v):
+        return int(abs(v)).bit_length()
+
+    def value(v):
+        n = size_of(v)
+        return format(v if v > 0 else v + (1 << n) - 1, f"0{n}b") if n else ""
+
+    def closed(bits):
+        raw = int(bits + "1" * (-len(bits) % 8) or "0", 2).to_bytes((len(bits) + 7) // 8, "big")
+        return raw.replace(b"\xff", b"\xff\0")
+
+    # canonical codes: all DC categories have 5 bits; AC symbols 0x00 to 0xfa have 8 bits
+    ac_symbols = [s for s in codes[1] if s & 15 <= 10][:254]
+    ac_symbols = [0, 0xF0, *[x for x in ac_symbols if x not in (0, 0xF0)]]
+    for unit in range(across * down):
+        if interval and unit and unit % interval == 0:
+            out += closed(bits) + bytes([0xFF, 0xD0 + (unit // interval - 1) % 8])
+            bits, level = "", [0] * len(comps)
+        for c, (_, h, v, q) in enumerate(comps):
+            for by in range(v):
+                for bx in range(h):
+                    coef = np.zeros(64, dtype=np.int64)
+                    coef[0] = rng.integers(-60, 60)
+                    for k in rng.integers(1, 64, rng.integers(0, 6)):
+                        coef[k] = rng.integers(-9, 10)
+                    d = int(coef[0]) - level[c]
+                    level[c] = int(coef[0])
+                    bits += format(codes[0].index(size_of(d)), "05b") + value(d)
+                    run = 0
+                    last = max([k for k in range(1, 64) if coef[k]], default=0)
+                    for k in range(1, last + 1):
+                        if not coef[k]:
+                            run += 1
+                            continue
+                        while run > 15:
+                            bits += format(ac_symbols.index(0xF0), "08b")
+                            run -= 16
+                        bits += format(ac_symbols.index(run << 4 | size_of(coef[k])), "08b") + value(int(coef[k]))
+                        run = 0
+                    if last < 63:
+                        bits += format(ac_symbols.index(0), "08b")
+                    if c == 0:
+                        m = np.zeros((8, 8))
+                        for k, (r, col) in enumerate(ZIGZAG):
+                            m[r, col] = coef[k] * quant[q][k]
+                        y, x = (unit // across * v + by) * 8, (unit % across * h + bx) * 8
+                        plane[y : y + 8, x : x + 8] = np.clip(np.floor(basis @ m @ basis.T + 128.5), 0, 255)
+    out += closed(bits)
+    seg = lambda code, body: bytes([0xFF, code]) + (len(body) + 2).to_bytes(2, "big") + body
+    head = b"\xff\xd8" + seg(0xE0, b"JFIF\0\1\1\0\0\1\0\1\0\0") + seg(0xDB, b"".join(bytes([i]) + bytes(q.astype(np.uint8).tolist()) for i, q in enumerate(quant)))
+    head += seg(0xC0, bytes([8]) + high.to_bytes(2, "big") + wide.to_bytes(2, "big") + bytes([len(comps)]) + b"".join(bytes([i, h << 4 | v, q]) for i, h, v, q in comps))
+    head += seg(0xC4, bytes([0x00] + [0] * 4 + [12] + [0] * 11 + codes[0]) + bytes([0x11] + [0] * 7 + [len(ac_symbols)] + [0] * 8 + ac_symbols))
+    head += seg(0xDD, interval.to_bytes(2, "big")) if interval else b""
+    head += seg(0xDA, bytes([len(comps)]) + b"".join(bytes([c[0], 0x01]) for c in comps) + bytes([0, 63, 0]))
+    return head + out + b"\xff\xd9", plane[:high, :wide].astype(np.uint8)
+
+
+@pytest.mark.parametrize(("sampling", "interval"), [((0, 0), 0), ((0, 0), 3), ((1, 1), 0), ((2, 2), 2), ((2, 1), 1)])
+def test_frames_of_another_writer(sampling, interval):
+    rng = np.random.default_rng(interval + 10 * sampling[0])
+    made = [other_jpeg(rng, w, h, sampling, interval) for w, h in ((40, 24), (40, 24), (33, 50))]
+    for got, (_, want) in zip(media.decode_frames([f for f, _ in made]), made, strict=True):
+        assert got.shape == want.shape
+        assert np.abs(got.astype(int) - want).max() <= 1 and (got == want).mean() > 0.99
+    with pytest.raises(ValueError, match="JPEG"):
+        media.decode_frames([b"nothing"])
+
+
+def clips_brute(text):
+    p = text + b"\0" * (max(64, -(-len(text) // 64) * 64) - len(text))
+    frames = [p[a : a + 512].ljust(512, b"\0") for a in range(0, len(p), 512)]
+    hist = [[sum(x // 16 == b for x in f) / 512 for b in range(16)] for f in frames]
+    cuts, recent = [0], []
+    for i in range(1, len(frames)):
+        d = sum(abs(a - b) for a, b in zip(hist[i - 1], hist[i], strict=True)) / 2
+        if d > 0.25 and d > 3 * (sum(recent) / len(recent) if recent else 0):
+            cuts.append(i)
+            recent = []
+        else:
+            recent = (recent + [d])[-8:]
+    return frames, list(zip(cuts, [*cuts[1:], len(frames)], strict=True))
+
+
+def test_clips_and_features(spark, corpus):
+    """Clip times and features against plain Python on the texts."""
+    rows = [(d, t) for d, t in corpus[1] if len(t or "") < 6000][:60] + [(10**6, "a" * 2000 + "~" * 3000 + "é" * 700), (10**6 + 1, None)]
+    df = table(spark, rows)
+    got = {}
+    for r in media.clips(df).collect():
+        got.setdefault(r["doc_id"], []).append((r["clip"], r["first_frame"], r["last_frame"], r["start_s"], r["end_s"], round(r["mean_level"], 9)))
+    features = {r["doc_id"]: (r["feature"], r["media_sha256"], r["media_bytes"]) for r in media.films(df).collect()}
+    for d, t in rows:
+        text = (t or "").encode()
+        frames, cut = clips_brute(text)
+        assert sorted(got[d]) == [(i, a, b, a * 0.04, b * 0.04, round(sum(map(sum, frames[a:b])) / 512 / (b - a), 9)) for i, (a, b) in enumerate(cut)]
+        digest = zlib.crc32(b"".join(int(x).to_bytes(8, "little") for a, b in cut for x in (a, b, *[sum(v // 16 == k for f in frames[a:b] for v in f) for k in range(16)])))
+        film = media.encode_films([media.padded(text)])[0]
+        assert features[d] == (f"frames={len(frames)};clips={len(cut)};crc={digest:08x}", sha(film), len(film))
+    assert len(got[10**6]) == 4  # three passages, and the last frame, which is mostly filled up
+    film = media.encode_films([media.padded(rows[-2][1].encode())])[0]
+    assert [c[2:] for c in media.film_clips(film)] == [c[1:3] for c in sorted(got[10**6])]
+
+
 def test_shots_are_found():
     quiet, loud = np.full((10, 8, 64), 20, np.uint8), np.full((6, 8, 64), 200, np.uint8)
     assert media.shots(np.concatenate([quiet, loud, quiet])) == [(0, 10), (10, 16), (16, 26)]
@@ -201,6 +320,18 @@ def test_exact(spark, corpus):
         assert (r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) == (max(g), len(g), r["doc_id"] == max(g), sha(dict(rows)[r["doc_id"]] or ""))
 
 
+def test_two_batches(spark, data, tmp_path):
+    """The registered query over a persisted index against its SQL."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    want = con.sql(queries.ORACLE["exact_batches"]).fetchall()
+    cols = con.sql(queries.ORACLE["exact_batches"]).columns
+    got = queries.QUERIES["exact_batches"](spark, data).select(*cols).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len({r["keep_id"] for r in got}) < len(got)
+
+
 def test_index_appends_only_news(spark, tmp_path):
     index = exact.DigestIndex(spark, "idx_news", buckets=4, path=f"{tmp_path}/idx")
     index.admit(table(spark, [(1, "a"), (2, "b"), (3, "a")]))
@@ -230,6 +361,20 @@ def test_bpe_equals_library(tik, texts):
         assert e.vocabulary.decode(ids) == t.encode()
 
 
+def test_long_pieces_equal_library(tik):
+    """Pieces past a row's width, and texts read in slices."""
+    r = random.Random(2)
+    mine = bpe.Encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    texts = ["".join(r.choice(a) for _ in range(n)) for a, n in (("etaoin shrdlu", 30000), ("ab", 5000), ("aé中", 4000), ("!?-", 3000))] + ["a" * 20000, "x" * 513, "\n" * 4000]
+    for t in texts:
+        assert np.frombuffer(mine.encode([t])[0], "<u4").tolist() == tik.encode_ordinary(t)
+    letters = "".join(r.choice("etaoinshrdlu") for _ in range(1 << 20))
+    assert mine.vocabulary.decode(np.frombuffer(mine.encode([letters])[0], "<u4")) == letters.encode()
+    long = " ".join(r.choice(texts)[:50] for _ in range(40000))
+    assert np.frombuffer(mine.encode([long])[0], "<u4").tolist() == tik.encode_ordinary(long)
+    assert all(len(p) <= bpe.REMEMBERED for p in mine.cache)
+
+
 def test_bpe_on_corpus(spark, corpus, tik):
     df, rows = corpus
     got = {r["doc_id"]: r for r in bpe.round_trip(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()}
@@ -434,7 +579,7 @@ def test_cut_strings(spark):
 
 
 def test_hot_leading_tokens(spark):
-    """One phrase fills most buckets: its strings are compared by fingerprints instead of being sorted in one place."""
+    """One phrase fills most buckets: its strings are dealt evenly and compared across buckets."""
     r = random.Random(3)
     phrase = "the one phrase that nearly every document of this table has somewhere in it"
     rows = [(i, "".join(r.choice("abcdef") for _ in range(r.randint(0, 12))) + phrase[r.randint(0, 9) :] + str(r.randint(0, 99))) for i in range(200)]
@@ -451,13 +596,46 @@ def test_strings_of_a_block():
     content = np.arange(len(b.start))
     s = suffix._Strings(b, content, b.owner)
     texts = [bytes(b.data[p : p + 50]) for p in b.start[s.of] + s.k]
-    assert len(set(texts)) == len(s.first)
+    assert len(set(texts)) == len(s.rows) == len({x.tobytes() for x in s.rows})
     least = {t: min(o for u, o in zip(texts, b.owner[s.of].tolist(), strict=True) if u == t) for t in texts}
-    masks = s.masks(np.zeros(len(s.first), dtype=bool))
+    masks = s.masks(np.zeros(len(s.rows), dtype=bool))
     for t, c, k in zip(texts, s.of.tolist(), s.k.tolist(), strict=True):
         assert bool(int(masks[c]) >> k & 1) == (least[t] < b.owner[c])
 
 
+def test_pieces_of_a_long_text(spark, monkeypatch):
+    """A text of many pieces gives the same strings, also across their borders."""
+    monkeypatch.setattr(suffix, "PIECE", 256)
+    rows = repeats(4)
+    docs = {d: (t or "").encode() for d, t in rows}
+    first = firsts(docs)
+    for d, b in docs.items():
+        whole = suffix._Block(np.array([d]), [b])
+        assert sum((whole.last - whole.start + 1).tolist()) == max(0, len(b) - 49)
+    ids, texts = np.array(sorted(docs)), [docs[d] for d in sorted(docs)]
+    b = suffix._Block(ids, texts)
+    at, content, owner, which = b.strings(np.ones(len(b.start), dtype=bool))
+    assert all(bytes(b.data[b.start[r] : b.last[r] + 50]) == bytes(b.data[b.start[content[w]] : b.last[content[w]] + 50]) for r, w in zip(at.tolist(), which.tolist(), strict=True))
+    del first
+
+
+def test_colliding_hashes_are_told_apart(monkeypatch):
+    """Contents are merged by their bytes even where all their hashes agree."""
+    r = random.Random(8)
+    texts = [bytes(r.choice(b"abcd") for _ in range(90)) for _ in range(6)] * 2
+    b = suffix._Block(np.arange(12), texts)
+    monkeypatch.setattr(suffix, "mix", lambda h: np.zeros_like(h))
+    at, content, owner, which = b.strings(np.ones(len(b.start), dtype=bool))
+    key = lambda i: (bytes(b.data[b.start[i] : b.last[i] + 50]), int(b.place[i] - b.start[i]))
+    assert len({key(c) for c in content.tolist()}) == len(content)
+    for i, w in zip(at.tolist(), which.tolist(), strict=True):
+        assert key(i) == key(content[w])
+    least = {}
+    for i in at.tolist():
+        least[key(i)] = min(least.get(key(i), 99), int(b.owner[i]))
+    assert [least[key(c)] for c in content.tolist()] == owner.tolist()
+
+
 def test_cover_meets_every_alignment():
     pairs = {(a - b) % substring.PERIOD for a in substring.COVER for b in substring.COVER}
     assert pairs == set(range(substring.PERIOD))
