@@ -27,7 +27,7 @@ from .common import batches_of, documents
 #: Entries of a task's piece cache; it is emptied when full, which changes the time taken, not the result.
 CACHE = 400_000
 #: Longest piece that is remembered, so that the cache's bytes are bounded, too.
-REMEMBERED = 256
+REMEMBERED = 64
 #: Bytes of a piece that is merged as a row of a matrix.
 LONGEST = 512
 #: Pieces of a text, and ids, that are handled at a time.

@@ -176,7 +176,8 @@ def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
         size = 1 << max(16, int(n - 1).bit_length())
         inverse = np.uint64(pow(int(base), -1, 1 << 64))
         known = tuple(np.concatenate(([np.uint64(1)], np.multiply.accumulate(np.full(size - 1, b, dtype=np.uint64)))) for b in (base, inverse))
-        _POWERS[int(base)] = known
+        if size <= 1 << 20:  # larger ones go again
+            _POWERS[int(base)] = known
     return known[0][:n], known[1][:n]
 
 

@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import batches_of, documents, materialise, utf8
 
-#: Words, and as many pieces, that a Python worker remembers: bounds its memory (some 300 MB) and changes the time, not the result.
-CACHE = 1_200_000
+#: Words, and as many pieces, that a Python worker remembers, and the longest of them: bounds its memory (some 100 MB, which it
+#: keeps for the stages after this one) and changes the time, not the result.
+CACHE, REMEMBERED = 250_000, 48
 #: Partitions whose leftovers are merged together: bounds what one task holds to GROUP * OPEN windows.
 GROUP = 8
 OPEN = 32
@@ -90,7 +91,9 @@ class WordEncoder:
             for piece in pieces:
                 if (found := known.get(piece)) is None:
                     shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_SHOWN)
-                    found = known[piece] = struct.pack(f"<{len(t := merge(shown))}I", *[x.id for x in t])
+                    found = struct.pack(f"<{len(t := merge(shown))}I", *[x.id for x in t])
+                    if len(piece) <= REMEMBERED:
+                        known[piece] = found
                 ids += found
             out[w] = ids
         out.update(zip(whole, self._whole([w.decode() for w in whole]), strict=True))
@@ -102,7 +105,7 @@ class WordEncoder:
         found = [list(map(words.get, part)) for part in split]  # one look at the large table for each word
         new = self._learn(list({w for part, ids in zip(split, found, strict=True) if None in ids for w, x in zip(part, ids, strict=True) if x is None}))
         if len(words) + len(new) <= self.most:
-            words.update(new)
+            words.update((w, ids) for w, ids in new.items() if len(w) <= REMEMBERED)
         return [b"".join(ids) if None not in ids else b"".join([new[w] if x is None else x for w, x in zip(part, ids, strict=True)]) for part, ids in zip(split, found, strict=True)]
 
 
