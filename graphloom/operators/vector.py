@@ -35,7 +35,8 @@ def literal(query: list[float]) -> Column:
 
 
 def search(vertices: DataFrame, column: str, query: list[float], k: int, where: Column | None = None) -> DataFrame:
-    """(vid, distance): the k nearest by squared Euclidean distance, ties by id; a condition is applied before the search."""
+    """(vid, distance): the k nearest by squared Euclidean distance, ties by id; a condition is applied before the search.  A vector
+    of another length than the query's is an error, a null one is passed over."""
     df = vertices if where is None else vertices.where(where)
     wrong = F.raise_error(F.concat(F.lit(f"a query of {len(query)} dimensions meets a vector of "), F.size(column).cast("string"))).cast("array<float>")
     vector = F.when(F.size(column) == len(query), F.col(column)).otherwise(wrong)
@@ -105,12 +106,12 @@ def nearest_blocks(batches: Iterator[pa.RecordBatch], qid: np.ndarray, q: np.nda
 def nearest_approximate(vertices: DataFrame, column: str, queries: DataFrame, k: int, dim: int) -> DataFrame:
     """(qid, vid, distance): for each query (qid, column) the k nearest vertices, ties by id.
 
-    Every query is compared with every vector, so nothing is missed and the work is the product of both counts.  A scan of the
+    Vectors that are null or of another length than `dim` have no distance and are left out; `search` raises on such a length.
+    Every query is compared with every vector of it, so nothing is missed and the work is the product of both counts.  A scan of the
     data takes a bounded block of queries with it and keeps k rows a query and task; more queries mean more scans.
     """
     spark = vertices.sparkSession
-    wrong = F.raise_error(F.concat(F.lit(f"{dim} dimensions expected, found "), F.size(column).cast("string"))).cast("array<double>")
-    whole = lambda df, name: df.where(F.col(column).isNotNull()).select(F.col(name).cast("long").alias(name), F.when(F.size(column) == dim, F.col(column).cast("array<double>")).otherwise(wrong).alias("v"))
+    whole = lambda df, name: df.where(F.size(column) == dim).select(F.col(name).cast("long").alias(name), F.col(column).cast("array<double>").alias("v"))
     most = max(1, QUERY_BYTES // (8 * dim))
     data = whole(vertices, VID).withColumnRenamed(VID, "vid").coalesce(4 * spark.sparkContext.defaultParallelism)
     asked = whole(queries, "qid").dropDuplicates(["qid"])
