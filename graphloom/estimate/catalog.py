@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..graph import Graph
-from ..operators.patterns import column_stats, degrees, histogram, path_degrees
+from ..graph import VID, Graph
+from ..operators.patterns import column_stats, histogram, path_degrees
 from ..scratch import written
 from .pcf import Pcf
 
@@ -47,6 +49,7 @@ class Statistics:
         self.graph, self.exact_top = graph, exact_top
         self.tables: dict[tuple[Step, ...], DataFrame] = {}
         self.buckets: dict[tuple[Step, ...], list[tuple[int, int, int]]] = {}
+        self.stars: dict[tuple[tuple[Step, ...], ...], list[tuple[int, int, float]]] = {}
         self.columns: dict[str, dict[str, dict]] = {}
 
     def degree_table(self, steps: tuple[Step, ...]) -> DataFrame:
@@ -54,14 +57,29 @@ class Statistics:
             self.tables[steps] = written(path_degrees(self.graph, list(steps)), "degrees")
         return self.tables[steps]
 
-    def pcf(self, steps: tuple[Step, ...]) -> Pcf:
+    def histogram(self, steps: tuple[Step, ...]) -> list[tuple[int, int, int]]:
         if steps not in self.buckets:
             self.buckets[steps] = [(r["bucket"], r["vertices"], r["largest"]) for r in histogram(self.degree_table(steps)).collect()]  # at most 64 rows
-        return Pcf.from_buckets(self.buckets[steps], self.exact_top)
+        return self.buckets[steps]
+
+    def pcf(self, steps: tuple[Step, ...]) -> Pcf:
+        return Pcf.from_buckets(self.histogram(steps), self.exact_top)
+
+    def star(self, arms: tuple[tuple[Step, ...], ...]) -> Pcf:
+        """Products of several arms' degrees at each vertex of one label, as doubles; vertices without one of the arms are left out."""
+        arms = tuple(sorted(arms))
+        if arms not in self.stars:
+            out, product = None, F.lit(1.0)
+            for i, (steps, n) in enumerate(Counter(arms).items()):
+                one = self.degree_table(steps).select(VID, F.col("degree").cast("double").alias(f"d{i}"))
+                out, product = one if out is None else out.join(one, VID), product * F.pow(f"d{i}", F.lit(n))
+            rows = histogram(out.select(VID, product.alias("degree"))).collect()  # a row a power of two
+            self.stars[arms] = [(r["bucket"], r["vertices"], r["largest"]) for r in rows]
+        return Pcf.from_buckets(self.stars[arms], self.exact_top)
 
     def functional(self, label: str, edge: str, direction: str) -> bool:
         """Whether each vertex has one such edge at most."""
-        return (degrees(self.graph, label, edge, direction).agg(F.max("degree").alias("m")).first()["m"] or 0) <= 1
+        return all(top <= 1 for _, _, top in self.histogram(((label, edge, direction),)))
 
     def of_column(self, label: str, column: str) -> dict | None:
         if label not in self.columns:

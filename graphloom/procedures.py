@@ -157,7 +157,7 @@ def load_catalog(s: Session, path: str) -> DataFrame:
 @procedure("query STRING, k INT8, sample INT32, apply INT8, verbose BOOL, max_subgraphs INT32, decomposition STRING, unit_walks INT32")
 def gcard_query(s: Session, query: str, hops: int = 2, sample: int = 1000, apply: int = 0, verbose: bool = False, trees: int | None = None, decomposition: str | None = None, walks: int | None = None) -> DataFrame:
     """An estimate of the number of matches.  With sample 0, predicates are judged by column statistics alone."""
-    e = Estimator(statistics(s), hops, apply, sample, trees or TREES)
+    e = Estimator(statistics(s), hops, apply, sample, trees or TREES, bool(s.options["functional_refine"]), s.options["max_star_length"], s.options["max_star_degree"])
     return rows(s, [(e.estimate(Pattern.parse(json.loads(query)), json.loads(decomposition) if decomposition else None),)], "cardinality long")
 
 
@@ -168,6 +168,7 @@ def wander_join_query(s: Session, query: str, ratio: float, iterations: int = 1,
 
 @procedure("max_star_length INT8, max_star_degree INT8")
 def set_gcard_star_config(s: Session, length: int, degree: int) -> None:
+    """Edges of an arm and arms of a star whose degrees are multiplied vertex by vertex, at most."""
     s.options |= {"max_star_length": length, "max_star_degree": degree}
 
 

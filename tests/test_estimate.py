@@ -128,3 +128,38 @@ def test_single_vertex(spark, data):
     assert Estimator(Statistics(g), sample=10_000).estimate(p) == truth
     assert Estimator(Statistics(g), sample=40).estimate(p) >= truth * 0.8
     assert Estimator(Statistics(g)).estimate(Pattern({0: "Customer"}, [])) == 150
+
+
+def test_cheapest_spanning_trees():
+    import itertools
+
+    from graphloom.estimate.tree import spanning_trees
+
+    ends = [(0, 1), (1, 2), (2, 3), (3, 0), (0, 2), (1, 3), (0, 1)]
+    p = Pattern(dict.fromkeys(range(4), "a"), [(i, "x", a, b) for i, (a, b) in enumerate(ends)])
+    cost = dict(zip(p.edges, [5.0, 1.0, 4.0, 2.0, 2.0, 7.0, 3.0], strict=True))
+    every = [sum(cost[e] for e in t) for t in itertools.combinations(p.edges, 3) if Pattern(p.vertices, list(t)).is_tree()]
+    found = spanning_trees(p, 1000, cost.__getitem__)
+    assert [sum(cost[e] for e in t) for t in found] == sorted(every) and len({tuple(t) for t in found}) == len(every)
+    assert spanning_trees(p, 3, cost.__getitem__) == found[:3]
+    assert spanning_trees(Pattern(p.vertices, p.edges[:2]), 3) == []
+
+
+def test_stars_and_functional_leaves(spark, data):
+    g = tables_graph(spark, data)
+    stats = Statistics(g)
+    assert stats.functional("Customer", "IN_NATION", "out") and not stats.functional("Nation", "IN_NATION", "in")
+    label = ["Orders", "Part", "Supplier", "Customer", "Nation"]
+    edges = [("CONTAINS", 0, 1), ("SUPPLIED_BY", 0, 2), ("PLACED", 3, 0), ("IN_NATION", 3, 4)]
+    p = Pattern.parse({"vertices": [{"id": i, "label": x} for i, x in enumerate(label)], "edges": [{"id": i, "label": x, "src": a, "dst": b} for i, (x, a, b) in enumerate(edges)]})
+    truth = exact_count(g, p).first()["cardinality"]
+    ranked = Estimator(stats, 2, star_degree=1, functional=False).estimate(p)
+    starred = Estimator(stats, 2, functional=False).estimate(p)
+    assert truth <= starred <= ranked
+    assert truth <= Estimator(stats, 2).estimate(p) <= starred
+    parts = [((e[2], e[3]), [e]) for e in p.edges]
+    assert [x[1][0][0] for x in Estimator(stats).stripped(p, parts)] == [0, 1]  # the nation, then the customer of an order
+    q = Pattern(p.vertices, p.edges, [{"target": "vertex", "id": 4, "property": "n_name", "op": "eq", "value": "FRANCE"}])
+    assert len(Estimator(stats).stripped(q, parts)) == 4
+    two = stats.star(((("Orders", "CONTAINS", "out"),),) * 2)
+    assert two.rows >= (two.value > 1).any() and stats.star(((("Orders", "CONTAINS", "out"),), (("Orders", "SUPPLIED_BY", "out"),))).support <= g.vertices["Orders"].df.count()
