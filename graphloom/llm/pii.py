@@ -1,7 +1,7 @@
 """Personal data by weak supervision, in DataFrame functions only.
 
 Candidate spans come from base patterns (email, ip, card, phone) and wider ones (local phone numbers, identity numbers,
-keys).  Three labelers vote on each candidate with 1, 0 or -1 (abstain): a strict format, a gazetteer, and the words before
+keys, bank accounts, street addresses).  Three labelers vote on each candidate with 1, 0 or -1 (abstain): a strict format, a gazetteer, and the words before
 the span.  Expectation-maximisation over the counts of vote patterns, which are few whatever the corpus, estimates how
 reliable each labeler is; its posteriors train the final span classifier, a logistic model on votes, kind and length.
 Spans that the classifier accepts are added; base spans always stay.
@@ -25,17 +25,35 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BASE = ("email", "ip", "card", "phone")
 #: Wider candidates.
-EXTRA = ("localphone", "natid", "key")
+EXTRA = ("localphone", "natid", "key", "iban", "address")
 LOCAL_PHONE = r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}"
 NAT_ID = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
-KEY = r"[0-9a-f]{32,64}"
-WIDER = rf"(?<![0-9A-Za-z+.(-])(?:{LOCAL_PHONE}|{NAT_ID}|{KEY})(?![0-9A-Za-z-])"
+HEX = r"[0-9a-f]{32,64}|[0-9A-F]{32,64}"
+# What access keys of common services begin with, and how long they are.
+ISSUED = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[opsur]_[0-9A-Za-z]{36}|sk_(?:live|test)_[0-9A-Za-z]{16,64}|xox[abprs]-[0-9A-Za-z-]{10,72}|AIza[0-9A-Za-z_-]{35}"
+KEY = rf"{HEX}|{ISSUED}"
+# Length of a bank account number by country.
+ACCOUNTS = {
+    "AD": 24, "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22,
+    "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TR": 26,
+}
+IBAN = "|".join(rf"(?:{'|'.join(c for c, m in ACCOUNTS.items() if m == n)})[0-9]{{2}}(?:\x20?[0-9A-Z]){{{n - 4}}}" for n in sorted(set(ACCOUNTS.values())))
+#: Street names in the languages of the corpus; words that also mean something else are told apart by the gazetteer.
+STREETS = r"Street|Avenue|Road|Lane|Boulevard|Highway|Parkway|straße|strasse|gasse|allee|rue|boulevard|chemin|impasse|Calle|Avenida|Paseo"
+MAYBE_STREETS = r"St|Ave|Rd|Ln|Drive|Dr|Blvd|Court|Ct|Square|Terrace|weg|platz|avenue|place|quai|Plaza|Camino"
+ADDRESS = "|".join((
+    r"[0-9]{1,5}\x20(?:\p{Lu}\p{Ll}+\x20){1,3}(?:Street|Avenue|Road|Lane|Boulevard|Highway|Parkway|St|Ave|Rd|Ln|Drive|Dr|Blvd|Court|Ct|Square|Terrace)",
+    r"\p{Lu}\p{Ll}{2,30}(?:straße|strasse|gasse|allee|weg|platz)\x20[0-9]{1,4}[a-z]?",
+    r"[0-9]{1,4}(?:\x20(?:bis|ter))?,?\x20(?:rue|avenue|boulevard|place|chemin|impasse|quai)\x20(?:(?:de|du|des|la|le|les)\x20|[ld]['’]){0,3}\p{Lu}[\p{L}-]+",
+    r"(?:Calle|Avenida|Plaza|Paseo|Camino)\x20(?:(?:de|del|la|las|los|el)\x20){0,3}\p{Lu}\p{L}+,?\x20[0-9]{1,4}",
+))
+WIDER = rf"(?<![\p{{L}}\p{{N}}+.(-])(?:{LOCAL_PHONE}|{NAT_ID}|{KEY}|{IBAN}|{ADDRESS})(?![\p{{L}}\p{{N}}-])"
 PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 #: The gazetteers and the context words, in the languages of the corpus.
-DOMAINS = r"\.(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu)$"
+DOMAINS = r"(?i)\.(?:com|org|net|edu|gov|mil|int|info|biz|name|pro|dev|app|io|ai|co|me|tv|eu|at|be|bg|ch|cy|cz|de|dk|ee|es|fi|fr|gr|hr|hu|ie|is|it|li|lt|lu|lv|mt|nl|no|pl|pt|ro|se|si|sk|tr|uk|us|ca|mx|br|ar|cl|au|nz|jp|cn|in|kr|za|ru|ua)$"
 COUNTRY = r"^\+(?:1|33|34|44|49|39|31|41|43|52|54)(?![0-9]{9}[0-9])"
 ISSUERS = r"^(?:4|5[1-5]|3[47]|6011|65|2[2-7])"
-WORDS = r"(?i)\b(?:e-?mails?|mail|courriel|correo|phone|tel|telefon|t[ée]l[ée]phone|tel[ée]fono|call|card|carte|karte|tarjeta|ip|host|server|ssn|token|key|secret|password|passwd|clave|contact|kontakt)\b"
+WORDS = r"(?i)\b(?:e-?mails?|mail|courriel|correo|phone|tel|telefon|t[ée]l[ée]phone|tel[ée]fono|call|card|carte|karte|tarjeta|ip|host|server|ssn|token|key|secret|password|passwd|clave|contact|kontakt|iban|konto|account|compte|cuenta|address|adresse|anschrift|direcci[óo]n|lives|wohnt|habite|vive)\b"
 NOT_WORDS = r"(?i)\b(?:version|figure|isbn|issn|page|chapter|commit|sha256|md5|checksum)\b"
 CONTEXT = 32  # characters before a span
 BLOCK = 128
@@ -110,16 +128,38 @@ def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("_phone", F.filter("_phone", lambda x: n(x).between(8, 15)))
 
 
+def _kind(m: Column) -> Column:
+    """Which of the wider kinds a match is of."""
+    return F.when(m.rlike(rf"^{NAT_ID}$"), "natid").when(m.rlike(rf"^(?:{KEY})$"), "key").when(m.rlike(rf"^(?:{IBAN})$"), "iban").when(m.rlike(rf"^(?:{LOCAL_PHONE})$"), "localphone").otherwise("address")
+
+
+def _account(m: Column) -> Column:
+    """The checksum of a bank account number: its first four characters put last and letters read as 10 to 35, it is 1 modulo 97."""
+    plain = F.replace(m, F.lit(" "), F.lit(""))
+    turned = F.concat(plain.substr(F.lit(5), F.length(plain)), plain.substr(1, 4))
+    code = lambda i: F.ascii(turned.substr(i, F.lit(1)))
+    step = lambda a, i: F.when(code(i) >= 65, a * 100 + code(i) - 55).otherwise(a * 10 + code(i) - 48) % 97
+    return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), step) == 1
+
+
 def _voted(kind: str | None, x: Column) -> Column:
     """A candidate with its kind, three votes, and a length bucket."""
     m, s = x["m"], x["s"]
-    name = F.lit(kind) if kind else F.when(m.rlike(rf"^{NAT_ID}$"), "natid").when(m.rlike(rf"^{KEY}$"), "key").otherwise("localphone")
+    name = F.lit(kind) if kind else _kind(m)
     before = F.lower(x["b"])
     vote = lambda c: c.cast("int")
     strict = {"email": vote(F.length(m) <= 254), "ip": vote(~m.rlike(r"(?:^|\.)0[0-9]")), "card": vote(m.rlike(r"^(?:[0-9]{16,19}|(?:[0-9]{4}[ -]){3}[0-9]{4})$")), "phone": vote(m.rlike(r"^\+[0-9]{1,3}[ .-]?\(?[0-9]"))}
     listed = {"email": vote(m.rlike(DOMAINS)), "ip": vote(~m.rlike(r"^(?:0|10|127|255|192\.168)\.")), "card": vote(m.rlike(ISSUERS)), "phone": vote(m.rlike(COUNTRY))}
-    wide_strict = F.when(m.rlike(rf"^(?:{KEY})$"), vote(m.rlike("[a-f]") & m.rlike("[0-9]"))).when(m.rlike(rf"^{NAT_ID}$"), 1).otherwise(vote(m.rlike(r"^\([0-9]{3}\) |^[0-9]{3}([.-])[0-9]{3}\1")))
-    wide_listed = F.when(m.rlike(rf"^{NAT_ID}$"), vote(~m.rlike("^(?:000|666|9)"))).when(m.rlike(rf"^{KEY}$"), F.when(F.length(m).isin(32, 40, 64), 1).otherwise(-1)).otherwise(vote(~m.rlike(r"^\(?[01]")))
+    of = lambda k: name == k
+    issued = m.rlike(rf"^(?:{ISSUED})$")
+    wide_strict = (
+        F.when(of("key"), vote(issued | m.rlike("[A-Fa-f]") & m.rlike("[0-9]"))).when(of("natid"), 1).when(of("iban"), vote(m.rlike(r"^\S+$|^\S{4}(?:\x20\S{4})+(?:\x20\S{1,3})?$")))
+        .when(of("address"), vote(m.rlike(r"(?<![0-9])[1-9][0-9]{0,3}(?![0-9])"))).otherwise(vote(m.rlike(r"^\([0-9]{3}\) |^[0-9]{3}([.-])[0-9]{3}\1")))
+    )
+    wide_listed = (
+        F.when(of("natid"), vote(~m.rlike("^(?:000|666|9)"))).when(of("key"), F.when(issued | F.length(m).isin(32, 40, 64), 1).otherwise(-1)).when(of("iban"), 1)
+        .when(of("address"), F.when(m.rlike(rf"(?:{STREETS})(?!\p{{L}})"), 1).otherwise(-1)).otherwise(vote(~m.rlike(r"^\(?[01]")))
+    )
     context = F.when(before.rlike(WORDS), 1).when(before.rlike(NOT_WORDS), 0).otherwise(-1)
     return F.struct(s.alias("s"), x["e"].alias("e"), name.alias("kind"), (strict[kind] if kind else wide_strict).alias("v1"), (listed[kind] if kind else wide_listed).alias("v2"), context.alias("v3"), F.least(F.floor((x["e"] - s) / 8), F.lit(8)).cast("int").alias("len"))
 
@@ -128,7 +168,9 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds, beside the base arrays, _cand (base candidates with votes) and _wide (other ones, not overlapping base spans)."""
     t = F.col(text)
     df = base_spans(docs, text)
-    df = _with_matches(df, text, "_wide", WIDER, t.rlike(r"[0-9]{3}\)?[ .-][0-9]{2}|[0-9a-f]{32}"))
+    guard = rf"[0-9]{{3}}\)?[ .-][0-9]{{2}}|[0-9a-f]{{32}}|[0-9A-F]{{32}}|[A-Z]{{2}}[0-9]{{2}}\x20?[0-9A-Z]{{4}}|AKIA|ASIA|gh[opsur]_|sk_|xox|AIza|(?:{STREETS}|{MAYBE_STREETS})\x20|[0-9]\x20\p{{Lu}}"
+    df = _with_matches(df, text, "_wide", WIDER, t.rlike(guard))
+    df = df.withColumn("_wide", F.filter("_wide", lambda x: (_kind(x["m"]) != "iban") | _account(x["m"])))
     both = F.concat("_email", "_ip", "_card", "_phone")
     df = df.withColumn("_wide", F.filter("_wide", lambda w: ~F.exists(both, lambda b: (b["s"] < w["e"]) & (w["s"] < b["e"]))))
     df = df.withColumn("_cand", F.concat(*[F.transform(f"_{k}", partial(_voted, k)) for k in BASE]))
