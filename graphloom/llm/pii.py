@@ -31,23 +31,29 @@ NAT_ID = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 HEX = r"[0-9a-f]{32,64}|[0-9A-F]{32,64}"
 # What access keys of common services begin with, and how long they are.
 ISSUED = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[opsur]_[0-9A-Za-z]{36}|sk_(?:live|test)_[0-9A-Za-z]{16,64}|xox[abprs]-[0-9A-Za-z-]{10,72}|AIza[0-9A-Za-z_-]{35}"
-KEY = rf"{HEX}|{ISSUED}"
+KEY = rf"(?=[A-Za-z_-]*[0-9])(?:{HEX}|{ISSUED})"
 # Length of a bank account number by country.
 ACCOUNTS = {
     "AD": 24, "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22,
     "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TR": 26,
 }
 IBAN = "|".join(rf"(?:{'|'.join(c for c, m in ACCOUNTS.items() if m == n)})[0-9]{{2}}(?:\x20?[0-9A-Z]){{{n - 4}}}" for n in sorted(set(ACCOUNTS.values())))
-#: Street names in the languages of the corpus; words that also mean something else are told apart by the gazetteer.
+#: Words for streets that mean nothing else, in the languages of the corpus; of the other ones the gazetteer says nothing.
 STREETS = r"Street|Avenue|Road|Lane|Boulevard|Highway|Parkway|straße|strasse|gasse|allee|rue|boulevard|chemin|impasse|Calle|Avenida|Paseo"
-MAYBE_STREETS = r"St|Ave|Rd|Ln|Drive|Dr|Blvd|Court|Ct|Square|Terrace|weg|platz|avenue|place|quai|Plaza|Camino"
-ADDRESS = "|".join((
+NUMBER_FIRST = "|".join((
     r"[0-9]{1,5}\x20(?:\p{Lu}\p{Ll}+\x20){1,3}(?:Street|Avenue|Road|Lane|Boulevard|Highway|Parkway|St|Ave|Rd|Ln|Drive|Dr|Blvd|Court|Ct|Square|Terrace)",
-    r"\p{Lu}\p{Ll}{2,30}(?:straße|strasse|gasse|allee|weg|platz)\x20[0-9]{1,4}[a-z]?",
     r"[0-9]{1,4}(?:\x20(?:bis|ter))?,?\x20(?:rue|avenue|boulevard|place|chemin|impasse|quai)\x20(?:(?:de|du|des|la|le|les)\x20|[ld]['’]){0,3}\p{Lu}[\p{L}-]+",
+))
+NAME_FIRST = "|".join((
+    r"(?=\p{L}+\x20[0-9])\p{Lu}\p{Ll}{2,30}(?:straße|strasse|gasse|allee|weg|platz)\x20[0-9]{1,4}[a-z]?",
     r"(?:Calle|Avenida|Plaza|Paseo|Camino)\x20(?:(?:de|del|la|las|los|el)\x20){0,3}\p{Lu}\p{L}+,?\x20[0-9]{1,4}",
 ))
-WIDER = rf"(?<![\p{{L}}\p{{N}}+.(-])(?:{LOCAL_PHONE}|{NAT_ID}|{KEY}|{IBAN}|{ADDRESS})(?![\p{{L}}\p{{N}}-])"
+ADDRESS = f"{NUMBER_FIRST}|{NAME_FIRST}"
+# told apart by the first character, so that a word of prose fails at once; each kind has a digit
+WIDER = (
+    rf"(?<![\p{{L}}\p{{N}}+.(-])(?:(?=[0-9(])(?:{LOCAL_PHONE}|{NAT_ID}|{KEY}|{NUMBER_FIRST})"
+    rf"|(?=\p{{Lu}})(?:(?=[A-Z]{{2}}[0-9]{{2}})(?:{IBAN})|{KEY}|{NAME_FIRST})|(?=[a-gsx]){KEY})(?![\p{{L}}\p{{N}}-])"
+)
 PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 #: The gazetteers and the context words, in the languages of the corpus.
 DOMAINS = r"(?i)\.(?:com|org|net|edu|gov|mil|int|info|biz|name|pro|dev|app|io|ai|co|me|tv|eu|at|be|bg|ch|cy|cz|de|dk|ee|es|fi|fr|gr|hr|hu|ie|is|it|li|lt|lu|lv|mt|nl|no|pl|pt|ro|se|si|sk|tr|uk|us|ca|mx|br|ar|cl|au|nz|jp|cn|in|kr|za|ru|ua)$"
@@ -168,8 +174,7 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds, beside the base arrays, _cand (base candidates with votes) and _wide (other ones, not overlapping base spans)."""
     t = F.col(text)
     df = base_spans(docs, text)
-    guard = rf"[0-9]{{3}}\)?[ .-][0-9]{{2}}|[0-9a-f]{{32}}|[0-9A-F]{{32}}|[A-Z]{{2}}[0-9]{{2}}\x20?[0-9A-Z]{{4}}|AKIA|ASIA|gh[opsur]_|sk_|xox|AIza|(?:{STREETS}|{MAYBE_STREETS})\x20|[0-9]\x20\p{{Lu}}"
-    df = _with_matches(df, text, "_wide", WIDER, t.rlike(guard))
+    df = _with_matches(df, text, "_wide", WIDER, t.rlike("[0-9]"))
     df = df.withColumn("_wide", F.filter("_wide", lambda x: (_kind(x["m"]) != "iban") | _account(x["m"])))
     both = F.concat("_email", "_ip", "_card", "_phone")
     df = df.withColumn("_wide", F.filter("_wide", lambda w: ~F.exists(both, lambda b: (b["s"] < w["e"]) & (w["s"] < b["e"]))))
