@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CREATED, batches_of, documents, ids_of, partitions, utf8
+from .common import CREATED, batches_of, documents, ids_of, partitions, tidy, utf8
 
 #: Text of a block: so much for each bucket that it deals keys to, within these bounds, so that parts don't get tiny.
 PER_BUCKET, LEAST_BYTES, MOST_BYTES = 32 << 10, 4 << 20, 16 << 20
@@ -121,7 +121,7 @@ def store(docs: DataFrame, summarise: Callable[[np.ndarray, list[bytes]], tuple[
             yield block()
 
     name = f"blocks_{uuid.uuid4().hex}"
-    documents(docs).mapInArrow(run, f"block long, texts binary, parts {PARTS}, sample array<long>").write.format("parquet").bucketBy(buckets, "block").sortBy("block").option("compression", "zstd").saveAsTable(name)
+    documents(docs).mapInArrow(tidy(run), f"block long, texts binary, parts {PARTS}, sample array<long>").write.format("parquet").bucketBy(buckets, "block").sortBy("block").option("compression", "zstd").saveAsTable(name)
     CREATED.append(("table", name))
     return spark.table(name)
 
@@ -151,7 +151,7 @@ def exchange(parts: DataFrame, answer: Callable[[list[bytes]], list[bytes]], sta
     known = spark.createDataFrame([(i, int(x)) for i, x in enumerate(labels(spark, n))], "slot int, to int")  # one row a partition
     rows = parts.select("block", F.explode("parts").alias("p")).select("block", "p.bucket", "p.data", F.pmod("p.bucket", F.lit(n)).cast("int").alias("slot"))
     dealt = rows.join(F.broadcast(known), "slot").select("block", "bucket", "data", "to")
-    return dealt.repartition("to").sortWithinPartitions("bucket", "block").select("block", "bucket", "data").mapInArrow(run, "block long, stage int, bucket int, data binary")
+    return dealt.repartition("to").sortWithinPartitions("bucket", "block").select("block", "bucket", "data").mapInArrow(tidy(run), "block long, stage int, bucket int, data binary")
 
 
 def with_answers(blocks: DataFrame, answers: DataFrame) -> DataFrame:
@@ -173,7 +173,7 @@ def per_block(joined: DataFrame, f: Callable[[int, np.ndarray, list[bytes], dict
                 if (out := f(batch.column("block")[i].as_py(), ids, texts, got)) is not None:
                     yield out
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(tidy(run), schema)
 
 
 def parts_row(block: int, parts: Parts) -> pa.RecordBatch:

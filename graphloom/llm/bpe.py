@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import batches_of, documents
+from .common import batches_of, documents, tidy
 
 #: Entries of a task's piece cache; it is emptied when full, which changes the time taken, not the result.
 CACHE = 400_000
@@ -229,7 +229,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 back = [encoder.vocabulary.decode(np.frombuffer(x, "<u4")) for x in ids]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.array(back, pa.binary())], ["doc_id", "ids", "decoded"])
 
-    return documents(docs).mapInArrow(run, "doc_id long, ids binary, decoded binary")
+    return documents(docs).mapInArrow(tidy(run), "doc_id long, ids binary, decoded binary")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -243,7 +243,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 back = [encoder.vocabulary.decode(np.frombuffer(x, "<u4")) for x in ids]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(x).hexdigest() for x in back])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return documents(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return documents(docs).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 __all__ = ["Encoder", "Vocabulary", "encode", "round_trip", "vocabulary"]

@@ -10,9 +10,11 @@ Conventions that hold for every operator here unless its docstring says otherwis
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 import weakref
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -112,6 +114,22 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function, whose worker gives memory that it has freed back to the system when a task ends: Spark keeps idle workers,
+    and what they hold lessens what a later stage in the JVM can have."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+                trim(0)
+
+    return tidied
+
+
 def batches_of(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """Slices of a record batch whose texts have at most most_bytes bytes (one longer row stands alone)."""
     lengths = np.asarray(pyarrow.compute.binary_length(batch.column(column)).fill_null(0))

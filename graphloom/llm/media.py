@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batches_of, documents, utf8
+from .common import batches_of, documents, tidy, utf8
 
 WIDE, HIGH = 64, 8  # blocks of a frame
 PER_FRAME = WIDE * HIGH
@@ -396,7 +396,7 @@ def clips(docs: DataFrame) -> DataFrame:
                 names = ["doc_id", "clip", "first_frame", "last_frame", "start_s", "end_s", "mean_level"]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 4 + [pa.float64()] * 3, strict=True)], names)
 
-    return documents(docs).mapInArrow(run, "doc_id long, clip long, first_frame long, last_frame long, start_s double, end_s double, mean_level double")
+    return documents(docs).mapInArrow(tidy(run), "doc_id long, clip long, first_frame long, last_frame long, start_s double, end_s double, mean_level double")
 
 
 def films(docs: DataFrame) -> DataFrame:
@@ -418,4 +418,4 @@ def films(docs: DataFrame) -> DataFrame:
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(list(c), pa.string() if isinstance(c[0], str) else pa.int64()) for c in cols)], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return documents(docs).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return documents(docs).mapInArrow(tidy(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CREATED, NULL_ID, Words, batches_of, documents, forget, grams, ids_of, materialise, mix, numbered_columns, partitions, utf8
+from .common import CREATED, NULL_ID, Words, batches_of, documents, forget, grams, ids_of, materialise, mix, numbered_columns, partitions, tidy, utf8
 from .components import components
 
 ROWS, BANDS = 5, 25
@@ -219,20 +219,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
                 yield out
 
     texts = documents(docs).withColumn("text_hash", F.xxhash64("text"))
-    signed = materialise(texts.mapInArrow(sign, "doc_id long, text_hash long, n long, set_key binary, bands array<long>, sketch array<long>"), "signatures")
+    signed = materialise(texts.mapInArrow(tidy(sign), "doc_id long, text_hash long, n long, set_key binary, bands array<long>, sketch array<long>"), "signatures")
     some = signed.where("n > 0")
     first = some.groupBy("set_key").agg(F.min_by(F.struct("doc_id", "text_hash", "n", "bands", "sketch"), "doc_id").alias("s"))
     classes = materialise(first.select(F.monotonically_increasing_id().alias("node"), "set_key", F.col("s.doc_id").alias("rep"), "s.text_hash", "s.n", "s.bands", "s.sketch"), "classes")
 
     banded = classes.select("node", "n", "sketch", F.explode("bands").alias("key"))
     buckets = materialise(classes.select(F.explode("bands").alias("key")).groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "buckets")
-    families = components(_blocked(banded.join(buckets, "key"), "key", "blocks", "node").select("key", "_i", "_j", "node", "n", "sketch").mapInArrow(weak, "a long, b long"))
+    families = components(_blocked(banded.join(buckets, "key"), "key", "blocks", "node").select("key", "_i", "_j", "node", "n", "sketch").mapInArrow(tidy(weak), "a long, b long"))
 
     chosen = materialise(classes.select("node", F.col("rep").alias("doc_id"), "text_hash").join(families, "node"), "chosen")
     found = _marked(texts.withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID))), chosen).dropDuplicates(["doc_id", "text_hash"])
-    members = materialise(found.join(chosen, ["doc_id", "text_hash"]).select("node", "root", "text").mapInArrow(shingled, "node long, root long, shingles binary"), "members")
+    members = materialise(found.join(chosen, ["doc_id", "text_hash"]).select("node", "root", "text").mapInArrow(tidy(shingled), "node long, root long, shingles binary"), "members")
     shape = materialise(members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / FAMILY, F.sum(F.octet_length("shingles")) / BLOCK_BYTES)).cast("int").alias("blocks")), "families")
-    links = _blocked(members.join(shape, "root"), "root", "blocks", "node").select("root", "_i", "_j", "node", "shingles").mapInArrow(confirm, "a long, b long")
+    links = _blocked(members.join(shape, "root"), "root", "blocks", "node").select("root", "_i", "_j", "node", "shingles").mapInArrow(tidy(confirm), "a long, b long")
 
     # texts that one doc_id stands for
     several = some.where(F.col("doc_id") != NULL_ID).groupBy("doc_id").agg(F.min("set_key").alias("first_key"), F.max("set_key").alias("last_key")).where("first_key <> last_key").drop("last_key")

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, documents, materialise, utf8
+from .common import batches_of, documents, materialise, tidy, utf8
 
 #: Words, and as many pieces, that a Python worker remembers, and the longest of them: bounds its memory (some 100 MB, which it
 #: keeps for the stages after this one) and changes the time, not the result.
@@ -221,6 +221,6 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, size: int = 2048, open_win
             if packer.rows:
                 yield packer.take(_SCHEMA)
 
-    packed = materialise(documents(docs).mapInArrow(first, PIECES), "packing")
-    left = packed.where("grp IS NOT NULL").repartition("grp").sortWithinPartitions("grp", "sequence_id", "offset").mapInArrow(second, PIECES)
+    packed = materialise(documents(docs).mapInArrow(tidy(first), PIECES), "packing")
+    left = packed.where("grp IS NOT NULL").repartition("grp").sortWithinPartitions("grp", "sequence_id", "offset").mapInArrow(tidy(second), PIECES)
     return packed.where("grp IS NULL").unionByName(left).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "ids")

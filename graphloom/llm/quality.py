@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATOR, Words, batches_of, documents, materialise, mix, numbered_columns, pick, utf8
+from .common import SEPARATOR, Words, batches_of, documents, materialise, mix, numbered_columns, pick, tidy, utf8
 
 FIT_ROWS = 4000
 BUCKETS, DIM, NONZERO, AROUND, HIDDEN = 1 << 13, 48, 4, 2, 24
@@ -154,7 +154,7 @@ def _summed(rows: DataFrame, group: Column) -> DataFrame:
         if now:
             yield _slice(*now, total)
 
-    return rows.withColumn("task", group.cast("int")).repartition("task", "slice").sortWithinPartitions("task", "slice").mapInArrow(add, _SUMS)
+    return rows.withColumn("task", group.cast("int")).repartition("task", "slice").sortWithinPartitions("task", "slice").mapInArrow(tidy(add), _SUMS)
 
 
 def _slice(task: int, part: int, sums: np.ndarray) -> pa.RecordBatch:
@@ -177,7 +177,7 @@ def vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             for k, part in enumerate(sums.reshape(SLICES, -1)):
                 yield _slice(task, k, part)
 
-    rows = docs.select("text").mapInArrow(run, _SUMS)
+    rows = docs.select("text").mapInArrow(tidy(run), _SUMS)
     rows = _summed(_summed(rows, F.floor(F.col("task") / FAN)), F.lit(0)).collect()  # SLICES rows, two matrices of fixed size in all
     total = np.zeros((SLICES, 2 * BUCKETS * DIM // SLICES))
     for r in rows:
@@ -222,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model | flo
                 x, n = pooled(utf8(part.column("text")), word, shape)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.array(n), pa.array([r.astype("<f8").tobytes() for r in x], pa.binary())], ["doc_id", "quality", "n", "x"])
 
-    got = sorted(chosen.select("doc_id", "text", F.col("quality").cast("int").alias("quality")).mapInArrow(run, "doc_id long, quality int, n long, x binary").collect())  # at most `rows` short rows
+    got = sorted(chosen.select("doc_id", "text", F.col("quality").cast("int").alias("quality")).mapInArrow(tidy(run), "doc_id long, quality int, n long, x binary").collect())  # at most `rows` short rows
     x, y = np.array([np.frombuffer(r["x"], "<f8") for r in got]), np.array([r["quality"] for r in got], dtype=float)
     n = np.array([r["n"] for r in got])
     prior = x[n > 0].mean(axis=0) if (n > 0).any() else np.zeros(x.shape[1])
@@ -253,7 +253,7 @@ def score(docs: DataFrame, model: Model | float) -> DataFrame:
             for part in batches_of(batch, "text", 1 << 20):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(m.score(m.pool(utf8(part.column("text")))))], ["doc_id", "score"])
 
-    return d.mapInArrow(run, "doc_id long, score double")
+    return d.mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -279,7 +279,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 if good.any():
                     yield part.filter(pa.array(good))
 
-    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
+    return rows.mapInArrow(tidy(run), rows.schema).toDF(*docs.columns)
 
 
 __all__ = ["Model", "classify", "fit", "held_out", "keep_good", "score", "tokens"]
