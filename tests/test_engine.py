@@ -159,3 +159,75 @@ def test_like_takes_backslashes_literally(spark):
 def test_kleene(spark):
     s = Session(spark)
     assert s.gql("RETURN (UNKNOWN AND FALSE) AS a, (UNKNOWN OR TRUE) AS b, (UNKNOWN AND TRUE) IS UNKNOWN AS c").first() == (False, True, True)
+
+
+def brute_shortest(vertices, edges, label, low, high):
+    """Counts of (a, b, length) of all shortest walks along undirected edges between vertices of a label."""
+    nexts = {v: [] for v in vertices}
+    for a, b in edges:
+        nexts[a].append(b)
+        if a != b:
+            nexts[b].append(a)
+    out = {}
+    for a in (v for v in vertices if vertices[v] == label):
+        at, done = {a: 1}, set()
+        for depth in range(high + 1):
+            if depth >= low:
+                out |= {(a, b, depth): n for b, n in at.items() if b not in done and vertices[b] == label}
+                done |= set(at)
+            further = {}
+            for v, n in at.items():
+                for w in nexts[v]:
+                    further[w] = further.get(w, 0) + n
+            at = further
+    return out
+
+
+def labelled(spark, vertices, edges):
+    labels = sorted(set(vertices.values()))
+    sets = {x: VertexSet(x, spark.createDataFrame([(v, v * 10) for v in vertices if vertices[v] == x], f"{VID} long, k long")) for x in labels}
+    kinds = {}
+    for i, (a, b) in enumerate(edges):
+        kinds.setdefault((vertices[a], vertices[b]), []).append((i, a, b))
+    return Session(spark).use_graph(Graph("g", sets, tuple(EdgeSet("K", a, b, spark.createDataFrame(rows, f"{EID} long, {SRC} long, {DST} long")) for (a, b), rows in kinds.items())))
+
+
+def test_shortest_from_leaves_shares_a_search(spark, monkeypatch):
+    from graphloom.plans import compile as c
+
+    leaves, others = range(1, 121), range(1000, 2200)
+    vertices = {0: "H", **dict.fromkeys(leaves, "P"), **dict.fromkeys(others, "Q")}
+    s = labelled(spark, vertices, [(v, 0) for v in (*leaves, *others)])
+    rows_written, plain = [], c.written
+
+    def counted(df, name):
+        out = plain(df, name)
+        rows_written.append(out.count())
+        return out
+
+    monkeypatch.setattr(c, "written", counted)
+    monkeypatch.setattr(c, "PAIRS", 500, raising=False)  # the leaves are dealt into blocks
+    got = s.gql("MATCH p = ALL SHORTEST (a:P)-[:K]-{1,4}(b:P) RETURN a.k AS a, b.k AS b, path_length(p) AS n, relationships(p)[1].id AS e").collect()
+    assert sorted((r["a"], r["b"], r["n"], r["e"]) for r in got) == sorted((a * 10, b * 10, 2, b - 1) for a in leaves for b in leaves)
+    assert sum(rows_written) < 3 * len(vertices)  # not a row for each leaf and vertex
+
+
+@pytest.mark.parametrize("low", [0, 1, 2])
+def test_shortest_matches_brute_force(spark, low):
+    """Leaves, double edges, loops, vertices alone and rings; some starts share a search, others don't."""
+    import random
+    from collections import Counter
+
+    r = random.Random(low)
+    vertices = {v: "PQ"[v % 2] for v in range(38)}
+    inner = [(r.randrange(6), r.randrange(6)) for _ in range(7)]
+    edges = inner + [(v, r.randrange(3)) for v in range(6, 34)] + [(34, 34), (35, 36), (36, 35), (9, 9), (8, 3), (0, 4), (2, 4)]
+    edges += [edges[7], edges[11], edges[12]]
+    s = labelled(spark, vertices, edges)
+    want = brute_shortest(vertices, edges, "P", low, 4)
+    got = Counter((x["a"], x["b"], x["n"]) for x in s.gql(f"MATCH p = ALL SHORTEST (a:P)-[:K]-{{{low},4}}(b:P) RETURN id(a) AS a, id(b) AS b, path_length(p) AS n").collect())
+    assert got == want
+    one = s.gql(f"MATCH p = ANY SHORTEST (a:P)-[:K]-{{{low},4}}(b:P) RETURN a.k AS a, b.k AS b, path_length(p) AS n").collect()
+    assert sorted((x["a"] // 10, x["b"] // 10, x["n"]) for x in one) == sorted(want)
+    round_trips = Counter((x["a"], x["n"]) for x in s.gql(f"MATCH p = ALL SHORTEST (a:P)-[:K]-{{{low},4}}(a) RETURN id(a) AS a, path_length(p) AS n").collect())
+    assert round_trips == Counter({(a, n): k for (a, b, n), k in want.items() if a == b})
