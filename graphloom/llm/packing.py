@@ -221,6 +221,6 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, size: int = 2048, open_win
             if packer.rows:
                 yield packer.take(_SCHEMA)
 
-    packed = materialise(documents(docs).mapInArrow(tidy(first), PIECES), "packing")
+    packed = materialise(documents(docs).mapInArrow(tidy(first), PIECES), "packing", small=True)
     left = packed.where("grp IS NOT NULL").repartition("grp").sortWithinPartitions("grp", "sequence_id", "offset").mapInArrow(tidy(second), PIECES)
     return packed.where("grp IS NULL").unionByName(left).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "ids")

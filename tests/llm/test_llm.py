@@ -481,6 +481,32 @@ def test_packed_ids(spark, data, corpus):
     assert sorted(thin.select("doc_id", "start", "ids_crc32").collect()) == sorted((p["doc_id"], p["start"], p["ids_crc32"]) for p in pieces)
 
 
+def test_packing_holds_few_long_texts_at_once(spark, tmp_path, monkeypatch):
+    """Batches and row groups are bounded in bytes, whatever the rows' number; the session's settings stay as they were."""
+    import pyarrow.parquet as pq
+
+    log, slices, start = tmp_path / "bytes", common.batches_of, len(common.CREATED)
+
+    def spy(batch, column, most):
+        with log.open("a") as f:
+            f.write(f"{batch.nbytes}\n")
+        return slices(batch, column, most)
+
+    monkeypatch.setattr(packing, "batches_of", spy)
+    settings = {k: spark.conf.get(k) for k in common.SMALL_BATCHES}
+    r = random.Random(3)
+    words = ["".join(r.choices("abcdefghij", k=5)) for _ in range(20_000)]
+    df = spark.createDataFrame([(i, " ".join(r.choices(words, k=4000))) for i in range(600)], SCHEMA).coalesce(1)
+    pieces = packing.pack(df, P.path("word_bpe_49k.json"))
+    assert {k: spark.conf.get(k) for k in common.SMALL_BATCHES} == settings
+    assert pieces.agg(F.countDistinct("doc_id")).first()[0] == 600
+    seen = [int(x) for x in log.read_text().split()]
+    assert sum(seen) > 10 << 20 and max(seen) < 2 << 20
+    (folder,) = [path.removeprefix("file://") for _, path in common.CREATED[start:]]
+    groups = [sum(m.row_group(i).column(c).total_compressed_size for c in range(m.num_columns)) for n in os.listdir(folder) if n.endswith(".parquet") for m in [pq.ParquetFile(f"{folder}/{n}").metadata] for i in range(m.num_row_groups)]
+    assert sum(groups) > 10 << 20 and max(groups) < 3 << 20
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from("aZé'sS1?<|ÉÅÿŸſ\u0130\u03a3\u0301 \t\x1c\u3000中") | st.characters(codec="utf-8"), max_size=60), max_size=4))
 def test_words_encode_as_the_library_does(texts):
