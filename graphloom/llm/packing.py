@@ -12,7 +12,7 @@ import functools
 import os
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +39,6 @@ def tokenizer(path: str):  # noqa: ANN201
     return Tokenizer.from_file(path)
 
 
-@functools.lru_cache(maxsize=2)
-def _caches(path: str) -> tuple[dict, dict]:
-    """Words and pieces that this Python worker has met, for all its tasks."""
-    return {}, {}
-
-
 def _byte_characters() -> dict[int, str]:
     """The characters that byte-level vocabularies show bytes as: printable ones as themselves, others from 256 on."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -67,46 +61,52 @@ class WordEncoder:
     PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+|[0-9]|[^\\sa-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+")
 
     def __init__(self, path: str, most: int = CACHE) -> None:
-        self.tokenizer, self.most = tokenizer(path), most
-        self.words, self.pieces = _caches(path)
-
-    def _whole(self, words: list[str]) -> Iterator[bytes]:
-        for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False):
-            yield np.array(e.ids, dtype="<u4").tobytes()
-
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        known, merge, whole, out = self.pieces, self.tokenizer.model.tokenize, [], {}
-        if len(known) > self.most:
-            known.clear()
-        for w in words:
-            if w.isalpha():  # ASCII letters only: one piece
-                pieces = (w.lower().decode(),)
-            else:
-                text = w.decode()
-                if not self.PLAIN.fullmatch(text):
-                    whole.append(w)
-                    continue
-                pieces = self.PIECE.findall(text.lower())
-            ids = b""
-            for piece in pieces:
-                if (found := known.get(piece)) is None:
-                    shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_SHOWN)
-                    found = struct.pack(f"<{len(t := merge(shown))}I", *[x.id for x in t])
-                    if len(piece) <= REMEMBERED:
-                        known[piece] = found
-                ids += found
-            out[w] = ids
-        out.update(zip(whole, self._whole([w.decode() for w in whole]), strict=True))
-        return out
+        self.words, pieces = _caches(path)
+        self.words.most = pieces.most = most
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split, words = [t.split() for t in texts], self.words
-        found = [list(map(words.get, part)) for part in split]  # one look at the large table for each word
-        new = self._learn(list({w for part, ids in zip(split, found, strict=True) if None in ids for w, x in zip(part, ids, strict=True) if x is None}))
-        if len(words) + len(new) <= self.most:
-            words.update((w, ids) for w, ids in new.items() if len(w) <= REMEMBERED)
-        return [b"".join(ids) if None not in ids else b"".join([new[w] if x is None else x for w, x in zip(part, ids, strict=True)]) for part, ids in zip(split, found, strict=True)]
+        ids = self.words.__getitem__
+        return [b"".join(map(ids, t.split())) for t in texts]
+
+
+class _Memo(dict):
+    """What `make` gives for a key, remembered; begins anew when full, as most words are met once and would fill it for good."""
+
+    def __init__(self, make: Callable) -> None:
+        self.make, self.most = make, CACHE
+
+    def __missing__(self, key: bytes | str) -> bytes:
+        value = self.make(key)
+        if len(key) <= REMEMBERED:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = value
+        return value
+
+
+@functools.lru_cache(maxsize=2)
+def _caches(path: str) -> tuple[_Memo, _Memo]:
+    """Words and pieces that this Python worker has met, for all its tasks."""
+    whole = tokenizer(path)
+    merge, plain, split = whole.model.tokenize, WordEncoder.PLAIN.fullmatch, WordEncoder.PIECE.findall
+    coded = [struct.pack("<I", i) for i in range(whole.get_vocab_size())]
+
+    def of_piece(piece: str) -> bytes:
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_SHOWN)
+        return b"".join([coded[t.id] for t in merge(shown)])
+
+    pieces = _Memo(of_piece)
+
+    def of_word(word: bytes) -> bytes:
+        if word.isalpha():  # ASCII letters only: one piece
+            return pieces[word.lower().decode()]
+        text = word.decode()
+        if plain(text):
+            return b"".join(map(pieces.__getitem__, split(text.lower())))
+        return np.array(whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+
+    return _Memo(of_word), pieces
 
 
 class Packer:

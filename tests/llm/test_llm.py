@@ -521,6 +521,17 @@ def test_special_strings_and_full_caches():
         assert np.frombuffer(packing.WordEncoder(P.path("word_bpe_49k.json"), most=2).encode([text.encode()])[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_full_caches_begin_anew():
+    """Words that come late are remembered, too, and no more than the bound."""
+    t, text = packing.tokenizer(P.path("word_bpe_49k.json")), " ".join(f"w{i:03d}x" for i in range(900))
+    encoder = packing.WordEncoder(P.path("word_bpe_49k.json"), most=100)
+    try:
+        assert np.frombuffer(encoder.encode([f"{text} latecomer".encode()])[0], "<u4").tolist() == t.encode(f"{text} latecomer", add_special_tokens=False).ids
+        assert b"latecomer" in encoder.words and len(encoder.words) <= 100
+    finally:
+        packing.WordEncoder(P.path("word_bpe_49k.json"))
+
+
 # -- 7 and 8 repeats
 def repeats(seed):
     r = random.Random(seed)
